@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: Characters that some pattern dialects take for white space; a chunk with one at an edge is encoded with its text.
 EDGES = "\u180e\u200b\ufeff"
-MEMO = 500_000
+MEMO = 1_200_000
 
 
 class ChunkMemo:

@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .encoders import MEMO, ChunkMemo, slices, worker_encoder
+from .encoders import ChunkMemo, slices, worker_encoder
 
 NONE = np.int64(2**62)
 WIDEST = 64
+MEMO = 600_000
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
