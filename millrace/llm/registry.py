@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op2_line_frequency", "op4_packing", "op6_sstable", "op8_byte_bpe")
+MODULES = ("op2_line_frequency", "op3_language", "op4_packing", "op6_sstable", "op8_byte_bpe")
 _loaded = [importlib.import_module(f"{__package__}.{m}") for m in MODULES]
 QUERIES = {k: v for m in _loaded for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _loaded for k, v in m.SQL.items()}
