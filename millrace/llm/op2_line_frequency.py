@@ -104,7 +104,9 @@ def _judged(docs: DataFrame, most_docs: int, left: int, carry: tuple[str, ...])
         gone = F.broadcast(gone)
     rows = rows.join(gone, rows.k == gone.g_k, "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = ~failed & (100 * (F.col("n_words") - F.col("n_removed_words")) >= left * F.col("n_words"))
+    # One comparison that needs both sides of the join: a filter on it stays above, where the counts are columns. Pushed
+    # down, it would hold their expressions in place of the columns, and evaluate them again for each element.
+    kept = F.when(failed, F.lit(-1)).otherwise(100 * (F.col("n_words") - F.col("n_removed_words"))) >= left * F.col("n_words")
     return rows.withColumns({"base_failed": failed, "kept": kept})
 
 
@@ -140,12 +142,15 @@ QUERIES = {"op2_line_frequency": op2_line_frequency}
 SQL = {
     "op2_line_frequency": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, source, regexp_extract_all(t, '[^ 	-]+') AS w, string_split(t, chr(10)) AS ls FROM d),
+w AS (SELECT doc_id, t, source, regexp_extract_all(t, '[^ 	-
+]+') AS w, string_split(t, chr(10)) AS ls FROM d),
 win AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, l, array_to_string(regexp_extract_all(translate(l, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^ 	-]+'), ' ') AS norm,
-  len(regexp_extract_all(l, '[^ 	-]+')) AS n FROM (SELECT doc_id, source, unnest(ls) AS l FROM w)),
+ln AS (SELECT doc_id, source, l, array_to_string(regexp_extract_all(translate(l, '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^ 	-
+]+'), ' ') AS norm,
+  len(regexp_extract_all(l, '[^ 	-
+]+')) AS n FROM (SELECT doc_id, source, unnest(ls) AS l FROM w)),
 li AS (SELECT * FROM ln WHERE n > 0),
 freq AS (SELECT source, norm, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS owner FROM li GROUP BY source, norm),
 gone AS (SELECT li.doc_id, sum(li.n) AS gone FROM li JOIN freq f ON li.source = f.source AND li.norm = f.norm
