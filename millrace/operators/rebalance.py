@@ -1,0 +1,138 @@
+"""A model of incremental partition assignment: state is prepared at its next owner before a partition moves.
+
+Spark places state by itself and reloads it from checkpoints, so this decides nothing here; it answers how partitions would
+move through a group under each strategy.
+"""
+
+from __future__ import annotations
+
+import random
+from dataclasses import dataclass, field
+
+
+@dataclass
+class Member:
+    """ready: partitions whose state it holds; preparing: those it is loading. left_at: when it said that it would leave."""
+
+    name: str
+    owned: set[int] = field(default_factory=set)
+    preparing: set[int] = field(default_factory=set)
+    ready: set[int] = field(default_factory=set)
+    left_at: float | None = None
+
+    @property
+    def load(self) -> int:
+        return len(self.owned | self.preparing | self.ready)
+
+
+def imbalanced(loads: list[int], donatable: int, partitions: int) -> bool:
+    """donatable: what the fullest member could give. Some member is below an even share, or the fullest more than one above it."""
+    if len(loads) < 2 or donatable <= 1:
+        return False
+    share = partitions // len(loads)
+    return min(loads) < share or max(loads) > share + 1
+
+
+class Group:
+    """Members of one topic's group. A round assigns what has no owner, moves what is ready, and starts up to `budget` moves."""
+
+    def __init__(self, partitions: int, budget: int = 1, seed: int = 0):
+        self.partitions, self.budget, self.members, self._rng = partitions, budget, {}, random.Random(seed)
+
+    def join(self, name: str) -> Member:
+        return self.members.setdefault(name, Member(name))
+
+    def leave(self, name: str, at: float) -> None:
+        """It goes on with what it owns until others have taken over."""
+        self.members[name].left_at = at
+
+    def drop(self, name: str) -> None:
+        """It is gone at once."""
+        del self.members[name]
+
+    def prepared(self, name: str, partition: int) -> None:
+        m = self.members[name]
+        if partition in m.preparing:
+            m.preparing.discard(partition)
+            m.ready.add(partition)
+
+    def _active(self) -> list[Member]:
+        return sorted((m for m in self.members.values() if m.left_at is None), key=lambda m: (m.load, m.name))
+
+    def _leaving(self) -> list[Member]:
+        return sorted((m for m in self.members.values() if m.left_at is not None), key=lambda m: (m.left_at, m.name))
+
+    def _give(self, partition: int, to: Member) -> None:
+        for m in self.members.values():
+            m.owned.discard(partition)
+            m.preparing.discard(partition)
+            m.ready.discard(partition)
+        to.owned.add(partition)
+
+    def balance(self) -> list[tuple[str, int]]:
+        """One round; the moves that it starts, as (member that must prepare, partition)."""
+        if not self._active():
+            return []
+        held = set().union(*(m.owned for m in self.members.values()))
+        for p in sorted(set(range(self.partitions)) - held):
+            warm = [m for m in self._active() if p in m.ready] or [m for m in self._active() if p in m.preparing]
+            self._give(p, (warm or self._active())[0])
+        for m in self._active():
+            for p in sorted(m.ready):
+                self._give(p, m)
+        started: list[tuple[str, int]] = []
+        room = self.budget - sum(len(m.preparing) for m in self._active())
+        while room > 0:
+            moving = set().union(*(m.preparing for m in self._active()))
+            to, source = self._active()[0], next((m for m in self._leaving() if m.owned - moving), None)
+            if source is None:
+                full = self._active()[-1]
+                own = sorted(full.owned - moving)
+                if not imbalanced([m.load - len(m.owned & moving) for m in self._active()], len(own), self.partitions):
+                    break
+                p = self._rng.choice(own)
+            else:
+                p = min(source.owned - moving)
+            to.preparing.add(p)
+            started.append((to.name, p))
+            room -= 1
+        return started
+
+    def settle(self, limit: int = 10_000) -> dict[str, list[int]]:
+        """Rounds, with every preparation done at once, until nothing moves; who owns what."""
+        for _ in range(limit):
+            started = self.balance()
+            for name, p in started:
+                self.prepared(name, p)
+            if not started:
+                break
+        return {m.name: sorted(m.owned) for m in self.members.values()}
+
+
+def range_assign(members: list[str], partitions: int) -> dict[str, list[int]]:
+    """Runs of neighbours; the first members take one more of what is over."""
+    names, out, at = sorted(members), {}, 0
+    for i, m in enumerate(names):
+        n = partitions // len(names) + (i < partitions % len(names))
+        out[m], at = list(range(at, at + n)), at + n
+    return out
+
+
+def round_robin(members: list[str], partitions: int) -> dict[str, list[int]]:
+    names = sorted(members)
+    return {m: list(range(i, partitions, len(names))) for i, m in enumerate(names)}
+
+
+def sticky(members: list[str], partitions: int, owned: dict[str, list[int]]) -> dict[str, list[int]]:
+    """Even shares with as few moves as there can be: members keep theirs up to their share."""
+    names = sorted(members, key=lambda m: (-len(owned.get(m, [])), m))
+    share = {m: partitions // len(names) + (i < partitions % len(names)) for i, m in enumerate(names)}
+    out, taken = {}, set()
+    for m in names:
+        keep = [p for p in sorted(owned.get(m, [])) if p < partitions and p not in taken][: share[m]]
+        out[m] = keep
+        taken |= set(keep)
+    free = iter(sorted(set(range(partitions)) - taken))
+    for m in names:
+        out[m] = sorted(out[m] + [next(free) for _ in range(share[m] - len(out[m]))])
+    return out
