@@ -47,17 +47,42 @@ def fold_case(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Edges up to which one task finds components by itself (16 bytes an edge).
+ONE_TASK_EDGES = 500_000
+
+
+def _union_find(batches):
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(up.setdefault(u, u)), top(up.setdefault(v, v))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 
-    Alternates large-star and small-star rounds, which keep connectivity and end in stars around the smallest
-    node of each component, after a number of rounds that grows with the logarithm of the longest path. Each round is a
-    table in the shared folder. A hub's neighbours are never gathered: each round takes only a minimum for each
-    node, joined back to the edges by the node.
+    Up to `one_task` edges, counted first, go to one task of an executor. More than that alternate large-star and
+    small-star rounds, which keep connectivity and end in stars around the smallest node of each component, after a
+    number of rounds that grows with the logarithm of the longest path. Each round is a table in the shared folder. A hub's
+    neighbours are never gathered: each round takes only a minimum for each node, joined back to the edges by the node.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, last = settle(e, "edges"), None
+    e, last = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), None
+    e = settle(e, "edges")
+    if e.count() <= one_task:
+        return settle(e.repartition(1).mapInArrow(_union_find, "node long, component long"), "components")
     for _ in range(max_rounds):
         # Large star: each node links its larger neighbours to the smallest of its neighbours and itself.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -14,14 +14,17 @@ divisions of the domain until H + 1 ranges are filled. Which shingles are called
 
 Equal sets are one node from the start, and a task gives a node's signatures once. Groups of signatures are read in
 sorted order, as a stream. Nothing is expanded into all pairs: round by round each group's members are verified against a
-pivot, and only pairs of different components go on; small groups then compare what is still apart in full, large ones
-after further rounds with other pivots. Links are verified on whole sets. Components follow by connected_components().
+pivot, and only pairs of different components go on; large groups have further rounds with other pivots, and in the end all
+groups compare what is still apart in full. A pair first meets a bound: a bitmap of each set, of 4 to 8 bits an element, from which
+the intersection can be no larger than the common bits and the elements that share a bit. Pairs that pass are verified on
+whole sets. Components follow by connected_components().
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from .encoders import slices
 WIDTH, RATIO, RANGES = 5, 3.0, 0.6
 #: A shingle is frequent from OFTEN documents; a task reports those it has seen OFTEN_LOCAL times in some FLUSH shingles.
 OFTEN, OFTEN_LOCAL, MOST_FREQUENT, FLUSH = 64, 12, 200_000, 4_000_000
-SMALL, PIVOT_ROUNDS, BROADCAST_ROWS = 24, 4, 500_000
+SMALL, PIVOT_ROUNDS, BROADCAST_ROWS = 24, 3, 500_000
 WORD_MEMO = 600_000
 
 
@@ -73,13 +76,32 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def node_of(u: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit halves of a digest of a set."""
+def node_of(u: np.ndarray) -> int:
+    """The signed 64-bit digest of a set, and so of all rows with that set."""
     import xxhash
 
-    d = xxhash.xxh3_128_intdigest(u.tobytes())
-    a, b = d >> 64, d & (2**64 - 1)
-    return a - (a >> 63 << 64), b - (b >> 63 << 64)
+    d = xxhash.xxh3_64_intdigest(u.tobytes())
+    return d - (d >> 63 << 64)
+
+
+def bitmap(u: np.ndarray) -> bytes:
+    """A bit for each element, at its lowest bits; a power of two of bits, at least four for each element."""
+    n = 1 << max(6, (4 * len(u) - 1).bit_length())
+    bits = np.zeros(n, dtype=np.uint8)
+    bits[(u & np.uint64(n - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(p: bytes, q: bytes, n_p: int, n_q: int) -> int:
+    """What two sets can have in common at most, by their bitmaps and sizes. The longer one is folded: its halves
+    are where the next lower bit differs."""
+    x, y = (np.frombuffer(b, np.uint8) for b in (p, q))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    count = lambda b: int(np.bitwise_count(b).sum())
+    return count(x & y) + min(n_p - count(x), n_q - count(y))
 
 
 def bands(most: int = 1 << 40) -> list[tuple[int, int]]:
@@ -137,24 +159,27 @@ def signatures(u: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, size, node, node's second half) of each row; kind 1: (shingle, documents of the task that hold it)."""
-    names = ["kind", "a", "b", "c", "d"]
+    """kind 0: (doc_id, size, node, bitmap) of each row, the bitmap once for a node; kind 1: (shingle, documents of the
+    task that hold it)."""
 
-    def rows(kind, a, b, c, d):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, c, d))], names=names)
+    def rows(kind, a, b, c, bits):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([kind] * len(a), a, b, c, bits), kinds, strict=True)], names=["kind", "a", "b", "c", "bits"])
 
-    sets, held = [], 0
+    sets, held, seen = [], 0, set()
 
     def often():
         h, c = np.unique(np.concatenate(sets), return_counts=True)
         h, c = h[c >= OFTEN_LOCAL].view(np.int64), c[c >= OFTEN_LOCAL]
-        return rows(1, h, c, np.zeros_like(c), np.zeros_like(c))
+        return rows(1, h, c, np.zeros_like(c), [None] * len(h))
 
     for b in slices(batches):
         got = []
         for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             u = shingles(t)
-            got.append((d, len(u), *node_of(u)))
+            node = node_of(u)
+            got.append((d, len(u), node, None if node in seen else bitmap(u)))
+            seen.add(node)
             sets.append(u)
             held += len(u)
         yield rows(0, *zip(*got, strict=True))
@@ -172,7 +197,7 @@ def _sign(shared):
             nodes, sigs = [], []
             for t in b.column("text").to_pylist():
                 u = shingles(t)
-                if len(u) and (node := node_of(u)[0]) not in seen:
+                if len(u) and (node := node_of(u)) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     sigs.append(signatures(u, often))
@@ -228,7 +253,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {}
         for t in b.column("text").to_pylist():
             u = shingles(t)
-            node = node_of(u)[0]
+            node = node_of(u)
             if node not in seen:
                 seen.add(node)
                 out[node] = u.tobytes()
@@ -236,6 +261,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "items"])
 
 
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets may be similar enough, by what they can have in common."""
+    for b in batches:
+        keep = []
+        for n, m, p, q in zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "p", "q")), strict=True):
+            inter = most_common(p, q, n, m)
+            keep.append(100 * inter >= 75 * (n + m - inter))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         links = []
@@ -270,12 +305,13 @@ def components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    told = settle(docs.mapInArrow(_describe, "kind int, a long, b long, c long, d long"), "described")
-    rows = told.where("kind = 0").selectExpr("a doc_id", "b n_shingles", "c node", "d half")
+    told = settle(docs.mapInArrow(_describe, "kind int, a long, b long, c long, bits binary"), "described")
+    rows = told.where("kind = 0").selectExpr("a doc_id", "b n_shingles", "c node")
     heavy = told.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT)
     often = np.sort(np.array([r[0] for r in heavy.collect()], dtype=np.int64).view(np.uint64))
-    live = rows.where("n_shingles > 0 and doc_id is not null")
-    nodes = settle(live.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "nodes")
+    nodes = told.where("kind = 0 and b > 0 and a is not null").groupBy("c").agg(F.min("a").alias("rep"), F.max("b").alias("n"))
+    nodes = settle(nodes.withColumnRenamed("c", "node"), "nodes")
+    maps = told.where("bits is not null").select(F.col("c").alias("node"), "bits")
 
     signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(spark.sparkContext.broadcast(often)), "node long, sigs array<long>")
     signed = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
@@ -285,67 +321,71 @@ def components(docs: DataFrame) -> DataFrame:
 
     small = settle(groups.where("not large").select("members").distinct(), "small")
     large = settle(groups.where("large").select("sig", F.explode("members").alias("node")), "large")
-
-    def fit(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes whose sizes allow a link."""
-        x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b")
-
-    star = small.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, SMALL)).alias("m"))
-    pivot = large.groupBy("sig").agg(F.min("node").alias("p"))
-    star = star.union(large.join(pivot, "sig").where("node <> p").select("p", F.col("node").alias("m")))
-    todo = settle(fit(star.select(*_pairs("p", "m")).distinct()), "pairs")
-
+    # One bitmap a node; only of nodes that share a signature. Copies lie in several tasks, one of theirs is taken.
     member = small.select(F.explode("members").alias("node")).union(large.select("node")).distinct()
-    wanted = settle(member.join(nodes, "node").select("rep").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs.doc_id == wanted.rep, "left_semi").select("text")
-    sets = settle(texts.mapInArrow(_sets, "node long, items binary"), "sets")
+    sketch = settle(maps.join(member, "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")).join(nodes, "node"), "sketches")
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes, and then bitmaps, allow a link."""
+        size = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+        bits = lambda c, name: sketch.select(F.col("node").alias(c), F.col("bits").alias(name))
+        close = pairs.join(size("a"), "a").join(size("b"), "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+        out = settle(close.join(bits("a", "p"), "a").join(bits("b", "q"), "b").mapInArrow(_bound, "a long, b long"), "pairs")
+        _release(spark)
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, by their whole sets, made anew from one text of each node."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = settle(ends.join(nodes, "node").select("rep").distinct(), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        sets = settle(docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text").mapInArrow(_sets, "node long, items binary"), "sets")
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("p"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("q"))
         out = settle(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long"), "links")
         _release(spark)
         return out
 
-    done, links = todo, verify(todo)
-    labels = connected_components(links)
+    star = small.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, SMALL)).alias("m"))
+    pivot = large.groupBy("sig").agg(F.min("node").alias("p"))
+    star = star.union(large.join(pivot, "sig").where("node <> p").select("p", F.col("node").alias("m")))
+    tried = [plausible(star.select(*_pairs("p", "m")).distinct())]
+    labels = connected_components(verify(tried[0]))
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs not yet verified whose nodes are in different components."""
+    def merge(pairs: DataFrame) -> DataFrame:
+        """Labels after a round over pairs of nodes: those in different components, and not tried before, are verified, and
+        the components that their links join become one."""
         x = labels.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
         y = labels.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
         far = pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b").distinct()
-        return settle(fit(far.join(done, ["a", "b"], "left_anti")), "pairs")
-
-    def labelled() -> DataFrame:
-        """Members of large groups that are in several components."""
+        more = plausible(reduce(lambda d, t: d.join(t, ["a", "b"], "left_anti"), tried, far))
+        tried.append(more)
+        if not more.take(1):
+            return labels
+        links = verify(more).join(x, "a", "left").join(y, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        joined = connected_components(links)
+        up = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        old = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        return settle(old.union(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
+
+    def split() -> DataFrame:
+        """Members, with their components, of large groups that are in several."""
         m = large.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-        split = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        return m.join(split.select("sig"), "sig")
+        mixed = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        return settle(m.join(mixed.select("sig"), "sig"), "split")
 
+    rest = small.where(F.size("members") > 2)
+    two = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    rest = rest.select(F.explode(F.flatten(two)).alias("e")).select(*_pairs("e.a", "e.b"))
     if large.take(1):
         for t in range(PIVOT_ROUNDS):
-            m = labelled()
+            m = split()
             top = m.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(t))).alias("p"))
-            more = apart(m.join(top, "sig").where("node <> p").select(*_pairs("node", "p")).distinct())
-            if not more.take(1):
-                continue
-            links, done = links.union(verify(more)), done.union(more)
-            labels = connected_components(links)
-        m = settle(labelled(), "split")
+            labels = merge(m.join(top, "sig").where("node <> p").select(*_pairs("node", "p")).distinct())
+        m = split()
         other = m.select("sig", F.col("node").alias("node2"), F.col("c").alias("c2"))
-        rest = m.join(other, "sig").where("c < c2").select(*_pairs("node", "node2")).distinct()
-        more = apart(rest)
-        if more.take(1):
-            links, done = links.union(verify(more)), done.union(more)
-            labels = connected_components(links)
-    two = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    every = small.where(F.size("members") > 2).select(F.explode(F.flatten(two)).alias("e")).select(*_pairs("e.a", "e.b")).distinct()
-    more = apart(every)
-    if more.take(1):
-        labels = connected_components(links.union(verify(more)))
+        rest = rest.union(m.join(other, "sig").where("c < c2").select(*_pairs("node", "node2")))
+    labels = merge(rest.distinct())
 
     of = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
