@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, hashing, records, utils
 from ..operators import asynchronous, commitlog, partitioning, routing, store, timers
 from ..sources import envelope
+from . import streams
 
 PARTITIONS = 10
 QUERIES: dict = {}
@@ -34,7 +35,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").withColumn("part", (F.col("user_id") % PARTITIONS).cast("int"))
 
 
-_error = F.col("event_type") == "error"
+def _error():
+    return F.col("event_type") == "error"
 
 
 @_query(f"{_ENV} SELECT part, off, user_id, event_type, ts FROM env")
@@ -97,7 +99,7 @@ def decode_json(spark, d):
   ELSE '{"user_id":' || CAST(user_id AS VARCHAR) || ',"event_id":' || CAST(event_id AS VARCHAR) || '}' END AS value, event_type AS entry_type FROM events""")
 def change_entries(spark, d):
     """The change-log entry of each event: the item as JSON, nothing where it is deleted."""
-    value = F.when(~_error, records.json_value("user_id", "event_id")).otherwise(F.lit(b""))
+    value = F.when(~_error(), records.json_value("user_id", "event_id")).otherwise(F.lit(b""))
     rows = _events(spark, d).withColumn("headers", F.array(records.header(records.TYPE_HEADER, F.col("event_type"))))
     return rows.select("event_id", F.decode(records.joined_bytes(F.col("user_id").cast("string")), "UTF-8").alias("key"), F.decode(records.serialised(value), "UTF-8").alias("value"), records.record_type().alias("entry_type"))
 
@@ -121,20 +123,20 @@ def record_bytes(spark, d):
 @_query(f"{_ENV}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off DESC) AS rn FROM env) SELECT part, user_id, event_id, value FROM l WHERE rn=1 AND event_type <> 'error'")
 def store_final(spark, d):
     """The store after all events. Within a partition, order by identifier is order by offset."""
-    return store.live(_events(spark, d), ["part", "user_id"], "event_id", _error, ["event_id", "value"]).select("part", "user_id", "event_id", "value")
+    return store.live(_events(spark, d), ["part", "user_id"], "event_id", _error(), ["event_id", "value"]).select("part", "user_id", "event_id", "value")
 
 
 @_query(f"{_ENV}, l AS (SELECT *, row_number() OVER (PARTITION BY part, user_id ORDER BY off DESC) AS rn FROM env) SELECT part, user_id, off, CASE WHEN event_type='error' THEN NULL ELSE value END AS value FROM l WHERE rn=1")
 def compaction(spark, d):
     """The compacted change log."""
-    log = envelope.from_events(spark, d).withColumn("value", F.when(~_error, F.col("value")))
+    log = envelope.from_events(spark, d).withColumn("value", F.when(~_error(), F.col("value")))
     return store.compact(log, ["part", "user_id"], "off", "value")
 
 
 @_query(f"{_ENV}, l AS (SELECT *, row_number() OVER (PARTITION BY part, user_id ORDER BY off DESC) AS rn FROM env) SELECT part, user_id, off, value FROM l WHERE rn=1 AND event_type <> 'error'")
 def changelog_replay(spark, d):
     """The store that the change log restores."""
-    log = envelope.from_events(spark, d).withColumn("value", F.when(~_error, F.col("value")))
+    log = envelope.from_events(spark, d).withColumn("value", F.when(~_error(), F.col("value")))
     return store.replay(log, ["part", "user_id"], "off", "value")
 
 
@@ -142,7 +144,7 @@ def changelog_replay(spark, d):
   WHERE event_type = 'error' AND was IS NOT NULL AND was <> 'error'""")
 def tombstones(spark, d):
     """Deletions that found their key."""
-    return store.deletions(_events(spark, d), "user_id", "event_id", _error).select("event_id")
+    return store.deletions(_events(spark, d), "user_id", "event_id", _error()).select("event_id")
 
 
 @_query("SELECT event_id, user_id, max(CASE WHEN event_type='view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_view FROM events")
@@ -175,7 +177,7 @@ def shard_counts(spark, d):
 @_query(f"{_ENV}, op AS (SELECT part, date_trunc('day', ts) AS tick, CASE WHEN event_type='error' THEN 0 ELSE 1 END AS live, coalesce(lag(CASE WHEN event_type='error' THEN 0 ELSE 1 END) OVER (PARTITION BY part, user_id ORDER BY off),0) AS prev FROM env), d AS (SELECT part, tick, sum(live-prev) AS delta FROM op GROUP BY 1,2) SELECT part, CAST(tick AS TIMESTAMP) AS tick, CAST(sum(delta) OVER (PARTITION BY part ORDER BY tick) AS BIGINT) AS live_keys FROM d")
 def store_count_asof(spark, d):
     """Live keys of each partition at each day's end."""
-    return store.live_counts(_events(spark, d), "part", "user_id", "event_id", F.date_trunc("day", "ts").cast("timestamp_ntz"), _error)
+    return store.live_counts(_events(spark, d), "part", "user_id", "event_id", F.date_trunc("day", "ts").cast("timestamp_ntz"), _error())
 
 
 @_query("SELECT r.r_name AS region, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey=n.n_nationkey JOIN region r ON n.n_regionkey=r.r_regionkey GROUP BY 1")
@@ -217,7 +219,7 @@ def commit_records(spark, d):
 @_query("SELECT event_id, CAST(coalesce(CASE WHEN event_type='error' THEN 0 END, user_id % 10) AS BIGINT) AS target FROM events")
 def partitioner(spark, d):
     """A partition by hand, else by key."""
-    manual = F.when(_error, F.lit(0)).otherwise(F.lit(partitioning.AUTO))
+    manual = F.when(_error(), F.lit(0)).otherwise(F.lit(partitioning.AUTO))
     return _events(spark, d).select("event_id", partitioning.target(manual, PARTITIONS, hashed=F.col("user_id") % 10).cast("long").alias("target"))
 
 
@@ -290,7 +292,7 @@ def batch_items(spark, d):
 def set_except(spark, d):
     """A set less another."""
     e = _events(spark, d)
-    return e.where("event_type = 'view'").select("user_id").subtract(e.where(_error & (F.col("value") > 40)).select("user_id"))
+    return e.where("event_type = 'view'").select("user_id").subtract(e.where(_error() & (F.col("value") > 40)).select("user_id"))
 
 
 @_query("SELECT DISTINCT CAST(user_id % 10 AS INT) AS partition, event_type AS topic FROM events")
@@ -304,3 +306,7 @@ def least_greatest(spark, d):
     ten, three = F.lit(10.0), F.array("user_id", "event_id", F.lit(50).cast("long"))
     v = F.col("value")
     return _events(spark, d).select("event_id", utils.smaller(v, ten).alias("lo"), utils.larger(v, ten).alias("hi"), utils.absolute(v - ten).alias("d"), utils.min_n(three).alias("min_n"), utils.max_n(three).alias("max_n"))
+
+
+QUERIES["stream_replay"] = streams.stream_replay
+SQL["stream_replay"] = SQL["store_final"]

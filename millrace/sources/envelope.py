@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import records
 
 HEADERS = "array<struct<key:string,value:binary>>"
-SCHEMA = T.StructType.fromDDL(f"topic string, partition int, offset bigint, leader_epoch int, timestamp timestamp, key binary, value binary, headers {HEADERS}, record_type string")
+SCHEMA = f"topic string, partition int, offset bigint, leader_epoch int, timestamp timestamp, key binary, value binary, headers {HEADERS}, record_type string"
 #: Identifiers to a block of offsets (dense_offsets); a bound on what one task sorts.
 BLOCK = 1_000_000
 
