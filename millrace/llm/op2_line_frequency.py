@@ -70,7 +70,7 @@ def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
 
 
 def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(k, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and carried columns of each row; no exchange.
+    """(own, k, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each row, own with its carried columns; no exchange.
 
     Three-word windows are compared by 64-bit hashes within a document. Where two are equal, the windows are sorted with
     their positions, and neighbours mark those that occur twice; each covers three words, less what it shares with the
@@ -94,7 +94,7 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     a = a.select(*rest, F.sort_array(F.transform(twice, lambda e: e["i"])).alias("at"))
     fresh = F.transform("at", lambda v, i: F.least(F.lit(3), v - F.coalesce(F.get("at", i - 1), v - 3)))
     a = a.select(*rest, F.coalesce(F.aggregate(fresh, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"))
-    return a.select(*[F.col(f"own.{c}").alias(c) for c in carry], "k", *COUNTS)
+    return a.select("own", "k", *COUNTS)
 
 
 def _judged(docs: DataFrame, most_docs: int, left: int, carry: tuple[str, ...]) -> DataFrame:
@@ -117,7 +117,7 @@ def judge(docs: DataFrame, most_docs: int = MOST_DOCS, left: int = LEFT) -> Data
     base. A null source is a host of its own, a null doc_id the smallest. Rows that repeat in all three columns each
     count as a document; where they are a line's first holder, all of them keep it. An empty table gives an empty result.
     """
-    return _judged(docs, most_docs, left, ("doc_id",)).select("doc_id", *COUNTS, "base_failed", "n_removed_words", "kept")
+    return _judged(docs, most_docs, left, ("doc_id",)).select("own.doc_id", *COUNTS, "base_failed", "n_removed_words", "kept")
 
 
 def clean(docs: DataFrame, most_docs: int = MOST_DOCS, left: int = LEFT) -> DataFrame:
@@ -126,11 +126,12 @@ def clean(docs: DataFrame, most_docs: int = MOST_DOCS, left: int = LEFT) -> Data
     Cases as in judge(). A document that loses no line keeps its text as it is.
     """
     rows = _judged(docs, most_docs, left, tuple(docs.columns)).where("kept")
-    short = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("hs", F.xxhash64(_norm(x)))), "\n")
-    rows = rows.withColumn("text", F.when(F.col("hs").isNull(), F.col("text")).otherwise(short))
+    text, whole = F.col("own.text"), F.col("hs").isNull()
+    short = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("hs", F.xxhash64(_norm(x)))), "\n")
+    new = {"text": F.when(whole, text).otherwise(short)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("hs").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(whole, F.col("own.n_chars")).otherwise(F.length(short)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"own.{c}")).alias(c) for c in docs.columns])
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

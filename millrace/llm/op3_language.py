@@ -157,9 +157,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without letters, is `und` with score 0; a text of letters that training never had is the first
     language with score 0. Ties go to the language that comes first by name. With nothing to learn from, all is `und`.
+    Columns of docs with the names of these three are replaced.
     """
     from pyspark.sql import types as T
 
+    docs = docs.drop("lang_pred", "lang_score", "lang_words")
     extra = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_words", T.LongType())]
     return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), T.StructType([*docs.schema.fields, *extra]))
 
