@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+
 #: Characters that some pattern dialects take for white space; a chunk with one at an edge is encoded with its text.
 EDGES = "\u180e\u200b\ufeff"
 MEMO = 1_200_000
 
 
+NEW = 0
+
+
+class _Known(dict):
+    """Ids of a chunk; None if it has to be encoded with its text; NEW if it has not been met."""
+
+    def __missing__(self, chunk: str) -> int:
+        return NEW
+
+
 class ChunkMemo:
     """Ids of texts, put together from the ids of their chunks between single spaces.
 
@@ -19,8 +32,9 @@ class ChunkMemo:
     below) are encoded as a whole. Memory: at most `memo` chunks are remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, memo: int = MEMO):
-        self.encode, self.spaced, self.memo, self.known = encode, spaced, memo, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, memo: int = MEMO, letters: Callable[[list[str]], list[bytes]] | None = None):
+        """letters: a way to encode many words of a-z at once, each as it is with its space before it."""
+        self.encode, self.spaced, self.memo, self.known, self.letters = encode, spaced, memo, _Known(), letters
 
     def _plain(self, chunk: str) -> bool:
         return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace() and chunk[0] not in EDGES and chunk[-1] not in EDGES
@@ -32,18 +46,21 @@ class ChunkMemo:
         if self.spaced:  # the first chunk has no space before it
             for k, parts in enumerate(split):
                 heads[k], split[k] = parts[0], parts[1:]
-        fresh = set().union(*split) - self.known.keys()
-        if len(self.known) + len(fresh) > self.memo:
+        if len(self.known) > self.memo:
             self.known.clear()
-            fresh = set().union(*split)
-        self._learn(fresh)
-        known, out, whole = self.known.__getitem__, [b""] * len(texts), []
+        known, out, whole, new = self.known, [b""] * len(texts), [], set()
+        found = [list(map(known.__getitem__, parts)) for parts in split]
+        holes = [[k for k, x in enumerate(ids) if x is NEW] for ids in found]
+        for parts, ks in zip(split, holes, strict=True):
+            new.update(map(parts.__getitem__, ks))
+        self._learn(new)
         lone = sorted({h for h in heads if h and self._plain(h)})
         first = dict(zip(lone, self.encode(lone), strict=True)) if lone else {}
-        for k, parts in enumerate(split):
+        for k, (parts, ids) in enumerate(zip(split, found, strict=True)):
+            for i in holes[k]:
+                ids[i] = known[parts[i]]
             if self.spaced and not parts and not heads[k]:
                 continue
-            ids = list(map(known, parts))
             if None in ids or self.spaced and heads[k] not in first:
                 whole.append(k)
             else:
@@ -70,6 +87,10 @@ class ChunkMemo:
             else:
                 known[c] = b""
         todo = list(plain)
+        if self.letters:
+            words = [c for c in todo if _PLAIN(c)]
+            known.update(zip(words, self.letters(words), strict=True))
+            todo = [c for c in todo if c not in known]
         for k in range(0, len(todo), 20_000):
             part = todo[k : k + 20_000]
             known.update(zip(part, self.encode([lead + c for c in part]), strict=True))
@@ -81,6 +102,7 @@ class ChunkMemo:
 
 
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
+_PLAIN = re.compile("[a-z]+").fullmatch
 
 
 def library_encoder(path: str, spaced: bool) -> ChunkMemo:
@@ -90,7 +112,29 @@ def library_encoder(path: str, spaced: bool) -> ChunkMemo:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return ChunkMemo(lambda texts: [array("I", x.ids).tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)], spaced)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    # In a line of words, a word's first token holds its space, or its last token the mark of a word's end.
+    mark = np.zeros(t.get_vocab_size() + 1, dtype=bool)
+    for token, i in t.get_vocab().items():
+        mark[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
+
+    def letters(words: list[str], line: int = 200) -> list[bytes]:
+        out: list[bytes] = []
+        lines = [words[k : k + line] for k in range(0, len(words), line)]
+        for part, raw in zip(lines, encode([(" " if spaced else "") + " ".join(x) for x in lines]), strict=True):
+            at = np.flatnonzero(mark[np.frombuffer(raw, "<u4")])
+            ends = np.append(at[1:], len(raw) // 4) if spaced else at + 1
+            if len(ends) != len(part):
+                out += encode([(" " if spaced else "") + w for w in part])
+                continue
+            ends = (4 * ends).tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    return ChunkMemo(encode, spaced, letters=letters)
 
 
 _made: dict[tuple, ChunkMemo] = {}
