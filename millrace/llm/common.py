@@ -14,12 +14,17 @@ GAP = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests on one machine, a
+    temporary folder, the same for the life of the driver."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
+        root = _own[0]
     return root.rstrip("/")
 
 
