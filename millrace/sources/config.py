@@ -107,6 +107,10 @@ class ManagedCluster:
         return dict(self._known)
 
 
+#: The names that topics of state have unless they are given others.
+CHANGE_LOG, COMMIT_LOG = "gkes_change_log_{topic}_{group}", "gkes_commit_log_{group}"
+
+
 @dataclass(frozen=True)
 class SourceConfig:
     group_id: str
@@ -137,11 +141,11 @@ class SourceConfig:
 
     @property
     def changelog(self) -> str:
-        return self.state_topic or f"gkes_change_log_{self.topic}_{self.group_id}"
+        return self.state_topic or CHANGE_LOG.format(topic=self.topic, group=self.group_id)
 
     @property
     def commit_log(self) -> str:
-        return f"gkes_commit_log_{self.group_id}"
+        return COMMIT_LOG.format(group=self.group_id)
 
     def resolved(self, existing: dict[str, int]) -> SourceConfig:
         """With the partition count that the topic has. existing: partition counts by topic. A change log of another
