@@ -86,3 +86,10 @@ def completed(items: DataFrame, event: str, failed: Column) -> DataFrame:
     """(event, items, failures) once every item is settled: when a callback is due, also for an event without items."""
     one = F.when(F.col("item_ix").isNotNull(), 1).otherwise(0)
     return items.groupBy(event).agg(F.sum(one).alias("items"), F.sum(F.when(failed & (one == 1), 1).otherwise(0)).alias("failures"))
+
+
+def retries(failures: DataFrame, now_ms: int, wait_ms: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(due, given up): of work that failed (attempts, failed_at in ms), what a timer submits again now, after a wait that
+    doubles with each attempt, and what has failed `most` times."""
+    after = F.col("failed_at") + wait_ms * F.pow(F.lit(2), F.col("attempts") - 1)
+    return failures.where((F.col("attempts") < most) & (after <= now_ms)), failures.where(F.col("attempts") >= most)

@@ -128,6 +128,14 @@ class EventSource:
             pass
         self.stop()
 
+    def delete(self) -> None:
+        """Delete checkpoint and outputs; for tests."""
+        if self.query is not None and self.query.isActive:
+            raise RuntimeError("the query is running")
+        for path in (self.checkpoint, f"{self.root}/outputs"):
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def store(self) -> DataFrame:
         """(group, key, value, record_type): every store as of the last committed batch, read beside the running query."""
         raw = self.spark.read.format("statestore").option("stateVarName", "items").load(self.checkpoint)

@@ -40,3 +40,16 @@ def replayed(spark: SparkSession, root: str) -> DataFrame:
 def produce(df: DataFrame, destination: dict[str, str]) -> None:
     """Write rows to a broker without a transaction; duplicates are possible. Needs Spark's Kafka connector."""
     df.write.format("kafka").options(**destination).save()
+
+
+def produce_batch(items: DataFrame, event: str, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(event, items, failures) once all records of each event are settled; an event without records is settled at once.
+
+    items has a row a record, with item_ix (null for an event without records). send writes the records, of which some may
+    arrive twice if the batch runs again, and returns them with `error`, null where all went well.
+    """
+    from ..operators.asynchronous import completed
+
+    sent = send(items.where("item_ix is not null"))
+    empty = items.where("item_ix is null").withColumn("error", F.lit(None).cast("string"))
+    return completed(sent.unionByName(empty, allowMissingColumns=True), event, F.col("error").isNotNull())

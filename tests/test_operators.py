@@ -179,3 +179,18 @@ def test_managed_cluster():
         ManagedCluster("x", "sasl_iam", lookup).config()
     with pytest.raises(ValueError):
         ManagedCluster("x", "nothing", lookup)
+
+
+def test_retries(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("b", 2, 0), ("c", 3, 0), ("d", 1, 950)], "key string, attempts int, failed_at long")
+    due, gone = asynchronous.retries(df, 1000, 600, 3)
+    assert [r.key for r in due.collect()] == ["a"] and [r.key for r in gone.collect()] == ["c"]
+
+
+def test_produce_batch(spark):
+    from millrace.streaming.sinks import produce_batch
+
+    events = spark.sql("SELECT 1 e, array(1, 2, 3) xs UNION ALL SELECT 2, array()")
+    items = asynchronous.items_of(events, "e", "xs")
+    done = produce_batch(items, "e", lambda d: d.withColumn("error", F.when(F.col("item") == 3, "lost")))
+    assert sorted(tuple(r) for r in done.collect()) == [(1, 3, 1), (2, 0, 0)]
