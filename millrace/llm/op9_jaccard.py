@@ -14,8 +14,9 @@ divisions of the domain until H + 1 ranges are filled. Which shingles are called
 
 Equal sets are one node from the start, and a task gives a node's signatures once. Groups of signatures are read in
 sorted order, as a stream. Nothing is expanded into all pairs: round by round each group's members are verified against a
-pivot, and only pairs of different components go on; large groups have further rounds with other pivots, and in the end all
-groups compare what is still apart in full. A pair first meets a bound: a bitmap of each set, of 4 to 8 bits an element, from which
+pivot, and only pairs of different components go on. Large groups have further rounds with other pivots; what is still
+apart from the largest component then meets all members of such groups in blocks, inside tasks, which give links only. Small groups
+with members of several components compare these in full. A pair first meets a bound: a bitmap of each set, of 4 to 8 bits an element, from which
 the intersection can be no larger than the common bits and the elements that share a bit. Pairs that pass are verified on
 whole sets. Components follow by connected_components().
 """
@@ -37,7 +38,7 @@ from .encoders import slices
 WIDTH, RATIO, RANGES = 5, 3.0, 0.6
 #: A shingle is frequent from OFTEN documents; a task reports those it has seen OFTEN_LOCAL times in some FLUSH shingles.
 OFTEN, OFTEN_LOCAL, MOST_FREQUENT, FLUSH = 64, 12, 200_000, 4_000_000
-SMALL, PIVOT_ROUNDS, BROADCAST_ROWS = 24, 3, 500_000
+SMALL, PIVOT_ROUNDS, BROADCAST_ROWS, BLOCK = 24, 3, 500_000, 2_048
 WORD_MEMO = 600_000
 
 
@@ -286,6 +287,44 @@ def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
 
+def _cross(shared):
+    """Links of a block of sets with the rows that pass: bitmaps first, then whole sets; one for each component met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = [(x, c, np.frombuffer(i, np.uint64)) for x, c, i in shared.value]
+        block, told = [(x, c, u, bitmap(u)) for x, c, u in block], set()
+        for b in batches:
+            by: dict[int, list] = {}
+            for x, c, i in zip(b.column("node").to_pylist(), b.column("c").to_pylist(), b.column("items").to_pylist(), strict=True):
+                u = np.frombuffer(i, np.uint64)
+                bits = bitmap(u)
+                by.setdefault(len(bits), []).append((x, c, u, bits))
+            links = []
+            for width, rows in by.items():
+                maps = {width: np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), width)}
+                maps[width // 2] = maps[width][:, : width // 2] | maps[width][:, width // 2 :]
+                sizes, comps = np.array([len(r[2]) for r in rows]), np.array([r[1] for r in rows])
+                for x, c, u, bits in block:
+                    m = np.frombuffer(bits, np.uint8)
+                    if len(m) == 2 * width:
+                        m = m[:width] | m[width:]
+                    if (y := maps.get(len(m))) is None:
+                        continue
+                    most = np.bitwise_count(y & m).sum(1, dtype=np.int64) + len(u) - int(np.bitwise_count(m).sum())
+                    for k in np.flatnonzero((100 * most >= 75 * (sizes + len(u) - most)) & (comps != c)).tolist():
+                        z, d, v, _ = rows[k]
+                        if (x, d) not in told:
+                            inter = len(np.intersect1d(u, v, assume_unique=True))
+                            if 100 * inter >= 75 * (len(u) + len(v) - inter):
+                                told.add((x, d))
+                                links.append((x, z))
+            if links:
+                a, z = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that are written by now."""
     gc.collect()
@@ -334,12 +373,15 @@ def components(docs: DataFrame) -> DataFrame:
         _release(spark)
         return out
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their whole sets, made anew from one text of each node."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = settle(ends.join(nodes, "node").select("rep").distinct(), "wanted")
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, items): the whole sets of some nodes, made anew from one text of each."""
+        wanted = settle(some.join(nodes, "node").select("rep").distinct(), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        sets = settle(docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text").mapInArrow(_sets, "node long, items binary"), "sets")
+        return settle(docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text").mapInArrow(_sets, "node long, items binary"), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, by their whole sets."""
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("p"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("q"))
         out = settle(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long"), "links")
@@ -362,7 +404,13 @@ def components(docs: DataFrame) -> DataFrame:
         tried.append(more)
         if not more.take(1):
             return labels
-        links = verify(more).join(x, "a", "left").join(y, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        return absorb(verify(more))
+
+    def absorb(links: DataFrame) -> DataFrame:
+        """Labels after the components that links join have become one."""
+        x = labels.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
+        y = labels.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
+        links = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
         joined = connected_components(links)
         up = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
         old = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
@@ -374,18 +422,27 @@ def components(docs: DataFrame) -> DataFrame:
         mixed = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         return settle(m.join(mixed.select("sig"), "sig"), "split")
 
-    rest = small.where(F.size("members") > 2)
-    two = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    rest = rest.select(F.explode(F.flatten(two)).alias("e")).select(*_pairs("e.a", "e.b"))
     if large.take(1):
         for t in range(PIVOT_ROUNDS):
             m = split()
             top = m.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(t))).alias("p"))
             labels = merge(m.join(top, "sig").where("node <> p").select(*_pairs("node", "p")).distinct())
-        m = split()
-        other = m.select("sig", F.col("node").alias("node2"), F.col("c").alias("c2"))
-        rest = rest.union(m.join(other, "sig").where("c < c2").select(*_pairs("node", "node2")))
-    labels = merge(rest.distinct())
+        m = split().select("node", "c").distinct()
+        most = m.groupBy("c").count().orderBy(F.desc("count"), "c").first()
+        if most is not None:
+            held = settle(sets_of(m.select("node")).join(m, "node").select("node", "c", "items"), "held")
+            apart, found = held.where(F.col("c") != most["c"]), []
+            blocks = max(1, -(-apart.count() // BLOCK))
+            for k in range(blocks):
+                block = [(r.node, r.c, bytes(r["items"])) for r in apart.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).collect()]
+                found.append(held.mapInArrow(_cross(spark.sparkContext.broadcast(block)), "a long, b long"))
+            labels = absorb(settle(reduce(DataFrame.union, found), "links"))
+    key = F.xxhash64("members").alias("key")
+    each = small.where(F.size("members") > 2).select(key, F.explode("members").alias("node")).join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
+    mixed = each.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    rest = small.where(F.size("members") > 2).select(key, "members").join(mixed, "key", "left_semi")
+    two = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    labels = merge(rest.select(F.explode(F.flatten(two)).alias("e")).select(*_pairs("e.a", "e.b")).distinct())
 
     of = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
