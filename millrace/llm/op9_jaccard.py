@@ -14,9 +14,12 @@ divisions of the domain until H + 1 ranges are filled. Which shingles are called
 
 Equal sets are one node from the start, and a task gives a node's signatures once. Groups of signatures are read in
 sorted order, as a stream. Nothing is expanded into all pairs: round by round each group's members are verified against a
-pivot, and only pairs of different components go on. Large groups have further rounds with other pivots; what is still
-apart from the largest component then meets all members of such groups in blocks, inside tasks, which give links only. Small groups
-with members of several components compare these in full. A pair first meets a bound: a bitmap of each set, of 4 to 8 bits an element, from which
+pivot, and only pairs of different components go on. Large groups have further rounds with other pivots. Where one is
+still in several components, its range is shared too widely: its members are signed again and pass over such ranges (the argument
+holds as above, as what is passed over depends on the range's elements only), and the new groups are treated alike, for
+WIDE_ROUNDS rounds. Members that lack H + 1 ranges then, and groups left after the last round, are compared inside their own group:
+what is apart from the group's largest component meets its members in salted cells of bounded bytes, which tasks get by a shuffle
+and which give links only. Small groups with members of several components compare these in full. A pair first meets a bound: a bitmap of each set, of 4 to 8 bits an element, from which
 the intersection can be no larger than the common bits and the elements that share a bit. Pairs that pass are verified on
 whole sets. Components follow by connected_components().
 """
@@ -38,7 +41,11 @@ from .encoders import slices
 WIDTH, RATIO, RANGES = 5, 3.0, 0.6
 #: A shingle is frequent from OFTEN documents; a task reports those it has seen OFTEN_LOCAL times in some FLUSH shingles.
 OFTEN, OFTEN_LOCAL, MOST_FREQUENT, FLUSH = 64, 12, 200_000, 4_000_000
-SMALL, PIVOT_ROUNDS, BROADCAST_ROWS, BLOCK = 24, 3, 500_000, 2_048
+SMALL, PIVOT_ROUNDS, BROADCAST_ROWS = 24, 3, 500_000
+#: Rounds of signing past widely shared ranges; how many of these a round passes over at most, and divisions tried. They decide the cost only.
+WIDE_ROUNDS, MOST_WIDE, DIVISIONS = 3, 500_000, 4
+#: Bytes of whole sets on each side of a cell.
+CELL_BYTES = 8_000_000
 WORD_MEMO = 600_000
 
 
@@ -129,8 +136,9 @@ def places(s: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _ranges(u: np.ndarray, n: int, tag: int, often: np.ndarray | None, need: int) -> tuple[np.ndarray, bool]:
-    """Signatures of the first `need` ranges that count, and whether there are so many. u ascends, so ranges are runs."""
+def _ranges(u: np.ndarray, n: int, tag: int, often: np.ndarray | None, need: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Signatures of the first `need` ranges that count, and whether there are so many. u ascends, so ranges are runs.
+    wide: signatures, in order, that do not count."""
     spans = (u >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate([[True], spans[1:] != spans[:-1]]))
     if often is not None and len(often):
@@ -138,10 +146,19 @@ def _ranges(u: np.ndarray, n: int, tag: int, often: np.ndarray | None, need: int
         some = np.logical_or.reduceat(often[at] != u, start)
     else:
         some = np.ones(len(start), dtype=bool)
-    pick = np.flatnonzero(some)[:need]
+    pick = np.flatnonzero(some)[: need if wide is None else None]
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(mix(u + np.uint64(0x632BE59BD9B4E019)), start)[pick]
-        return mix(sums ^ mix(spans[start[pick]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag))), len(pick) == need
+        found = mix(sums ^ mix(spans[start[pick]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)))
+    if wide is not None and len(wide) and len(found):
+        at = np.minimum(np.searchsorted(wide, found), len(wide) - 1)
+        found = found[wide[at] != found]
+    return found[:need], len(found) >= need
+
+
+def _division(u: np.ndarray, t: int) -> np.ndarray:
+    """The set as the t-th division of the domain sees it."""
+    return u if t <= 1 else np.sort(mix(u ^ mix(np.array([t], dtype=np.uint64))))
 
 
 def signatures(u: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -153,12 +170,26 @@ def signatures(u: np.ndarray, often: np.ndarray) -> np.ndarray:
         t = 0
         while not enough:
             t += 1
-            v = u if t == 1 else np.sort(mix(u ^ mix(np.array([t], dtype=np.uint64))))
-            found, enough = _ranges(v, n, band << 8 | min(t, 255), None, need)
+            found, enough = _ranges(_division(u, t), n, band << 8 | min(t, 255), None, need)
             out.append(found)
     return np.concatenate(out).view(np.int64)
 
 
+def signatures_past(u: np.ndarray, often: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Signatures of a set that pass over `wide` ones too, and whether a band lacks H + 1 under every division tried. Linked
+    sets share one, or both lack."""
+    out, short = [], False
+    for band, n, need in places(len(u)):
+        for t in range(DIVISIONS):
+            found, enough = _ranges(_division(u, t), n, band << 8 | t, None if t else often, need, wide)
+            out.append(found)
+            if enough:
+                break
+        else:
+            short = True
+    return np.concatenate(out).view(np.int64), short
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, size, node, bitmap) of each row, the bitmap once for a node; kind 1: (shingle, documents of the
     task that hold it)."""
@@ -192,19 +223,22 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign(shared):
+    """(node, signatures, short) of each set; shared: frequent shingles, and widely shared signatures to pass over, if any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen = shared.value, set()
+        (often, wide), seen = shared.value, set()
         for b in slices(batches):
-            nodes, sigs = [], []
+            nodes, sigs, short = [], [], []
             for t in b.column("text").to_pylist():
                 u = shingles(t)
                 if len(u) and (node := node_of(u)) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    sigs.append(signatures(u, often))
+                    found, lacks = (signatures(u, often), False) if wide is None else signatures_past(u, often, wide)
+                    sigs.append(found), short.append(lacks)
             if nodes:
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))], names=["node", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs))), pa.array(short, pa.bool_())], names=["node", "sigs", "short"])
 
     return run
 
@@ -287,42 +321,36 @@ def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
 
-def _cross(shared):
-    """Links of a block of sets with the rows that pass: bitmaps first, then whole sets; one for each component met."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = [(x, c, np.frombuffer(i, np.uint64)) for x, c, i in shared.value]
-        block, told = [(x, c, u, bitmap(u)) for x, c, u in block], set()
-        for b in batches:
-            by: dict[int, list] = {}
-            for x, c, i in zip(b.column("node").to_pylist(), b.column("c").to_pylist(), b.column("items").to_pylist(), strict=True):
-                u = np.frombuffer(i, np.uint64)
-                bits = bitmap(u)
-                by.setdefault(len(bits), []).append((x, c, u, bits))
-            links = []
-            for width, rows in by.items():
-                maps = {width: np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), width)}
-                maps[width // 2] = maps[width][:, : width // 2] | maps[width][:, width // 2 :]
-                sizes, comps = np.array([len(r[2]) for r in rows]), np.array([r[1] for r in rows])
-                for x, c, u, bits in block:
-                    m = np.frombuffer(bits, np.uint8)
-                    if len(m) == 2 * width:
-                        m = m[:width] | m[width:]
-                    if (y := maps.get(len(m))) is None:
-                        continue
-                    most = np.bitwise_count(y & m).sum(1, dtype=np.int64) + len(u) - int(np.bitwise_count(m).sum())
-                    for k in np.flatnonzero((100 * most >= 75 * (sizes + len(u) - most)) & (comps != c)).tolist():
-                        z, d, v, _ = rows[k]
-                        if (x, d) not in told:
-                            inter = len(np.intersect1d(u, v, assume_unique=True))
-                            if 100 * inter >= 75 * (len(u) + len(v) - inter):
-                                told.add((x, d))
-                                links.append((x, z))
-            if links:
-                a, z = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    return run
+def _cell(cell: pa.Table) -> pa.Table:
+    """Links of a cell's sets that are apart (side 0) with its others: bitmaps first, then whole sets; one for each
+    component met."""
+    block, by, told, links = [], {}, set(), []
+    for side, x, c, i in zip(*(cell.column(n).to_pylist() for n in ("side", "node", "c", "items")), strict=True):
+        u = np.frombuffer(i, np.uint64)
+        bits = bitmap(u)
+        if side:
+            by.setdefault(len(bits), []).append((x, c, u, bits))
+        else:
+            block.append((x, c, u, bits))
+    for width, rows in by.items() if block else ():
+        maps = {width: np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), width)}
+        maps[width // 2] = maps[width][:, : width // 2] | maps[width][:, width // 2 :]
+        sizes, comps = np.array([len(r[2]) for r in rows]), np.array([r[1] for r in rows])
+        for x, c, u, bits in block:
+            m = np.frombuffer(bits, np.uint8)
+            if len(m) == 2 * width:
+                m = m[:width] | m[width:]
+            if (y := maps.get(len(m))) is None:
+                continue
+            most = np.bitwise_count(y & m).sum(1, dtype=np.int64) + len(u) - int(np.bitwise_count(m).sum())
+            for k in np.flatnonzero((100 * most >= 75 * (sizes + len(u) - most)) & (comps != c)).tolist():
+                z, d, v, _ = rows[k]
+                if (x, d) not in told:
+                    inter = len(np.intersect1d(u, v, assume_unique=True))
+                    if 100 * inter >= 75 * (len(u) + len(v) - inter):
+                        told.add((x, d))
+                        links.append((x, z))
+    return pa.table({"a": pa.array([e[0] for e in links], pa.int64()), "b": pa.array([e[1] for e in links], pa.int64())})
 
 
 def _release(spark: SparkSession) -> None:
@@ -352,14 +380,16 @@ def components(docs: DataFrame) -> DataFrame:
     nodes = settle(nodes.withColumnRenamed("c", "node"), "nodes")
     maps = told.where("bits is not null").select(F.col("c").alias("node"), "bits")
 
-    signed = docs.where("doc_id is not null").select("text").mapInArrow(_sign(spark.sparkContext.broadcast(often)), "node long, sigs array<long>")
-    signed = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    groups = settle(signed.mapInArrow(_gather, "sig long, members array<long>, large boolean"), "groups")
-    del signed
-    _release(spark)
+    def gathered(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of small groups; (sig, node) of large ones."""
+        rows = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
+        groups = settle(rows.mapInArrow(_gather, "sig long, members array<long>, large boolean"), "groups")
+        del rows
+        _release(spark)
+        return settle(groups.where("not large").select("members").distinct(), "small"), settle(groups.where("large").select("sig", F.explode("members").alias("node")), "large")
 
-    small = settle(groups.where("not large").select("members").distinct(), "small")
-    large = settle(groups.where("large").select("sig", F.explode("members").alias("node")), "large")
+    sc, shape = spark.sparkContext, "node long, sigs array<long>, short boolean"
+    small, large = gathered(docs.where("doc_id is not null").select("text").mapInArrow(_sign(sc.broadcast((often, None))), shape))
     # One bitmap a node; only of nodes that share a signature. Copies lie in several tasks, one of theirs is taken.
     member = small.select(F.explode("members").alias("node")).union(large.select("node")).distinct()
     sketch = settle(maps.join(member, "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")).join(nodes, "node"), "sketches")
@@ -373,11 +403,15 @@ def components(docs: DataFrame) -> DataFrame:
         _release(spark)
         return out
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(node, items): the whole sets of some nodes, made anew from one text of each."""
+    def texts_of(some: DataFrame) -> DataFrame:
+        """One text of each of some nodes."""
         wanted = settle(some.join(nodes, "node").select("rep").distinct(), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        return settle(docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text").mapInArrow(_sets, "node long, items binary"), "sets")
+        return docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(node, items): the whole sets of some nodes, made anew."""
+        return settle(texts_of(some).mapInArrow(_sets, "node long, items binary"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that are linked, by their whole sets."""
@@ -388,10 +422,13 @@ def components(docs: DataFrame) -> DataFrame:
         _release(spark)
         return out
 
-    star = small.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, SMALL)).alias("m"))
-    pivot = large.groupBy("sig").agg(F.min("node").alias("p"))
-    star = star.union(large.join(pivot, "sig").where("node <> p").select("p", F.col("node").alias("m")))
-    tried = [plausible(star.select(*_pairs("p", "m")).distinct())]
+    def stars(small: DataFrame, large: DataFrame) -> DataFrame:
+        """Each group's members with its first one."""
+        star = small.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, SMALL)).alias("m"))
+        pivot = large.groupBy("sig").agg(F.min("node").alias("p"))
+        return star.union(large.join(pivot, "sig").where("node <> p").select("p", F.col("node").alias("m"))).select(*_pairs("p", "m")).distinct()
+
+    tried = [plausible(stars(small, large))]
     labels = connected_components(verify(tried[0]))
 
     def merge(pairs: DataFrame) -> DataFrame:
@@ -416,27 +453,58 @@ def components(docs: DataFrame) -> DataFrame:
         old = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         return settle(old.union(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
 
-    def split() -> DataFrame:
+    def split(large: DataFrame) -> DataFrame:
         """Members, with their components, of large groups that are in several."""
         m = large.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
         mixed = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         return settle(m.join(mixed.select("sig"), "sig"), "split")
 
-    if large.take(1):
+    def inside(m: DataFrame) -> DataFrame:
+        """Links between components of each group: what is apart from its largest one with all its members, cell by cell."""
+        same = m.groupBy("sig").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x")).groupBy("n", "x").agg(F.min("sig").alias("sig"))
+        m = settle(m.join(same.select("sig"), "sig", "left_semi"), "inside")
+        sized = m.join(nodes.select("node", (8 * F.col("n")).alias("size")), "node").groupBy("sig", "c").agg(F.sum("size").alias("size"))
+        sized = sized.groupBy("sig").agg(F.max_by("c", F.struct("size", "c")).alias("top"), F.sum("size").alias("whole"), F.max("size").alias("most"))
+        cells = lambda size: F.ceil(size / CELL_BYTES).cast("int")
+        m = m.join(sized.select("sig", "top", cells(F.col("whole") - F.col("most")).alias("n_i"), cells(F.col("whole")).alias("n_j")), "sig")
+        salt = lambda n, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        apart = m.where("c <> top").select("sig", salt("n_i", 1).alias("i"), each("n_j").alias("j"), F.lit(0).alias("side"), "node", "c")
+        whole = m.select("sig", each("n_i").alias("i"), salt("n_j", 2).alias("j"), F.lit(1).alias("side"), "node", "c")
+        rows = apart.union(whole).join(sets_of(m.select("node").distinct()), "node")
+        out = settle(rows.groupBy("sig", "i", "j").applyInArrow(_cell, "a long, b long"), "links")
+        _release(spark)
+        return out
+
+    wide, rest, smalls = np.empty(0, dtype=np.int64), [], [small]
+    for k in range(WIDE_ROUNDS + 1):
+        if not large.take(1):
+            break
         for t in range(PIVOT_ROUNDS):
-            m = split()
+            m = split(large)
             top = m.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(t))).alias("p"))
             labels = merge(m.join(top, "sig").where("node <> p").select(*_pairs("node", "p")).distinct())
-        m = split().select("node", "c").distinct()
-        most = m.groupBy("c").count().orderBy(F.desc("count"), "c").first()
-        if most is not None:
-            held = settle(sets_of(m.select("node")).join(m, "node").select("node", "c", "items"), "held")
-            apart, found = held.where(F.col("c") != most["c"]), []
-            blocks = max(1, -(-apart.count() // BLOCK))
-            for k in range(blocks):
-                block = [(r.node, r.c, bytes(r["items"])) for r in apart.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).collect()]
-                found.append(held.mapInArrow(_cross(spark.sparkContext.broadcast(block)), "a long, b long"))
-            labels = absorb(settle(reduce(DataFrame.union, found), "links"))
+        m = split(large)
+        if not m.take(1):
+            break
+        if k == WIDE_ROUNDS:
+            rest.append(m)
+            break
+        top = settle(m.groupBy("sig").count().orderBy(F.desc("count"), "sig").limit(MOST_WIDE).select("sig"), "wide")
+        wide = np.union1d(wide, np.array([r[0] for r in top.collect()], dtype=np.int64))
+        past = m.join(top, "sig", "left_semi")
+        shared = sc.broadcast((often, np.sort(wide.view(np.uint64))))
+        signed = settle(texts_of(past.select("node").distinct()).mapInArrow(_sign(shared), shape).join(past, "node", "left_semi"), "signed")
+        rest += [m.join(top, "sig", "left_anti"), past.join(signed.where("short"), "node", "left_semi")]
+        small, large = gathered(signed)
+        smalls.append(small)
+        labels = merge(stars(small, large))
+    if rest:
+        left = reduce(DataFrame.union, [m.select(F.xxhash64("sig", F.lit(k)).alias("sig"), "node") for k, m in enumerate(rest)])
+        m = split(left.distinct())
+        if m.take(1):
+            labels = absorb(inside(m))
+    small = reduce(DataFrame.union, smalls).distinct()
     key = F.xxhash64("members").alias("key")
     each = small.where(F.size("members") > 2).select(key, F.explode("members").alias("node")).join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
     mixed = each.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")

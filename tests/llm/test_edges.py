@@ -276,6 +276,40 @@ def test_jaccard_in_large_groups(spark, monkeypatch):
     assert Counter(map(tuple, op9.components(df).collect())) == plain_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_jaccard_past_wide_ranges(spark, monkeypatch, rounds):
+    """A passage in many documents that is never called frequent, near copies among them: links are found inside the
+    groups, by new signatures or in cells of a shuffle, and no set passes through the driver."""
+    import random
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(op9, "OFTEN", 10**9)
+    monkeypatch.setattr(op9, "WIDE_ROUNDS", rounds)
+    monkeypatch.setattr(op9, "CELL_BYTES", 20_000)
+    collect = DataFrame.collect
+
+    def narrow(df):
+        assert not {"items", "text", "bits"} & set(df.columns)
+        return collect(df)
+
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        base = passage + [f"u{k}x{i}" for i in range(60)]
+        for _ in range(2):
+            w = list(base)
+            for _ in range(2):
+                w[60 + rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", narrow)
+        out = op9.components(df)
+    assert Counter(map(tuple, out.collect())) == plain_components(list(enumerate(texts)))
+
+
 def test_scores(spark):
     rows = odd(spark)
     for head in (op10.HEAD, 40):
