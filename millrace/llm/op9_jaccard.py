@@ -44,6 +44,8 @@ OFTEN, OFTEN_LOCAL, MOST_FREQUENT, FLUSH = 64, 12, 200_000, 4_000_000
 SMALL, PIVOT_ROUNDS, BROADCAST_ROWS = 24, 3, 500_000
 #: Rounds of signing past widely shared ranges; how many of these a round passes over at most, and divisions tried. They decide the cost only.
 WIDE_ROUNDS, MOST_WIDE, DIVISIONS = 3, 500_000, 4
+#: Members up to which a task holds a signature's group.
+PART = 200_000
 #: Bytes of whole sets on each side of a cell.
 CELL_BYTES = 8_000_000
 WORD_MEMO = 600_000
@@ -243,43 +245,50 @@ def _sign(shared):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(part: int = PART):
     """(sig, members, large) of each signature that two nodes share, from rows in order of (sig, node). Of small groups
-    with the same members, one; of large ones, rows of some members each."""
-    told: set[bytes] = set()
-    left_s, left_n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-
-    def groups(s, n):
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, dtype=np.int64)
-        end = np.append(start[1:], len(s))
-        sig, members, large = [], [], []
-        for a, b in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-            m = n[a:b]
-            if len(m) > SMALL:
-                for k in range(0, len(m), 1024):
-                    sig.append(int(s[a])), members.append(m[k : k + 1024]), large.append(True)
-            elif (key := m.tobytes()) not in told:
-                if len(told) > 300_000:
-                    told.clear()
-                told.add(key)
-                sig.append(int(s[a])), members.append(m), large.append(False)
-        if sig:
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(large)], names=["sig", "members", "large"])
+    with the same members, one; of large ones, rows of some members each. One of more than `part` members is told of part by
+    part; its end is large too, however short."""
 
-    for b in batches:
-        s = np.concatenate([left_s, b.column(0).to_numpy(zero_copy_only=False)])
-        n = np.concatenate([left_n, b.column(1).to_numpy(zero_copy_only=False)])
-        keep = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
-        s, n = s[keep], n[keep]
-        last = int(np.searchsorted(s, s[-1]))  # the last group may go on
-        if len(s) - last > 200_000:  # a very large one is told of part by part, joined by its last member
-            yield from groups(s[:last], n[:last])
-            yield pa.RecordBatch.from_arrays([pa.array([int(s[-1])], pa.int64()), pa.array([n[last:]], pa.list_(pa.int64())), pa.array([True])], names=["sig", "members", "large"])
-            left_s, left_n = s[-1:], n[-1:]
-        else:
-            yield from groups(s[:last], n[:last])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
+        left_s, left_n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        begun = False  # a part of the first group of what is left has been told
+
+        def groups(s, n, begun):
+            start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, dtype=np.int64)
+            end = np.append(start[1:], len(s))
+            sig, members, large = [], [], []
+            for a, b in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
+                m = n[a:b]
+                if len(m) > SMALL or (begun and a == 0):
+                    for k in range(0, len(m), 1024):
+                        sig.append(int(s[a])), members.append(m[k : k + 1024]), large.append(True)
+                elif (key := m.tobytes()) not in told:
+                    if len(told) > 300_000:
+                        told.clear()
+                    told.add(key)
+                    sig.append(int(s[a])), members.append(m), large.append(False)
+            if sig:
+                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(large)], names=["sig", "members", "large"])
+
+        for b in batches:
+            s = np.concatenate([left_s, b.column(0).to_numpy(zero_copy_only=False)])
+            n = np.concatenate([left_n, b.column(1).to_numpy(zero_copy_only=False)])
+            if not len(s):
+                continue
+            keep = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
+            s, n = s[keep], n[keep]
+            last = int(np.searchsorted(s, s[-1]))  # the last group may go on
+            yield from groups(s[:last], n[:last], begun)
+            begun = begun and last == 0
             left_s, left_n = s[last:], n[last:]
-    yield from groups(left_s, left_n)
+            if len(left_s) > part:  # joined by its last member
+                yield pa.RecordBatch.from_arrays([pa.array([int(s[-1])], pa.int64()), pa.array([left_n], pa.list_(pa.int64())), pa.array([True])], names=["sig", "members", "large"])
+                left_s, left_n, begun = s[-1:], n[-1:], True
+        yield from groups(left_s, left_n, begun)
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +392,7 @@ def components(docs: DataFrame) -> DataFrame:
     def gathered(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The members of small groups; (sig, node) of large ones."""
         rows = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-        groups = settle(rows.mapInArrow(_gather, "sig long, members array<long>, large boolean"), "groups")
+        groups = settle(rows.mapInArrow(_gather(), "sig long, members array<long>, large boolean"), "groups")
         del rows
         _release(spark)
         return settle(groups.where("not large").select("members").distinct(), "small"), settle(groups.where("large").select("sig", F.explode("members").alias("node")), "large")

@@ -200,6 +200,20 @@ def test_signatures_meet():
         assert op9.most_common(op9.bitmap(u), op9.bitmap(v), len(u), len(v)) >= inter
 
 
+def test_tail_of_a_very_large_group_is_large():
+    """The rows of a group that goes on after its first part are members of the same large group, however few."""
+    import pyarrow as pa
+
+    batch = lambda s, n: pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64())], names=["sig", "node"])
+    n = list(range(100))
+    rows = [batch([5] * 60, n[:60]), batch([5] * 3 + [6, 6], [60, 61, 62, 1, 2]), batch([7] * 60, n[:60]), batch([7] * 2, [60, 61]), batch([8] * 60, n[:60]), batch([9, 9], [3, 4])]
+    got = [r for b in op9._gather(50)(iter(rows)) for r in b.to_pylist()]
+    members = {}
+    for r in got:
+        members.setdefault((r["sig"], r["large"]), set()).update(r["members"])
+    assert members == {(5, True): set(n[:63]), (6, False): {1, 2}, (7, True): set(n[:62]), (8, True): set(n[:60]), (9, False): {3, 4}}
+
+
 def test_bands_cover_neighbours():
     for (low, high), (nxt, _) in zip(op9.BANDS, op9.BANDS[1:], strict=False):
         assert nxt == high + 1
