@@ -193,26 +193,26 @@ def signatures_past(u: np.ndarray, often: np.ndarray, wide: np.ndarray) -> tuple
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, size, node, bitmap) of each row, the bitmap once for a node; kind 1: (shingle, documents of the
-    task that hold it)."""
+    """kind 0: (doc_id, size, node, bitmap, hash of the text) of each row, the bitmap once for a node; kind 1: (shingle,
+    documents of the task that hold it)."""
 
-    def rows(kind, a, b, c, bits):
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([kind] * len(a), a, b, c, bits), kinds, strict=True)], names=["kind", "a", "b", "c", "bits"])
+    def rows(kind, a, b, c, bits, of_text):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([kind] * len(a), a, b, c, bits, of_text), kinds, strict=True)], names=["kind", "a", "b", "c", "bits", "of_text"])
 
     sets, held, seen = [], 0, set()
 
     def often():
         h, c = np.unique(np.concatenate(sets), return_counts=True)
         h, c = h[c >= OFTEN_LOCAL].view(np.int64), c[c >= OFTEN_LOCAL]
-        return rows(1, h, c, np.zeros_like(c), [None] * len(h))
+        return rows(1, h, c, np.zeros_like(c), [None] * len(h), np.zeros_like(c))
 
     for b in slices(batches):
         got = []
-        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for d, t, x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "of_text")), strict=True):
             u = shingles(t)
             node = node_of(u)
-            got.append((d, len(u), node, None if node in seen else bitmap(u)))
+            got.append((d, len(u), node, None if node in seen else bitmap(u), x))
             seen.add(node)
             sets.append(u)
             held += len(u)
@@ -379,10 +379,16 @@ def components(docs: DataFrame) -> DataFrame:
     linked with nothing. Rows with equal sets are linked; so are repeated rows. Rows without doc_id have no part in links;
     their component is null. An empty table gives an empty result.
     """
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """The rows of components(), with a hash of the text and with c, which tells components apart that have their smallest
+    doc_id in common; c is null for rows that are linked with nothing."""
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    told = settle(docs.mapInArrow(_describe, "kind int, a long, b long, c long, bits binary"), "described")
-    rows = told.where("kind = 0").selectExpr("a doc_id", "b n_shingles", "c node")
+    told = settle(docs.withColumn("of_text", F.xxhash64("text")).mapInArrow(_describe, "kind int, a long, b long, c long, bits binary, of_text long"), "described")
+    rows = told.where("kind = 0").selectExpr("a doc_id", "b n_shingles", "c node", "of_text")
     heavy = told.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT)
     often = np.sort(np.array([r[0] for r in heavy.collect()], dtype=np.int64).view(np.uint64))
     nodes = told.where("kind = 0 and b > 0 and a is not null").groupBy("c").agg(F.min("a").alias("rep"), F.max("b").alias("n"))
@@ -523,14 +529,26 @@ def components(docs: DataFrame) -> DataFrame:
 
     of = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    found = settle(of.join(least, "c").select("node", "component_id"), "found")
-    return rows.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = settle(of.join(least, "c").select("node", "c", "component_id"), "found")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "of_text", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that come first (smallest doc_id) in their component; of repeated rows with one doc_id, all."""
-    first = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of docs for each component: of the smallest doc_id, then of the least hash of the text; of rows that repeat
+    both, one. Rows that are linked with nothing stay, each: those without doc_id and those without words. Where rows share a
+    doc_id but not a text, each is judged by its own component.
+    """
+    rows = _labelled(docs)
+    first = rows.where("c is not null").groupBy("c", "doc_id", "of_text").agg(F.count("*").alias("n")).groupBy("c").agg(F.min(F.struct("doc_id", "of_text", "n")).alias("e"))
+    first = settle(first.select("e.doc_id", "e.of_text", "e.n"), "first")
+    alone = rows.where("c is null and doc_id is not null").select("doc_id", "of_text", F.lit(1).cast("long").alias("n")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of_text"))
+    kept = own.join(first.union(alone), ["doc_id", "of_text"])
+    ordered = F.xxhash64(*[F.col("own")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = kept.where("n > 1").groupBy("doc_id", "of_text").agg(F.min_by("own", ordered).alias("own"))
+    out = kept.where("n = 1").select("own").union(one.select("own")).union(own.where("doc_id is null").select("own"))
+    return out.select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,14 @@ def test_jaccard(spark):
     assert one.columns == rows.columns
 
 
+def test_one_row_of_each_component(spark):
+    """Row by row: repeated rows, rows that share a doc_id but not a text, rows without doc_id or without words."""
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x), (1, x), (2, x), (None, x), (None, y), (3, y), (2, y), (4, None), (4, ""), (4, ""), (2, x.upper())]
+    got = op9.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter([(1, x), (None, x), (None, y), (2, y), (4, None), (4, ""), (4, "")])
+
+
 def test_jaccard_in_large_groups(spark, monkeypatch):
     """Near copies in chains and crowds, with a passage that all share, small limits so that every path is taken."""
     import random
