@@ -14,6 +14,8 @@ join whose key carries a salt. Texts are shuffled only by clean(), which returns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .common import ASCII_LOWER, ASCII_UPPER, GAP, fold_case, settle
 
 MOST_DOCS, LEFT = 10, 30
 BROADCAST_ROWS, SALTS = 200_000, 16
+#: Lines of open documents up to which one task goes through them (clean).
+ONE_TASK_LINES = 300_000
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BROADCAST_LINES = 500_000
@@ -55,6 +59,14 @@ def frequent_lines(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
     return settle(seen.where(seen.n_docs > most_docs), "lines")
 
 
+def _meet(rows: DataFrame, table: DataFrame, few: bool, on: list[str], salt: str = "k") -> DataFrame:
+    """rows with their lines' row of a table: by broadcast, or by a shuffled join with a salt, as a line may be everywhere."""
+    if few:
+        return rows.join(F.broadcast(table), on)
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(table, [*on, "_salt"]).drop("_salt")
+
+
 def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
     """(g_k, gone, hs): for each document that loses lines, how many words, and the hashes of those lines."""
     often, lines = frequent_lines(docs, most_docs), lines_of(docs)
@@ -69,6 +81,83 @@ def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
     return settle(both.groupBy("g_k").agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs")), "gone")
 
 
+def _one_by_one(left: int):
+    """(l, owner) from the lines (k, l, words, n_words, taken) of documents in order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        owner: dict[int, int] = {}
+        now, lines = None, []
+
+        def close():
+            lost = sum(w for line, w, _, taken in lines if taken or line in owner)
+            if lines and 100 * (lines[0][2] - lost) >= left * lines[0][2]:
+                for line, _, _, taken in lines:
+                    if not taken:
+                        owner.setdefault(line, now)
+
+        for b in batches:
+            for k, line, w, n, taken in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now:
+                    close()
+                    now, lines = k, []
+                lines.append((line, w, n, taken))
+        close()
+        if owner:
+            yield pa.RecordBatch.from_arrays([pa.array(list(owner), pa.int64()), pa.array(list(owner.values()), pa.int64())], names=["l", "owner"])
+
+    return run
+
+
+def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
+    """_gone(), where a line stays in the first document that is itself kept.
+
+    As if documents that pass the base came one by one in order of (doc_id, k): each has the lines that no kept one before it
+    holds, is kept if that is enough, and then its lines are taken. In rounds: a document that is not depleted even
+    if all open ones before it took their lines is kept; one that taken lines alone deplete is rejected; the first open one is
+    always one or the other. A round is over the lines of open documents only; up to ONE_TASK_LINES, counted first, go to one task.
+    """
+    often, line = frequent_lines(docs, most_docs), F.xxhash64("host", "h").alias("l")
+    few = often.count() <= BROADCAST_ROWS
+    held = _meet(lines_of(docs).select(line, "doc_id", "k", "i", "h", "words"), often.select(line), few, ["l"]).distinct()
+    held = settle(held.groupBy("l", "h", "doc_id", "k").agg(F.sum("words").alias("words")), "held")
+    some = settle(held.select("k").distinct(), "holders")
+    some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+    # Written first: a filter would be pushed below measure() and evaluate its columns again for each element.
+    sized = settle(measure(docs.join(some, _key() == some.k, "left_semi")).select("k", "n_words", "n_repeat_words"), "sized")
+    sized = sized.where(~_failed()).select("k", "n_words").distinct()
+    who = F.struct("doc_id", "k")
+    held = settle(held.join(sized, "k"), "held")
+    rows, owners = held.withColumn("taken", F.lit(False)), []
+    while n := rows.count():
+        if n <= ONE_TASK_LINES:
+            one = rows.select("k", "l", "words", "n_words", "taken", F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "k").alias("at"))
+            one = one.repartition(1).sortWithinPartitions("at").drop("at").mapInArrow(_one_by_one(left), "l long, owner long")
+            owners.append(settle(one, "owners"))
+            break
+        first = rows.groupBy("l").agg(F.min(F.when(~F.col("taken"), who)).alias("first"))
+        x = settle(_meet(rows, first, few, ["l"]).withColumn("mine", ~F.col("taken") & who.eqNullSafe(F.col("first"))).drop("first"), "open")
+        lost = lambda c: F.sum(F.when(c, F.col("words")).otherwise(0))
+        sums = x.groupBy("k", "n_words").agg(lost(~F.col("mine")).alias("most"), lost(F.col("taken")).alias("least"))
+        enough = lambda c: 100 * (F.col("n_words") - F.col(c)) >= left * F.col("n_words")
+        done = settle(sums.where(enough("most") | ~enough("least")).select("k", enough("most").alias("stays")), "done")
+        owners.append(settle(x.where("mine").join(done.where("stays"), "k").select("l", F.col("k").alias("owner")), "owners"))
+        now = owners[-1].select("l", F.lit(True).alias("now"))
+        now = F.broadcast(now) if few else now
+        rest = x.drop("mine").join(done, "k", "left_anti").join(now, "l", "left")
+        rows = settle(rest.withColumn("taken", F.col("taken") | F.coalesce("now", F.lit(False))).drop("now"), "rest")
+    if not owners:
+        # Written too: from an empty literal the optimizer would push the filter on kept below measure().
+        return settle(held.select(F.col("k").alias("g_k"), F.col("words").alias("gone"), F.array("h").alias("hs")).limit(0), "gone")
+    owned = settle(reduce(DataFrame.union, owners), "owners")
+    gone = _meet(held, owned, few, ["l"]).where("k <> owner").groupBy(F.col("k").alias("g_k"))
+    lost = held.join(owned, "l", "left_anti")  # lines of which no holder is kept
+    gone = gone.agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
+    more = lost.groupBy(F.col("k").alias("g_k")).agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
+    return settle(gone.union(more).groupBy("g_k").agg(F.sum("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")), "gone")
+
+
 def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(own, k, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each row, own with its carried columns; no exchange.
 
@@ -97,13 +186,17 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return a.select("own", "k", *COUNTS)
 
 
-def _judged(docs: DataFrame, most_docs: int, left: int, carry: tuple[str, ...]) -> DataFrame:
-    gone, rows = _gone(docs, most_docs), measure(docs, carry)
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _judged(docs: DataFrame, gone: DataFrame, left: int, carry: tuple[str, ...]) -> DataFrame:
+    rows = measure(docs, carry)
     n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()
     if n <= BROADCAST_ROWS and size <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     rows = rows.join(gone, rows.k == gone.g_k, "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = _failed()
     # One comparison that needs both sides of the join: a filter on it stays above, where the counts are columns. Pushed
     # down, it would hold their expressions in place of the columns, and evaluate them again for each element.
     kept = F.when(failed, F.lit(-1)).otherwise(100 * (F.col("n_words") - F.col("n_removed_words"))) >= left * F.col("n_words")
@@ -117,15 +210,16 @@ def judge(docs: DataFrame, most_docs: int = MOST_DOCS, left: int = LEFT) -> Data
     base. A null source is a host of its own, a null doc_id the smallest. Rows that repeat in all three columns each
     count as a document; where they are a line's first holder, all of them keep it. An empty table gives an empty result.
     """
-    return _judged(docs, most_docs, left, ("doc_id",)).select("own.doc_id", *COUNTS, "base_failed", "n_removed_words", "kept")
+    return _judged(docs, _gone(docs, most_docs), left, ("doc_id",)).select("own.doc_id", *COUNTS, "base_failed", "n_removed_words", "kept")
 
 
 def clean(docs: DataFrame, most_docs: int = MOST_DOCS, left: int = LEFT) -> DataFrame:
     """The kept rows of docs with their columns; text is without the removed lines, and n_chars, if any, its length.
 
-    Cases as in judge(). A document that loses no line keeps its text as it is.
+    Unlike judge(), whose verdict is that of the query and its SQL, a line stays in the first holder that is kept: no
+    line leaves the corpus because its first holder fails the base or is depleted. Other cases as in judge(). A document that loses no line keeps its text as it is.
     """
-    rows = _judged(docs, most_docs, left, tuple(docs.columns)).where("kept")
+    rows = _judged(docs, _gone_of_kept(docs, most_docs, left), left, tuple(docs.columns)).where("kept")
     text, whole = F.col("own.text"), F.col("hs").isNull()
     short = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("hs", F.xxhash64(_norm(x)))), "\n")
     new = {"text": F.when(whole, text).otherwise(short)}

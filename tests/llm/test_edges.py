@@ -84,6 +84,32 @@ def test_lines_above_the_limit_go(spark):
         assert 101 not in text
 
 
+@pytest.mark.parametrize(("most_rows", "one_task"), [(op2.BROADCAST_ROWS, op2.ONE_TASK_LINES), (-1, 0)])
+def test_lines_stay_in_a_document_that_is_kept(spark, monkeypatch, most_rows, one_task):
+    """The first holder fails the base, or is depleted: the line stays in the next holder that is kept; against documents
+    taken one by one."""
+    import random
+
+    monkeypatch.setattr(op2, "BROADCAST_ROWS", most_rows)
+    monkeypatch.setattr(op2, "ONE_TASK_LINES", one_task)
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"{n}w{j}" for j in range(20))
+    abc = [line("A"), line("B"), line("C")]
+    rows = [(1, "\n".join(abc * 3), "en", "a", 0)] + [(i, "\n".join(abc), "en", "a", 0) for i in range(2, 14)]
+    for i in range(24):
+        own = [line(f"o{i}x{j}") for j in range(rng.randrange(3))]
+        rows.append((100 + i, "\n".join(own + [line(f"s{j}") for j in rng.sample(range(8), rng.randrange(3, 8))]), "en", "b", 0))
+    n, want, taken = Counter((r[3], x) for r in rows for x in set(r[1].split("\n"))), {}, set()
+    for d, t, _, host, _ in sorted(rows):
+        ls = t.split("\n")
+        stay = [x for x in ls if n[host, x] <= op2.MOST_DOCS or (host, x) not in taken]
+        if d != 1 and 100 * len(stay) >= op2.LEFT * len(ls):
+            want[d] = "\n".join(stay)
+            taken |= {(host, x) for x in ls}
+    got = {r.doc_id: r.text for r in op2.clean(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and got[2] == "\n".join(abc) and 3 not in got
+
+
 def test_language(spark):
     rows = odd(spark)
     model = op3.fit(rows)
