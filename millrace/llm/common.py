@@ -47,6 +47,23 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Tables of one run, in a folder of their own that is deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, shared_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        forget(self.spark, self.root)
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return settle(df, name, f"{self.root}/{self.n}-{name}")
+
+
 def fold_case(text: Column) -> Column:
     """A-Z lowered, and nothing else."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
@@ -76,11 +93,11 @@ def _union_find(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK_EDGES, settle=settle) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 
     Up to `one_task` edges, counted first, go to one task of an executor. More than that alternate large-star and
-    small-star rounds, which keep connectivity and end in stars around the smallest node of each component, after a
+    small-star rounds (tables by `settle`), which keep connectivity and end in stars around the smallest node of each component, after a
     number of rounds that grows with the logarithm of the longest path. Each round is a table in the shared folder. A hub's
     neighbours are never gathered: each round takes only a minimum for each node, joined back to the edges by the node.
     """

@@ -3,30 +3,31 @@
 A document is its set of distinct five-word shingles (64-bit hashes). Two sets of sizes s and t with Jaccard similarity of
 at least 3/4 differ in at most H = (s + t) / 7 elements. Sizes are cut into bands, wider than 4/3, so that linked sets lie in
 one band or in neighbouring ones; a set takes part in its own band and, if a partner can lie there, in the next. A band
-divides the domain of hashes into ranges. As each differing element spoils one range at most, of the first H + 1 ranges in which a
-set has elements one agrees with its partner's in full, and the ranges before it that hold elements of the partner
-differ too, so that it is among the partner's first H + 1: the pair shares the signature (band, range, elements of the range).
-
-Ranges of which all elements are frequent in the corpus (passages that many documents share) would make huge groups. They
-are passed over like empty ones: the argument holds as before, if either set has H + 1 ranges left. Sets that do not (copies
-whose every shingle is frequent) also give signatures of a second kind that pass over empty ranges only, under further
-divisions of the domain until H + 1 ranges are filled. Which shingles are called frequent decides the cost, never the result.
-
-Equal sets are one node from the start, and a task gives a node's signatures once. Groups of signatures are read in
-sorted order, as a stream. Nothing is expanded into all pairs: round by round each group's members are verified against a
-pivot, and only pairs of different components go on. Large groups have further rounds with other pivots. Where one is
-still in several components, its range is shared too widely: its members are signed again and pass over such ranges (the argument
-holds as above, as what is passed over depends on the range's elements only), and the new groups are treated alike, for
-WIDE_ROUNDS rounds. Members that lack H + 1 ranges then, and groups left after the last round, are compared inside their own group:
-what is apart from the group's largest component meets its members in salted cells of bounded bytes, which tasks get by a shuffle
-and which give links only. Small groups with members of several components compare these in full. A pair first meets a bound: a bitmap of each set, of 4 to 8 bits an element, from which
-the intersection can be no larger than the common bits and the elements that share a bit. Pairs that pass are verified on
-whole sets. Components follow by connected_components().
+divides the domain of hashes into blocks of three partitions, and each block gives a signature for each of its subsets of two
+partitions: what the set has in them. Of M = H / 2 + 1 blocks (rounded down), one has at most one differing element, so that two of
+its partitions agree and the pair shares their signature.
+
+A signature of two empty partitions would be everyone's, so it is no signature, and a block counts only if all three of its
+subsets give one. A set gives the signatures of all blocks up to its M-th that counts: of a linked pair, the one whose blocks end
+first shares one of them with the other. A set of fewer than M such blocks (a short text) goes on to further divisions of the domain. Whether
+a signature is used depends on itself only, so the argument holds as well where signatures are passed over (below).
+
+Equal sets are one node from the start. Groups of signatures are read in sorted order, as a stream, and nothing is
+expanded into all pairs:
+
+1. Each group's members are verified against its first one; links make components.
+2. Groups still in several components whose comparison would be large (a passage that very many documents share) are passed
+   over: their members give signatures anew without those, for WIDE_ROUNDS rounds. Members that lack M blocks then stay.
+3. In the groups left in several components, what is apart from a group's largest component meets the other members in
+   cells of bounded size that tasks get by a shuffle, so that all pairs of different components are looked at.
+
+Before whole sets are compared, pairs meet a bound: a bitmap of each set, of 4 to 8 bits an element, from which the
+intersection can be no larger than the common bits and the elements that share a bit. Sizes of rounds, cells and groups decide
+the cost, never the result. Components follow by connected_components().
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,20 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, settle
+from .common import Scratch, connected_components, settle
 from .encoders import slices
 
-WIDTH, RATIO, RANGES = 5, 3.0, 0.6
-#: A shingle is frequent from OFTEN documents; a task reports those it has seen OFTEN_LOCAL times in some FLUSH shingles.
-OFTEN, OFTEN_LOCAL, MOST_FREQUENT, FLUSH = 64, 12, 200_000, 4_000_000
-SMALL, PIVOT_ROUNDS, BROADCAST_ROWS = 24, 3, 500_000
-#: Rounds of signing past widely shared ranges; how many of these a round passes over at most, and divisions tried. They decide the cost only.
-WIDE_ROUNDS, MOST_WIDE, DIVISIONS = 3, 500_000, 4
-#: Members up to which a task holds a signature's group.
-PART = 200_000
-#: Bytes of whole sets on each side of a cell.
-CELL_BYTES = 8_000_000
-WORD_MEMO = 600_000
+WIDTH, RATIO, SPARE = 5, 2.0, 1.1
+#: Partitions of a block, and its subsets of two.
+BLOCK, SUBSETS = 3, ((0, 1), (0, 2), (1, 2))
+#: Divisions of the domain that a set tries when signatures are passed over; rounds of that; how many are passed over in all.
+DIVISIONS, WIDE_ROUNDS, MOST_WIDE = 4, 2, 100_000
+#: Pairs of a group above which its signature is passed over. Members of a cell, on each side.
+WIDE_PAIRS, CELL = 250_000, 16_384
+#: Members of a group that is told once in a task; members of a row; members up to which a task holds a group.
+SMALL, CHUNK, PART = 24, 4_096, 200_000
+BROADCAST_ROWS, WORD_MEMO = 500_000, 600_000
+#: Bytes of bitmaps compared at once.
+STEP_BYTES = 4_000_000
 
 
 class _Words(dict):
@@ -129,84 +131,64 @@ _TOPS = np.array([b[1] for b in BANDS], dtype=np.int64)
 
 
 def places(s: int) -> list[tuple[int, int, int]]:
-    """(band, ranges, signatures) for a set of size s: its own band, and the next if a linked set can lie there."""
+    """(band, blocks, blocks that must count) for a set of size s: its own band, and the next if a linked set can lie there. A
+    band where only an equal set can be linked is left out."""
     b, most, out = int(np.searchsorted(_TOPS, s)), 4 * s // 3, []
     for k in (b, b + 1):
         low, high = BANDS[k]
-        if k == b or most >= low:
-            out.append((k, max(8, int(np.ceil(RANGES * high))), (s + min(high, most)) // 7 + 1))
+        differ = (s + min(high, most)) // 7
+        if differ and (k == b or most >= low):
+            out.append((k, max(2, int(np.ceil(SPARE * (2 * high // 14 + 1)))), differ // 2 + 1))
     return out
 
 
-def _ranges(u: np.ndarray, n: int, tag: int, often: np.ndarray | None, need: int, wide: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """Signatures of the first `need` ranges that count, and whether there are so many. u ascends, so ranges are runs.
-    wide: signatures, in order, that do not count."""
-    spans = (u >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-    start = np.flatnonzero(np.concatenate([[True], spans[1:] != spans[:-1]]))
-    if often is not None and len(often):
-        at = np.minimum(np.searchsorted(often, u), len(often) - 1)
-        some = np.logical_or.reduceat(often[at] != u, start)
-    else:
-        some = np.ones(len(start), dtype=bool)
-    pick = np.flatnonzero(some)[: need if wide is None else None]
+def _subsets(u: np.ndarray, blocks: int, tag: int, need: int, wide: np.ndarray | None) -> tuple[np.ndarray, bool]:
+    """Signatures of the blocks up to the `need`-th that counts, and whether so many do. u ascends, so partitions are runs.
+    wide: signatures, in order, that are passed over."""
+    n = blocks * BLOCK
+    at = (u >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    sums = np.zeros(n, dtype=np.uint64)
+    odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(mix(u + np.uint64(0x632BE59BD9B4E019)), start)[pick]
-        found = mix(sums ^ mix(spans[start[pick]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tag)))
-    if wide is not None and len(wide) and len(found):
-        at = np.minimum(np.searchsorted(wide, found), len(wide) - 1)
-        found = found[wide[at] != found]
-    return found[:need], len(found) >= need
+        sums[at[start].astype(np.int64)] = np.add.reduceat(mix(u + np.uint64(0x632BE59BD9B4E019)), start)
+        part = sums.reshape(blocks, BLOCK)
+        own = np.arange(blocks, dtype=np.uint64) * odd
+        found = np.stack([mix(mix(part[:, i] + np.uint64(2 * k + 1) * odd) + part[:, j] * odd + mix(own + np.uint64(4 * tag + k))) for k, (i, j) in enumerate(SUBSETS)], axis=1)
+    use = np.stack([(part[:, i] | part[:, j]) != 0 for i, j in SUBSETS], axis=1)
+    if wide is not None and len(wide):
+        use &= wide[np.minimum(np.searchsorted(wide, found), len(wide) - 1)] != found
+    counted = np.cumsum(use.all(axis=1))
+    end = int(np.searchsorted(counted, need)) + 1
+    return found[:end][use[:end]], end <= blocks
 
 
 def _division(u: np.ndarray, t: int) -> np.ndarray:
     """The set as the t-th division of the domain sees it."""
-    return u if t <= 1 else np.sort(mix(u ^ mix(np.array([t], dtype=np.uint64))))
+    return u if not t else np.sort(mix(u ^ mix(np.array([t], dtype=np.uint64))))
 
 
-def signatures(u: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """All signatures of a set, as signed 64-bit integers."""
-    out = []
-    for band, n, need in places(len(u)):
-        found, enough = _ranges(u, n, band << 8, often, need)
-        out.append(found)
+def signatures(u: np.ndarray, wide: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """All signatures of a set, as signed 64-bit integers, and whether a band lacks blocks that count under every division
+    tried, which is so only where signatures are passed over. Linked sets share one, or both lack."""
+    out, short = [np.empty(0, dtype=np.uint64)], False
+    for band, blocks, need in places(len(u)):
         t = 0
-        while not enough:
-            t += 1
-            found, enough = _ranges(_division(u, t), n, band << 8 | min(t, 255), None, need)
-            out.append(found)
-    return np.concatenate(out).view(np.int64)
-
-
-def signatures_past(u: np.ndarray, often: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Signatures of a set that pass over `wide` ones too, and whether a band lacks H + 1 under every division tried. Linked
-    sets share one, or both lack."""
-    out, short = [], False
-    for band, n, need in places(len(u)):
-        for t in range(DIVISIONS):
-            found, enough = _ranges(_division(u, t), n, band << 8 | t, None if t else often, need, wide)
+        while True:
+            found, enough = _subsets(_division(u, t), blocks, band << 8 | min(t, 255), need, wide)
             out.append(found)
+            t += 1
             if enough:
                 break
-        else:
-            short = True
+            if wide is not None and t == DIVISIONS:
+                short = True
+                break
     return np.concatenate(out).view(np.int64), short
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: (doc_id, size, node, bitmap, hash of the text) of each row, the bitmap once for a node; kind 1: (shingle,
-    documents of the task that hold it)."""
-
-    def rows(kind, a, b, c, bits, of_text):
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([kind] * len(a), a, b, c, bits, of_text), kinds, strict=True)], names=["kind", "a", "b", "c", "bits", "of_text"])
-
-    sets, held, seen = [], 0, set()
-
-    def often():
-        h, c = np.unique(np.concatenate(sets), return_counts=True)
-        h, c = h[c >= OFTEN_LOCAL].view(np.int64), c[c >= OFTEN_LOCAL]
-        return rows(1, h, c, np.zeros_like(c), [None] * len(h), np.zeros_like(c))
-
+    """(doc_id, n, node, bits, of_text) of each row: size, digest and bitmap of its set, a task gives a node's bitmap once."""
+    seen: set[int] = set()
     for b in slices(batches):
         got = []
         for d, t, x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "of_text")), strict=True):
@@ -214,21 +196,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = node_of(u)
             got.append((d, len(u), node, None if node in seen else bitmap(u), x))
             seen.add(node)
-            sets.append(u)
-            held += len(u)
-        yield rows(0, *zip(*got, strict=True))
-        if held > FLUSH:
-            yield often()
-            sets, held = [], 0
-    if sets:
-        yield often()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["doc_id", "n", "node", "bits", "of_text"])
 
 
 def _sign(shared):
-    """(node, signatures, short) of each set; shared: frequent shingles, and widely shared signatures to pass over, if any."""
+    """(node, sigs, short) of each set; shared: signatures to pass over, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (often, wide), seen = shared.value, set()
+        wide, seen = shared.value, set()
         for b in slices(batches):
             nodes, sigs, short = [], [], []
             for t in b.column("text").to_pylist():
@@ -236,7 +212,7 @@ def _sign(shared):
                 if len(u) and (node := node_of(u)) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    found, lacks = (signatures(u, often), False) if wide is None else signatures_past(u, often, wide)
+                    found, lacks = signatures(u, wide)
                     sigs.append(found), short.append(lacks)
             if nodes:
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
@@ -245,32 +221,54 @@ def _sign(shared):
     return run
 
 
-def _gather(part: int = PART):
-    """(sig, members, large) of each signature that two nodes share, from rows in order of (sig, node). Of small groups
-    with the same members, one; of large ones, rows of some members each. One of more than `part` members is told of part by
-    part; its end is large too, however short."""
+def _digest(b: bytes) -> int:
+    import xxhash
+
+    d = xxhash.xxh3_64_intdigest(b)
+    return d - (d >> 63 << 64)
+
+
+GROUPS = "sig long, g long, k int, pivot long, members array<long>"
+
+
+def _gather(chunk: int = CHUNK, part: int = PART):
+    """(sig, g, k, pivot, members) of each signature that two nodes share, from rows in order of (sig, node). pivot: the first
+    member. g: the same for the same members; of a group of more than `chunk` members, which has several rows k, its signature. Of small
+    groups with the same members a task gives one. What is held of a group of any size is `part` members and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
+        told: set[int] = set()
         left_s, left_n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        begun = False  # a part of the first group of what is left has been told
+        begun: tuple[int, int] | None = None  # (pivot, rows told) of the first group of what is left, if part of it has been told
 
-        def groups(s, n, begun):
-            start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, dtype=np.int64)
+        def groups(s, n, begun, ends=True):
+            """ends: the last group has ended."""
+            if not len(s):
+                return begun, None
+            start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             end = np.append(start[1:], len(s))
-            sig, members, large = [], [], []
-            for a, b in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
-                m = n[a:b]
-                if len(m) > SMALL or (begun and a == 0):
-                    for k in range(0, len(m), 1024):
-                        sig.append(int(s[a])), members.append(m[k : k + 1024]), large.append(True)
-                elif (key := m.tobytes()) not in told:
+            pick = end - start > 1
+            pick[0] |= begun is not None
+            rows = []
+            for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True):
+                m, sig = n[a:b], int(s[a])
+                first, k = begun if begun is not None and a == 0 else (int(m[0]), 0)
+                if k or len(m) > chunk or not ends and b == len(s):
+                    for x in range(0, len(m), chunk):
+                        rows.append((sig, sig, k, first, m[x : x + chunk]))
+                        k += 1
+                    begun = (first, k)
+                    continue
+                g = _digest(m.tobytes())
+                if len(m) <= SMALL:
+                    if g in told:
+                        continue
                     if len(told) > 300_000:
                         told.clear()
-                    told.add(key)
-                    sig.append(int(s[a])), members.append(m), large.append(False)
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(members, pa.list_(pa.int64())), pa.array(large)], names=["sig", "members", "large"])
+                    told.add(g)
+                rows.append((sig, g, 0, first, m))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            return begun, pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sig", "g", "k", "pivot", "members"]) if rows else None
 
         for b in batches:
             s = np.concatenate([left_s, b.column(0).to_numpy(zero_copy_only=False)])
@@ -280,13 +278,20 @@ def _gather(part: int = PART):
             keep = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
             s, n = s[keep], n[keep]
             last = int(np.searchsorted(s, s[-1]))  # the last group may go on
-            yield from groups(s[:last], n[:last], begun)
-            begun = begun and last == 0
+            if last:
+                _, out = groups(s[:last], n[:last], begun)
+                begun = None
+                if out is not None:
+                    yield out
             left_s, left_n = s[last:], n[last:]
-            if len(left_s) > part:  # joined by its last member
-                yield pa.RecordBatch.from_arrays([pa.array([int(s[-1])], pa.int64()), pa.array([left_n], pa.list_(pa.int64())), pa.array([True])], names=["sig", "members", "large"])
-                left_s, left_n, begun = s[-1:], n[-1:], True
-        yield from groups(left_s, left_n, begun)
+            if len(left_s) > part:
+                # The last member waits, so that its repeated rows are seen.
+                begun, out = groups(left_s[:-1], left_n[:-1], begun, ends=False)
+                yield out
+                left_s, left_n = left_s[-1:], left_n[-1:]
+        _, out = groups(left_s, left_n, begun)
+        if out is not None:
+            yield out
 
     return run
 
@@ -330,42 +335,77 @@ def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
 
-def _cell(cell: pa.Table) -> pa.Table:
-    """Links of a cell's sets that are apart (side 0) with its others: bitmaps first, then whole sets; one for each
-    component met."""
-    block, by, told, links = [], {}, set(), []
-    for side, x, c, i in zip(*(cell.column(n).to_pylist() for n in ("side", "node", "c", "items")), strict=True):
-        u = np.frombuffer(i, np.uint64)
-        bits = bitmap(u)
-        if side:
-            by.setdefault(len(bits), []).append((x, c, u, bits))
-        else:
-            block.append((x, c, u, bits))
-    for width, rows in by.items() if block else ():
-        maps = {width: np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), width)}
-        maps[width // 2] = maps[width][:, : width // 2] | maps[width][:, width // 2 :]
-        sizes, comps = np.array([len(r[2]) for r in rows]), np.array([r[1] for r in rows])
-        for x, c, u, bits in block:
-            m = np.frombuffer(bits, np.uint8)
-            if len(m) == 2 * width:
-                m = m[:width] | m[width:]
-            if (y := maps.get(len(m))) is None:
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps, a row each, folded to `width` words."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def _similar(side: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of a cell that the bound admits: side 0 with 1, and with 0 of other components; side 2 with 3."""
+    width = np.array([len(b) for b in bits]) // 8
+    by = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    maps = {w: np.frombuffer(b"".join([bits[i] for i in at.tolist()]), "<u8").reshape(len(at), w) for w, at in by.items()}
+    out = []
+    for wa, at in by.items():
+        mine = side[at] % 2 == 0
+        a, xs = at[mine], maps[wa][mine]
+        if not len(a):
+            continue
+        for wb in (wa // 2, wa, 2 * wa):
+            if wb not in by:
                 continue
-            most = np.bitwise_count(y & m).sum(1, dtype=np.int64) + len(u) - int(np.bitwise_count(m).sum())
-            for k in np.flatnonzero((100 * most >= 75 * (sizes + len(u) - most)) & (comps != c)).tolist():
-                z, d, v, _ = rows[k]
-                if (x, d) not in told:
-                    inter = len(np.intersect1d(u, v, assume_unique=True))
-                    if 100 * inter >= 75 * (len(u) + len(v) - inter):
-                        told.add((x, d))
-                        links.append((x, z))
-    return pa.table({"a": pa.array([e[0] for e in links], pa.int64()), "b": pa.array([e[1] for e in links], pa.int64())})
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that are written by now."""
-    gc.collect()
-    spark._jvm.System.gc()
+            b, w = by[wb], min(wa, wb)
+            x, y = _folded(xs, w), _folded(maps[wb], w)
+            spare_x = n[a] - np.bitwise_count(x).sum(1, dtype=np.int64)
+            spare_y = n[b] - np.bitwise_count(y).sum(1, dtype=np.int64)
+            step = max(1, STEP_BYTES // (8 * w * len(b)))
+            for k in range(0, len(a), step):
+                common = np.bitwise_count(x[k : k + step, None, :] & y[None, :, :]).sum(2, dtype=np.int64)
+                p = a[k : k + step, None]
+                most = common + np.minimum(spare_x[k : k + step, None], spare_y[None, :])
+                ok = (100 * most >= 75 * (n[p] + n[b] - most)) & (c[p] != c[b]) & ((side[b] == side[p] + 1) | (side[p] == 0) & (side[b] == 0) & (node[p] < node[b]))
+                i, j = np.nonzero(ok)
+                if len(i):
+                    out.append((node[a[k + i]], node[b[j]]))
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the cells whose rows (g, i, j, side, node, c, n, bits) come side by side."""
+
+    def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        side, node, c, n = (t.column(x).to_numpy() for x in ("side", "node", "c", "n"))
+        return _similar(side, node, c, n, t.column("bits").to_pylist())
+
+    def batch(found):
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    left: list[pa.Table] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        key = np.stack([t.column(x).to_numpy() for x in ("g", "i", "j")], axis=1)
+        found = []
+        if left and tuple(key[0]) != last:
+            found += pairs(pa.concat_tables(left))
+            left = []
+        ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), t.num_rows]
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            left.append(t.slice(lo, hi - lo))
+            if hi < t.num_rows:
+                found += pairs(pa.concat_tables(left))
+                left = []
+        last = tuple(key[-1])
+        if found:
+            yield batch(found)
+    if left and (found := pairs(pa.concat_tables(left))):
+        yield batch(found)
 
 
 def _pairs(a: str, b: str):
@@ -385,153 +425,109 @@ def components(docs: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> DataFrame:
     """The rows of components(), with a hash of the text and with c, which tells components apart that have their smallest
     doc_id in common; c is null for rows that are linked with nothing."""
-    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    told = settle(docs.withColumn("of_text", F.xxhash64("text")).mapInArrow(_describe, "kind int, a long, b long, c long, bits binary, of_text long"), "described")
-    rows = told.where("kind = 0").selectExpr("a doc_id", "b n_shingles", "c node", "of_text")
-    heavy = told.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "a").limit(MOST_FREQUENT)
-    often = np.sort(np.array([r[0] for r in heavy.collect()], dtype=np.int64).view(np.uint64))
-    nodes = told.where("kind = 0 and b > 0 and a is not null").groupBy("c").agg(F.min("a").alias("rep"), F.max("b").alias("n"))
-    nodes = settle(nodes.withColumnRenamed("c", "node"), "nodes")
-    maps = told.where("bits is not null").select(F.col("c").alias("node"), "bits")
-
-    def gathered(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The members of small groups; (sig, node) of large ones."""
+    told = settle(docs.withColumn("of_text", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, n long, node long, bits binary, of_text long"), "described")
+    nodes = told.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        nodes = scratch.settle(nodes, "nodes")
+        labels = _joined(docs.where("doc_id is not null"), told, nodes, scratch)
+        of = scratch.settle(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c")), "labels")
+        least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
+        found = settle(of.join(least, "c").select("node", "c", "component_id"), "found")
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    rows = told.select("doc_id", F.col("n").alias("n_shingles"), "node", "of_text")
+    return rows.join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "of_text", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+
+
+def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the nodes that have links."""
+    spark, shape = docs.sparkSession, "node long, sigs array<long>, short boolean"
+
+    def signed(texts: DataFrame, wide: np.ndarray | None) -> DataFrame:
+        return texts.mapInArrow(_sign(spark.sparkContext.broadcast(wide)), shape)
+
+    def gathered(signed: DataFrame) -> DataFrame:
         rows = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-        groups = settle(rows.mapInArrow(_gather(), "sig long, members array<long>, large boolean"), "groups")
-        del rows
-        _release(spark)
-        return settle(groups.where("not large").select("members").distinct(), "small"), settle(groups.where("large").select("sig", F.explode("members").alias("node")), "large")
-
-    sc, shape = spark.sparkContext, "node long, sigs array<long>, short boolean"
-    small, large = gathered(docs.where("doc_id is not null").select("text").mapInArrow(_sign(sc.broadcast((often, None))), shape))
-    # One bitmap a node; only of nodes that share a signature. Copies lie in several tasks, one of theirs is taken.
-    member = small.select(F.explode("members").alias("node")).union(large.select("node")).distinct()
-    sketch = settle(maps.join(member, "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")).join(nodes, "node"), "sketches")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes, and then bitmaps, allow a link."""
-        size = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-        bits = lambda c, name: sketch.select(F.col("node").alias(c), F.col("bits").alias(name))
-        close = pairs.join(size("a"), "a").join(size("b"), "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-        out = settle(close.join(bits("a", "p"), "a").join(bits("b", "q"), "b").mapInArrow(_bound, "a long, b long"), "pairs")
-        _release(spark)
-        return out
+        return scratch.settle(rows.mapInArrow(_gather(CHUNK, PART), GROUPS), "groups")
+
+    groups = gathered(signed(docs.select("text"), None))
+    # Its shuffle is the largest by far: its files go now, and not when the driver's memory happens to be full.
+    spark._jvm.System.gc()
+    member = groups.select(F.explode("members").alias("node")).distinct()
+    sketch = told.where("bits is not null").join(member, "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")).join(nodes, "node")
+    sketch = scratch.settle(sketch.select("node", "rep", "n", "bits"), "sketches")
 
     def texts_of(some: DataFrame) -> DataFrame:
         """One text of each of some nodes."""
-        wanted = settle(some.join(nodes, "node").select("rep").distinct(), "wanted")
+        wanted = scratch.settle(some.join(sketch, "node").select("rep").distinct(), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
         return docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text")
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(node, items): the whole sets of some nodes, made anew."""
-        return settle(texts_of(some).mapInArrow(_sets, "node long, items binary"), "sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their whole sets."""
-        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        x = sets.select(F.col("node").alias("a"), F.col("items").alias("p"))
-        y = sets.select(F.col("node").alias("b"), F.col("items").alias("q"))
-        out = settle(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long"), "links")
-        _release(spark)
-        return out
-
-    def stars(small: DataFrame, large: DataFrame) -> DataFrame:
-        """Each group's members with its first one."""
-        star = small.select(F.col("members")[0].alias("p"), F.explode(F.slice("members", 2, SMALL)).alias("m"))
-        pivot = large.groupBy("sig").agg(F.min("node").alias("p"))
-        return star.union(large.join(pivot, "sig").where("node <> p").select("p", F.col("node").alias("m"))).select(*_pairs("p", "m")).distinct()
-
-    tried = [plausible(stars(small, large))]
-    labels = connected_components(verify(tried[0]))
-
-    def merge(pairs: DataFrame) -> DataFrame:
-        """Labels after a round over pairs of nodes: those in different components, and not tried before, are verified, and
-        the components that their links join become one."""
-        x = labels.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-        y = labels.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
-        far = pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b").distinct()
-        more = plausible(reduce(lambda d, t: d.join(t, ["a", "b"], "left_anti"), tried, far))
-        tried.append(more)
-        if not more.take(1):
-            return labels
-        return absorb(verify(more))
-
-    def absorb(links: DataFrame) -> DataFrame:
-        """Labels after the components that links join have become one."""
-        x = labels.select(F.col("node").alias("a"), F.col("component").alias("c_a"))
-        y = labels.select(F.col("node").alias("b"), F.col("component").alias("c_b"))
-        links = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-        joined = connected_components(links)
-        up = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        old = labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        return settle(old.union(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
-
-    def split(large: DataFrame) -> DataFrame:
-        """Members, with their components, of large groups that are in several."""
-        m = large.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-        mixed = m.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        return settle(m.join(mixed.select("sig"), "sig"), "split")
-
-    def inside(m: DataFrame) -> DataFrame:
-        """Links between components of each group: what is apart from its largest one with all its members, cell by cell."""
-        same = m.groupBy("sig").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x")).groupBy("n", "x").agg(F.min("sig").alias("sig"))
-        m = settle(m.join(same.select("sig"), "sig", "left_semi"), "inside")
-        sized = m.join(nodes.select("node", (8 * F.col("n")).alias("size")), "node").groupBy("sig", "c").agg(F.sum("size").alias("size"))
-        sized = sized.groupBy("sig").agg(F.max_by("c", F.struct("size", "c")).alias("top"), F.sum("size").alias("whole"), F.max("size").alias("most"))
-        cells = lambda size: F.ceil(size / CELL_BYTES).cast("int")
-        m = m.join(sized.select("sig", "top", cells(F.col("whole") - F.col("most")).alias("n_i"), cells(F.col("whole")).alias("n_j")), "sig")
-        salt = lambda n, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        apart = m.where("c <> top").select("sig", salt("n_i", 1).alias("i"), each("n_j").alias("j"), F.lit(0).alias("side"), "node", "c")
-        whole = m.select("sig", each("n_i").alias("i"), salt("n_j", 2).alias("j"), F.lit(1).alias("side"), "node", "c")
-        rows = apart.union(whole).join(sets_of(m.select("node").distinct()), "node")
-        out = settle(rows.groupBy("sig", "i", "j").applyInArrow(_cell, "a long, b long"), "links")
-        _release(spark)
-        return out
-
-    wide, rest, smalls = np.empty(0, dtype=np.int64), [], [small]
-    for k in range(WIDE_ROUNDS + 1):
-        if not large.take(1):
-            break
-        for t in range(PIVOT_ROUNDS):
-            m = split(large)
-            top = m.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(t))).alias("p"))
-            labels = merge(m.join(top, "sig").where("node <> p").select(*_pairs("node", "p")).distinct())
-        m = split(large)
-        if not m.take(1):
-            break
-        if k == WIDE_ROUNDS:
-            rest.append(m)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, by their whole sets, which are made anew."""
+        sets = scratch.settle(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()).mapInArrow(_sets, "node long, items binary"), "sets")
+        x, y = (sets.select(F.col("node").alias(c), F.col("items").alias(p)) for c, p in (("a", "p"), ("b", "q")))
+        return scratch.settle(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long"), "links")
+
+    def stars(groups: DataFrame) -> DataFrame:
+        """Links of each group's members with its first one."""
+        star = groups.select("pivot", F.explode("members").alias("m")).where("pivot <> m").select(*_pairs("pivot", "m")).distinct()
+        x, y = (sketch.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(p)) for c, p in (("a", "p"), ("b", "q")))
+        close = star.join(x, "a").join(y, "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+        return verified(scratch.settle(close.mapInArrow(_bound, "a long, b long"), "pairs"))
+
+    def labelled(links: list[DataFrame]) -> DataFrame:
+        return connected_components(reduce(DataFrame.union, links), settle=scratch.settle)
+
+    def mixed(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(g, node, c) of all groups; (g, top, n, apart, x) of those in several components: top is the largest, x a digest of
+        the members."""
+        m = groups.dropDuplicates(["g", "k"]).select("g", F.explode("members").alias("node")).join(labels, "node", "left")
+        m = scratch.settle(m.select("g", "node", F.coalesce("component", "node").alias("c")), "members")
+        each = m.groupBy("g", "c").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"))
+        of = each.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"), F.expr("bit_xor(x)").alias("x")).where("n > 2 and most.n < n")
+        return m, scratch.settle(of.select("g", F.col("most.c").alias("top"), "n", (F.col("n") - F.col("most.n")).alias("apart"), "x"), "mixed")
+
+    def inside(m: DataFrame, of: DataFrame) -> DataFrame:
+        """Links between components of the same group; of groups with the same members, one is looked at."""
+        m = m.join(of.join(of.groupBy("n", "x").agg(F.min("g").alias("g")).select("g"), "g", "left_semi"), "g").withColumn("out", F.col("c") != F.col("top"))
+        one = m.where(F.col("n") <= CELL).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("out"), 0).otherwise(1).alias("side"), "node", "c")
+        more = m.where(F.col("n") > CELL)
+        cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+        salt = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), cells(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), cells(c) - 1))
+        apart = more.where("out").select("g", salt("apart").alias("i"), each("n").alias("j"), F.lit(2).alias("side"), "node", "c")
+        whole = more.select("g", each("apart").alias("i"), salt("n").alias("j"), F.lit(3).alias("side"), "node", "c")
+        rows = one.union(apart).union(whole).join(sketch.select("node", "n", "bits"), "node")
+        found = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_cells, "a long, b long")
+        return verified(scratch.settle(found.distinct(), "pairs"))
+
+    links = [stars(groups)]
+    labels = labelled(links)
+    m, of = mixed(groups, labels)
+    wide = np.empty(0, dtype=np.int64)
+    for k in range(WIDE_ROUNDS):
+        top = of.where(F.col("apart") * F.col("n") > WIDE_PAIRS)
+        sigs = groups.join(top.select("g"), "g", "left_semi").select("sig").distinct().limit(MOST_WIDE - len(wide)).toArrow().column("sig").to_numpy()
+        if not len(sigs):
             break
-        top = settle(m.groupBy("sig").count().orderBy(F.desc("count"), "sig").limit(MOST_WIDE).select("sig"), "wide")
-        wide = np.union1d(wide, np.array([r[0] for r in top.collect()], dtype=np.int64))
-        past = m.join(top, "sig", "left_semi")
-        shared = sc.broadcast((often, np.sort(wide.view(np.uint64))))
-        signed = settle(texts_of(past.select("node").distinct()).mapInArrow(_sign(shared), shape).join(past, "node", "left_semi"), "signed")
-        rest += [m.join(top, "sig", "left_anti"), past.join(signed.where("short"), "node", "left_semi")]
-        small, large = gathered(signed)
-        smalls.append(small)
-        labels = merge(stars(small, large))
-    if rest:
-        left = reduce(DataFrame.union, [m.select(F.xxhash64("sig", F.lit(k)).alias("sig"), "node") for k, m in enumerate(rest)])
-        m = split(left.distinct())
-        if m.take(1):
-            labels = absorb(inside(m))
-    small = reduce(DataFrame.union, smalls).distinct()
-    key = F.xxhash64("members").alias("key")
-    each = small.where(F.size("members") > 2).select(key, F.explode("members").alias("node")).join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
-    mixed = each.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = small.where(F.size("members") > 2).select(key, "members").join(mixed, "key", "left_semi")
-    two = F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    labels = merge(rest.select(F.explode(F.flatten(two)).alias("e")).select(*_pairs("e.a", "e.b")).distinct())
-
-    of = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
-    least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
-    found = settle(of.join(least, "c").select("node", "c", "component_id"), "found")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "of_text", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+        wide = np.union1d(wide, sigs)
+        passed = F.broadcast(spark.createDataFrame(pa.table({"sig": pa.array(sigs)})))
+        past = scratch.settle(groups.join(passed, "sig", "left_semi"), "past")
+        who = past.select(F.explode("members").alias("node")).distinct()
+        new = scratch.settle(signed(texts_of(who), np.sort(wide.view(np.uint64))).join(who, "node", "left_semi"), "signed")
+        again = gathered(new)
+        short = new.where("short").select("node").distinct()
+        # What stays of a group that is passed over: members that lack blocks. Rows of one group keep their g.
+        stay = past.select("sig", "g", "k", "pivot", F.explode("members").alias("node")).join(short, "node", "left_semi")
+        stay = stay.groupBy("sig", "g", "k").agg(F.min("node").alias("pivot"), F.sort_array(F.collect_list("node")).alias("members"))
+        stay = stay.withColumn("g", F.xxhash64("g", F.lit(k)))
+        groups = scratch.settle(groups.join(passed, "sig", "left_anti").union(stay).union(again), "groups")
+        links.append(stars(again))
+        labels = labelled(links)
+        m, of = mixed(groups, labels)
+    links.append(inside(m, of))
+    return labelled(links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -287,9 +287,8 @@ def test_jaccard_in_large_groups(spark, monkeypatch):
     import random
 
     rng = random.Random(11)
-    monkeypatch.setattr(op9, "OFTEN", 12)
-    monkeypatch.setattr(op9, "OFTEN_LOCAL", 3)
-    monkeypatch.setattr(op9, "SMALL", 6)
+    for name, value in (("SMALL", 6), ("CHUNK", 9), ("PART", 20), ("WIDE_PAIRS", 40), ("CELL", 11)):
+        monkeypatch.setattr(op9, name, value)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = []
     for g in range(3):
@@ -312,15 +311,15 @@ def test_jaccard_in_large_groups(spark, monkeypatch):
 
 @pytest.mark.parametrize("rounds", [3, 0])
 def test_jaccard_past_wide_ranges(spark, monkeypatch, rounds):
-    """A passage in many documents that is never called frequent, near copies among them: links are found inside the
-    groups, by new signatures or in cells of a shuffle, and no set passes through the driver."""
+    """A passage in many documents, near copies among them: links are found inside the groups, by new signatures or in cells of
+    a shuffle, and no set passes through the driver."""
     import random
 
     from pyspark.sql.classic.dataframe import DataFrame
 
-    monkeypatch.setattr(op9, "OFTEN", 10**9)
     monkeypatch.setattr(op9, "WIDE_ROUNDS", rounds)
-    monkeypatch.setattr(op9, "CELL_BYTES", 20_000)
+    monkeypatch.setattr(op9, "WIDE_PAIRS", 100)
+    monkeypatch.setattr(op9, "CELL", 25)
     collect = DataFrame.collect
 
     def narrow(df):

@@ -183,10 +183,11 @@ def test_segment_tree_against_plain_merges():
 
 
 def test_signatures_meet():
-    """Linked sets share a signature, whatever is called frequent; bitmaps never rule a link out."""
+    """Linked sets share a signature, whatever is passed over, or both lack blocks; bitmaps never rule a link out."""
     rng = np.random.default_rng(2)
-    for trial in range(400):
-        n = int(rng.integers(1, 120))
+    met = 0
+    for trial in range(600):
+        n = int(rng.integers(1, 160))
         u = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         keep = u[rng.random(len(u)) > rng.random() * 0.25]
         v = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 6))).astype(np.uint64)]))
@@ -195,23 +196,56 @@ def test_signatures_meet():
         inter = len(np.intersect1d(u, v))
         if 100 * inter < 75 * (len(u) + len(v) - inter):
             continue
-        often = np.sort(rng.choice(u, int(len(u) * (trial % 5) / 4), replace=False)) if trial % 5 else np.empty(0, np.uint64)
-        assert np.intersect1d(op9.signatures(u, often), op9.signatures(v, often)).size
         assert op9.most_common(op9.bitmap(u), op9.bitmap(v), len(u), len(v)) >= inter
-
-
-def test_tail_of_a_very_large_group_is_large():
-    """The rows of a group that goes on after its first part are members of the same large group, however few."""
+        if len(u) == len(v) == inter:
+            continue
+        (x, lacks_u), (y, lacks_v) = op9.signatures(u), op9.signatures(v)
+        assert np.intersect1d(x, y).size and not lacks_u and not lacks_v
+        wide = np.sort(rng.choice(x, int(len(x) * (trial % 5) / 4), replace=False).view(np.uint64))
+        (x, lacks_u), (y, lacks_v) = op9.signatures(u, wide), op9.signatures(v, wide)
+        assert not np.isin(x.view(np.uint64), wide).any()
+        assert np.intersect1d(x, y).size or lacks_u and lacks_v
+        met += 1
+    assert met > 200
+
+
+def test_signatures_are_subsets_of_partitions():
+    """A change to one partition of a block leaves exactly one of its three signatures."""
+    u = np.sort(np.random.default_rng(5).integers(0, 2**64, 300, dtype=np.uint64))
+    (_, blocks, need), *_ = op9.places(len(u))
+    whole, _ = op9._subsets(u, blocks, 1, blocks, None)
+    one, _ = op9._subsets(u[1:], blocks, 1, blocks, None)
+    assert len(np.intersect1d(whole, one)) == len(whole) - 2 and need <= blocks
+
+
+def test_groups_of_any_size():
+    """The rows of a group that goes on after its first part are members of the same group with the same pivot, however few."""
     import pyarrow as pa
 
     batch = lambda s, n: pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n, pa.int64())], names=["sig", "node"])
     n = list(range(100))
-    rows = [batch([5] * 60, n[:60]), batch([5] * 3 + [6, 6], [60, 61, 62, 1, 2]), batch([7] * 60, n[:60]), batch([7] * 2, [60, 61]), batch([8] * 60, n[:60]), batch([9, 9], [3, 4])]
-    got = [r for b in op9._gather(50)(iter(rows)) for r in b.to_pylist()]
-    members = {}
+    rows = [batch([5] * 60, n[:60]), batch([5] * 3 + [6, 6], [60, 61, 62, 1, 2]), batch([7] * 60, n[:60]), batch([7] * 2, [60, 61]), batch([8] * 60, n[:60]), batch([9, 9], [3, 4]), batch([10, 10], [3, 4])]
+    got = [r for b in op9._gather(20, 50)(iter(rows)) for r in b.to_pylist()]
+    members, pivots = {}, {}
     for r in got:
-        members.setdefault((r["sig"], r["large"]), set()).update(r["members"])
-    assert members == {(5, True): set(n[:63]), (6, False): {1, 2}, (7, True): set(n[:62]), (8, True): set(n[:60]), (9, False): {3, 4}}
+        members.setdefault(r["sig"], []).extend(r["members"])
+        pivots.setdefault((r["sig"], r["g"]), set()).add(r["pivot"])
+    assert {s: sorted(m) for s, m in members.items()} == {5: n[:63], 6: [1, 2], 7: n[:62], 8: n[:60], 9: [3, 4]}
+    assert len(pivots) == 5 and all(len(p) == 1 for p in pivots.values())
+    assert len({(r["sig"], r["k"]) for r in got}) == len(got) and max(len(r["members"]) for r in got) <= 20
+
+
+def test_cells_admit_every_linked_pair():
+    """The bound over a cell, with sets of all sizes, against each pair; components and sides decide which pairs are looked at."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: int(k)], rng.integers(0, 2**64, int(rng.integers(0, 9)), dtype=np.uint64)])) for k in rng.integers(5, 400, 90)]
+    linked = {(i, j) for i in range(90) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    node, n, c, bits = np.arange(90), np.array([len(u) for u in sets]), np.arange(90) % 7, [op9.bitmap(u) for u in sets]
+    for side in (np.where(np.arange(90) % 3, 0, 1), np.where(np.arange(90) % 2, 2, 3)):
+        found = {(max(p), min(p)) for a, b in op9._similar(side, node, c, n, bits) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        meet = lambda i, j: c[i] != c[j] and (side[i] + side[j] == 5 or sorted((side[i], side[j])) in ([0, 0], [0, 1]))  # noqa: B023, E731
+        assert {p for p in linked if meet(*p)} <= found and all(meet(*p) for p in found)
 
 
 def test_bands_cover_neighbours():
