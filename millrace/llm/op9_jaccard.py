@@ -15,9 +15,10 @@ a signature is used depends on itself only, so the argument holds as well where
 Equal sets are one node from the start. Groups of signatures are read in sorted order, as a stream, and nothing is
 expanded into all pairs:
 
-1. Each group's members are verified against its first one; links make components.
-2. Groups still in several components whose comparison would be large (a passage that very many documents share) are passed
-   over: their members give signatures anew without those, for WIDE_ROUNDS rounds. Members that lack M blocks then stay.
+1. Each group's members are verified against its pivot, the least one; links make components. Groups with one pivot count as one
+   from then on.
+2. Where groups still in several components would need a large comparison (a passage that very many documents share), their
+   signatures are passed over: members give signatures anew without those, for WIDE_ROUNDS rounds. Members that lack M blocks stay.
 3. In the groups left in several components, what is apart from a group's largest component meets the other members in
    cells of bounded size that tasks get by a shuffle, so that all pairs of different components are looked at.
 
@@ -45,8 +46,8 @@ BLOCK, SUBSETS = 3, ((0, 1), (0, 2), (1, 2))
 #: Divisions of the domain that a set tries when signatures are passed over; rounds of that; how many are passed over in all.
 DIVISIONS, WIDE_ROUNDS, MOST_WIDE = 4, 2, 100_000
 #: Pairs of a group above which its signature is passed over. Members of a cell, on each side.
-WIDE_PAIRS, CELL = 250_000, 16_384
-#: Members of a group that is told once in a task; members of a row; members up to which a task holds a group.
+WIDE_PAIRS, CELL = 100_000_000, 8_192
+#: Members up to which a group is told once in a task and never passed over; members of a row; members of which a task holds a group.
 SMALL, CHUNK, PART = 24, 4_096, 200_000
 BROADCAST_ROWS, WORD_MEMO = 500_000, 600_000
 #: Bytes of bitmaps compared at once.
@@ -228,70 +229,64 @@ def _digest(b: bytes) -> int:
     return d - (d >> 63 << 64)
 
 
-GROUPS = "sig long, g long, k int, pivot long, members array<long>"
+GROUPS = "sig long, pivot long, members array<long>"
 
 
 def _gather(chunk: int = CHUNK, part: int = PART):
-    """(sig, g, k, pivot, members) of each signature that two nodes share, from rows in order of (sig, node). pivot: the first
-    member. g: the same for the same members; of a group of more than `chunk` members, which has several rows k, its signature. Of small
-    groups with the same members a task gives one. What is held of a group of any size is `part` members and a batch."""
+    """(sig, pivot, members) of each signature that two nodes share, from rows in order of sig. pivot: one of the members, the
+    least of up to `part`. A group of more than `chunk` members has several rows, with one pivot. Of small groups with the same
+    members a task gives one. What is held of a group of any size is `part` members and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         left_s, left_n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        begun: tuple[int, int] | None = None  # (pivot, rows told) of the first group of what is left, if part of it has been told
+        begun: int | None = None  # pivot of the first group of what is left, if part of it has been told
 
-        def groups(s, n, begun, ends=True):
-            """ends: the last group has ended."""
-            if not len(s):
-                return begun, None
+        def groups(s, n, begun, goes_on=False):
+            """A batch of rows, if any, and the last group's pivot."""
             start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             end = np.append(start[1:], len(s))
             pick = end - start > 1
             pick[0] |= begun is not None
-            rows = []
+            rows, pivot = [], None
             for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True):
-                m, sig = n[a:b], int(s[a])
-                first, k = begun if begun is not None and a == 0 else (int(m[0]), 0)
-                if k or len(m) > chunk or not ends and b == len(s):
-                    for x in range(0, len(m), chunk):
-                        rows.append((sig, sig, k, first, m[x : x + chunk]))
-                        k += 1
-                    begun = (first, k)
+                m, sig = np.unique(n[a:b]), int(s[a])
+                carried = begun if a == 0 else None
+                if len(m) == 1 and carried is None and not goes_on:
                     continue
-                g = _digest(m.tobytes())
-                if len(m) <= SMALL:
-                    if g in told:
+                pivot = int(m[0]) if carried is None else carried
+                if len(m) <= SMALL and carried is None and not goes_on:
+                    if (key := _digest(m.tobytes())) in told:
                         continue
                     if len(told) > 300_000:
                         told.clear()
-                    told.add(g)
-                rows.append((sig, g, 0, first, m))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            return begun, pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sig", "g", "k", "pivot", "members"]) if rows else None
+                    told.add(key)
+                rows += [(sig, pivot, m[x : x + chunk]) for x in range(0, len(m), chunk)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sig", "pivot", "members"]) if rows else None, pivot
 
         for b in batches:
             s = np.concatenate([left_s, b.column(0).to_numpy(zero_copy_only=False)])
             n = np.concatenate([left_n, b.column(1).to_numpy(zero_copy_only=False)])
             if not len(s):
                 continue
-            keep = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
-            s, n = s[keep], n[keep]
             last = int(np.searchsorted(s, s[-1]))  # the last group may go on
             if last:
-                _, out = groups(s[:last], n[:last], begun)
+                out, _ = groups(s[:last], n[:last], begun)
                 begun = None
                 if out is not None:
                     yield out
             left_s, left_n = s[last:], n[last:]
             if len(left_s) > part:
-                # The last member waits, so that its repeated rows are seen.
-                begun, out = groups(left_s[:-1], left_n[:-1], begun, ends=False)
+                out, begun = groups(left_s, left_n, begun, goes_on=True)
+                yield out
+                left_s, left_n = left_s[:0], left_n[:0]
+            if begun is not None and not len(left_s):
+                left_s, left_n = s[-1:], np.array([begun])  # its place is kept by its pivot
+        if len(left_s):
+            out, _ = groups(left_s, left_n, begun)
+            if out is not None:
                 yield out
-                left_s, left_n = left_s[-1:], left_n[-1:]
-        _, out = groups(left_s, left_n, begun)
-        if out is not None:
-            yield out
 
     return run
 
@@ -374,7 +369,9 @@ def _similar(side: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, b
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the cells whose rows (g, i, j, side, node, c, n, bits) come side by side."""
+    """Pairs (a, b) of the cells whose rows (g, i, j, side, node, c, n, bits) come side by side; a task gives a pair once, as far
+    as it remembers."""
+    told: set[tuple[int, int]] = set()
 
     def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
         side, node, c, n = (t.column(x).to_numpy() for x in ("side", "node", "c", "n"))
@@ -382,7 +379,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def batch(found):
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - told
+        if len(told) > 500_000:
+            told.clear()
+        told.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     left: list[pa.Table] = []
     last = None
@@ -447,15 +448,16 @@ def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch
         return texts.mapInArrow(_sign(spark.sparkContext.broadcast(wide)), shape)
 
     def gathered(signed: DataFrame) -> DataFrame:
-        rows = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
+        rows = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig")
         return scratch.settle(rows.mapInArrow(_gather(CHUNK, PART), GROUPS), "groups")
 
     groups = gathered(signed(docs.select("text"), None))
     # Its shuffle is the largest by far: its files go now, and not when the driver's memory happens to be full.
     spark._jvm.System.gc()
-    member = groups.select(F.explode("members").alias("node")).distinct()
+    member = groups.select(F.explode("members").alias("node")).union(groups.select("pivot")).distinct()
     sketch = told.where("bits is not null").join(member, "node", "left_semi").groupBy("node").agg(F.max("bits").alias("bits")).join(nodes, "node")
     sketch = scratch.settle(sketch.select("node", "rep", "n", "bits"), "sketches")
+    tried: list[DataFrame] = []
 
     def texts_of(some: DataFrame) -> DataFrame:
         """One text of each of some nodes."""
@@ -464,33 +466,36 @@ def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch
         return docs.join(few, docs.doc_id == wanted.rep, "left_semi").select("text")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their whole sets, which are made anew."""
+        """The pairs that are linked, of those that are new, by their whole sets, which are made anew."""
+        pairs = scratch.settle(reduce(lambda d, t: d.join(t, ["a", "b"], "left_anti"), tried, pairs), "pairs")
+        tried.append(pairs)
         sets = scratch.settle(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()).mapInArrow(_sets, "node long, items binary"), "sets")
         x, y = (sets.select(F.col("node").alias(c), F.col("items").alias(p)) for c, p in (("a", "p"), ("b", "q")))
         return scratch.settle(pairs.join(x, "a").join(y, "b").mapInArrow(_test, "a long, b long"), "links")
 
     def stars(groups: DataFrame) -> DataFrame:
-        """Links of each group's members with its first one."""
-        star = groups.select("pivot", F.explode("members").alias("m")).where("pivot <> m").select(*_pairs("pivot", "m")).distinct()
+        """(g, node) of each group's members, without its pivot g: groups of one pivot are one from here on."""
+        return scratch.settle(groups.select(F.col("pivot").alias("g"), F.explode("members").alias("node")).where("g <> node").distinct(), "stars")
+
+    def first_links(star: DataFrame) -> DataFrame:
+        """Links of members with their pivots."""
         x, y = (sketch.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(p)) for c, p in (("a", "p"), ("b", "q")))
-        close = star.join(x, "a").join(y, "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-        return verified(scratch.settle(close.mapInArrow(_bound, "a long, b long"), "pairs"))
+        close = star.select(*_pairs("g", "node")).distinct().join(x, "a").join(y, "b").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+        return verified(close.mapInArrow(_bound, "a long, b long"))
 
     def labelled(links: list[DataFrame]) -> DataFrame:
         return connected_components(reduce(DataFrame.union, links), settle=scratch.settle)
 
-    def mixed(groups: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(g, node, c) of all groups; (g, top, n, apart, x) of those in several components: top is the largest, x a digest of
-        the members."""
-        m = groups.dropDuplicates(["g", "k"]).select("g", F.explode("members").alias("node")).join(labels, "node", "left")
+    def mixed(star: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(g, node, c) of all groups; (g, top, n, apart) of those in several components, top the largest."""
+        m = star.union(star.select("g", F.col("g").alias("node")).distinct()).join(labels, "node", "left")
         m = scratch.settle(m.select("g", "node", F.coalesce("component", "node").alias("c")), "members")
-        each = m.groupBy("g", "c").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"))
-        of = each.groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"), F.expr("bit_xor(x)").alias("x")).where("n > 2 and most.n < n")
-        return m, scratch.settle(of.select("g", F.col("most.c").alias("top"), "n", (F.col("n") - F.col("most.n")).alias("apart"), "x"), "mixed")
+        of = m.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most")).where("n > 2 and most.n < n")
+        return m, scratch.settle(of.select("g", F.col("most.c").alias("top"), "n", (F.col("n") - F.col("most.n")).alias("apart")), "mixed")
 
     def inside(m: DataFrame, of: DataFrame) -> DataFrame:
-        """Links between components of the same group; of groups with the same members, one is looked at."""
-        m = m.join(of.join(of.groupBy("n", "x").agg(F.min("g").alias("g")).select("g"), "g", "left_semi"), "g").withColumn("out", F.col("c") != F.col("top"))
+        """Links between components of the same group."""
+        m = m.join(of, "g").withColumn("out", F.col("c") != F.col("top"))
         one = m.where(F.col("n") <= CELL).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("out"), 0).otherwise(1).alias("side"), "node", "c")
         more = m.where(F.col("n") > CELL)
         cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
@@ -500,32 +505,30 @@ def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch
         whole = more.select("g", each("apart").alias("i"), salt("n").alias("j"), F.lit(3).alias("side"), "node", "c")
         rows = one.union(apart).union(whole).join(sketch.select("node", "n", "bits"), "node")
         found = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_cells, "a long, b long")
-        return verified(scratch.settle(found.distinct(), "pairs"))
+        return verified(found.distinct())
 
-    links = [stars(groups)]
+    star = stars(groups)
+    links = [first_links(star)]
     labels = labelled(links)
-    m, of = mixed(groups, labels)
+    m, of = mixed(star, labels)
     wide = np.empty(0, dtype=np.int64)
-    for k in range(WIDE_ROUNDS):
-        top = of.where(F.col("apart") * F.col("n") > WIDE_PAIRS)
-        sigs = groups.join(top.select("g"), "g", "left_semi").select("sig").distinct().limit(MOST_WIDE - len(wide)).toArrow().column("sig").to_numpy()
+    for _ in range(WIDE_ROUNDS):
+        top = of.where(F.col("apart") * F.col("n") > WIDE_PAIRS).select(F.col("g").alias("pivot"))
+        sigs = groups.where(F.size("members") > SMALL).join(top, "pivot", "left_semi").select("sig").distinct().limit(MOST_WIDE - len(wide)).toArrow().column("sig").to_numpy()
         if not len(sigs):
             break
         wide = np.union1d(wide, sigs)
         passed = F.broadcast(spark.createDataFrame(pa.table({"sig": pa.array(sigs)})))
-        past = scratch.settle(groups.join(passed, "sig", "left_semi"), "past")
-        who = past.select(F.explode("members").alias("node")).distinct()
+        past = scratch.settle(groups.join(passed, "sig", "left_semi").select("sig", "pivot", F.explode("members").alias("node")), "past")
+        who = past.select("node").distinct()
         new = scratch.settle(signed(texts_of(who), np.sort(wide.view(np.uint64))).join(who, "node", "left_semi"), "signed")
         again = gathered(new)
-        short = new.where("short").select("node").distinct()
-        # What stays of a group that is passed over: members that lack blocks. Rows of one group keep their g.
-        stay = past.select("sig", "g", "k", "pivot", F.explode("members").alias("node")).join(short, "node", "left_semi")
-        stay = stay.groupBy("sig", "g", "k").agg(F.min("node").alias("pivot"), F.sort_array(F.collect_list("node")).alias("members"))
-        stay = stay.withColumn("g", F.xxhash64("g", F.lit(k)))
+        # What stays of a group that is passed over: its pivot, and the members that lack blocks.
+        stay = past.join(new.where("short").select("node").distinct(), "node", "left_semi").select("sig", "pivot", F.array("node").alias("members"))
         groups = scratch.settle(groups.join(passed, "sig", "left_anti").union(stay).union(again), "groups")
-        links.append(stars(again))
-        labels = labelled(links)
-        m, of = mixed(groups, labels)
+        links.append(first_links(stars(again)))
+        labels, star = labelled(links), stars(groups)
+        m, of = mixed(star, labels)
     links.append(inside(m, of))
     return labelled(links)
 
