@@ -49,7 +49,7 @@ DIVISIONS, WIDE_ROUNDS, MOST_WIDE = 4, 2, 100_000
 WIDE_PAIRS, CELL = 100_000_000, 8_192
 #: Members up to which a group is told once in a task and never passed over; members of a row; members of which a task holds a group.
 SMALL, CHUNK, PART = 24, 4_096, 200_000
-BROADCAST_ROWS, WORD_MEMO = 500_000, 600_000
+BROADCAST_ROWS, WORD_MEMO = 500_000, 150_000
 #: Bytes of bitmaps compared at once.
 STEP_BYTES = 4_000_000
 
@@ -199,6 +199,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(node)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["doc_id", "n", "node", "bits", "of_text"])
+    _words.clear()  # workers stay, and the next stage may need their memory
 
 
 def _sign(shared):
@@ -218,6 +219,7 @@ def _sign(shared):
             if nodes:
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs))), pa.array(short, pa.bool_())], names=["node", "sigs", "short"])
+        _words.clear()
 
     return run
 
@@ -303,6 +305,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[node] = u.tobytes()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "items"])
+    _words.clear()
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +383,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(found):
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - told
-        if len(told) > 500_000:
+        if len(told) > 200_000:
             told.clear()
         told.update(new)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
