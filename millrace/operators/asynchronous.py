@@ -30,6 +30,23 @@ class SchedulerConfig:
         return cls(concurrency={"compute": 1, "fast_network": 4, "slow_network": 16, "wide_network": 32}[kind] * cores)
 
 
+#: Rows of a frame that goes back from a worker, at least.
+RETURNED = 5_000
+
+
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, n = [], 0
+    for f in frames:
+        if len(f):
+            held.append(f)
+            n += len(f)
+        if n >= RETURNED:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def keyed(rows: DataFrame, key: str, order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
     """work on each key's rows in order: one exchange by key, a sort within tasks, then a stream of keys in which
     up to `concurrency` keys run at a time (threads, for work that waits). work gets some of a key's rows at a time, so a
@@ -39,7 +56,7 @@ def keyed(rows: DataFrame, key: str, order: str, work: Callable[[pd.DataFrame],
         with ThreadPoolExecutor(config.concurrency) as pool:
             for b in batches:
                 parts = [g for _, g in b.groupby(key, sort=False, dropna=False)]
-                yield from (r for r in pool.map(work, parts) if len(r))
+                yield from _gathered(pool.map(work, parts))
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
@@ -58,22 +75,27 @@ def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
 
 def in_batches(rows: DataFrame, size: int, execute: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, key: str | None = None, order: str | None = None) -> DataFrame:
     """execute on groups of at most `size` items, across keys. With a key, its items are in one task and in order, so that no two
-    batches that hold it run at the same time."""
+    batches that hold it run at the same time. Results go back in frames of RETURNED rows or more, as a frame of its own for each
+    batch would cost more than the batch."""
     if size < 1:
         raise ValueError("size must be 1 or more")
     if key is not None:
         rows = rows.repartition(key).sortWithinPartitions(key, *([order] if order else []))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def done(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None
         for f in frames:
             left = f if left is None or not len(left) else pd.concat([left, f], ignore_index=True)
-            while len(left) >= size:
-                yield execute(left.iloc[:size].reset_index(drop=True))
-                left = left.iloc[size:]
+            whole = len(left) // size * size
+            for k in range(0, whole, size):
+                yield execute(left.iloc[k : k + size].reset_index(drop=True))
+            left = left.iloc[whole:]
         if left is not None and len(left):
             yield execute(left.reset_index(drop=True))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _gathered(done(frames))
+
     return rows.mapInPandas(run, schema)
 
 

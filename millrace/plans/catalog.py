@@ -6,6 +6,7 @@ an `error` event is a deletion.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -257,11 +258,19 @@ def key_order(spark, d):
     return asynchronous.numbered(_events(spark, d), "user_id", "event_id").select("user_id", "event_id", "seq")
 
 
-@_query("SELECT event_id, user_id, value * 2 AS result FROM events")
+@_query("""SELECT event_id, user_id, value * 2 AS result, CAST(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS since FROM events""")
 def async_keyed(spark, d):
-    """Keyed work, run in order for each key."""
+    """Keyed work, run in order for each key: `since` is what the work before it left, and is wrong in any other order."""
+    before: dict[int, int] = {}
+
+    def work(p):
+        key, ids = int(p["user_id"].iloc[0]), p["event_id"].tolist()
+        since = [None if b is None else i - b for b, i in zip([before.get(key), *ids], ids, strict=False)]
+        before[key] = ids[-1]
+        return p.assign(result=p["value"] * 2, since=pd.array(since, dtype="Int64"))[["event_id", "user_id", "result", "since"]]
+
     rows = _events(spark, d).select("event_id", "user_id", "value")
-    return asynchronous.keyed(rows, "user_id", "event_id", lambda p: p.assign(result=p["value"] * 2)[["event_id", "user_id", "result"]], "event_id long, user_id long, result double")
+    return asynchronous.keyed(rows, "user_id", "event_id", work, "event_id long, user_id long, result double, since long")
 
 
 @_query("WITH b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events) SELECT user_id, CAST(floor(seq/10) AS BIGINT) AS batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM b GROUP BY 1,2")
@@ -282,9 +291,9 @@ def async_batcher(spark, d):
   FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def batch_items(spark, d):
     """Orders as events of items; a callback is due for each, also for an order without items."""
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.collect_list("l_returnflag").alias("flags"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("item_ix"), F.col("l_returnflag").alias("item"))
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("order_id"))
-    items = asynchronous.items_of(orders.join(lines, "order_id", "left"), "order_id", "flags")
+    items = orders.join(lines, "order_id", "left")  # an order without items keeps a row with nulls
     return asynchronous.completed(items, "order_id", F.col("item") == "R").select("order_id", F.col("items").cast("long").alias("items"), F.col("failures").cast("long").alias("failures"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +23,13 @@ def _delete(ctx, raw):
 
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream through a stateful source, to its end; then the store that its change log restores."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    root = f"{shared.rstrip('/')}/millrace/stream-{uuid.uuid4().hex}"
+    root = f"{envelope.shared_root(spark)}/millrace/stream-{uuid.uuid4().hex}"
     rows = envelope.from_events(spark, d)
     item = F.when(F.col("event_type") != "error", F.to_json(F.struct("event_id", "value")))
     env = envelope.as_envelope(rows, "events", F.encode(F.col("user_id").cast("string"), "UTF-8"), F.encode(item, "UTF-8"), F.col("event_type"))
-    env.write.parquet(f"{root}/in")
-    source = EventSource(spark, SourceConfig("replay-" + uuid.uuid4().hex[:8], "events", num_partitions=10), envelope.from_files(spark, f"{root}/in"), root)
+    envelope.write_in_order(env, f"{root}/in")
+    config = SourceConfig("replay-" + uuid.uuid4().hex[:8], "events", num_partitions=10)
+    source = EventSource(spark, config, envelope.from_files(spark, f"{root}/in", config.num_partitions), root)
     for kind in ("signup", "view", "click", "purchase"):
         source.register(kind, bytes, _put)
     source.register("error", lambda raw: raw, _delete).start(available_now=True).wait()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,32 @@ def from_kafka(spark: SparkSession, options: dict[str, str], streaming: bool = T
     return reader.load().select("topic", "partition", "offset", F.lit(None).cast("int").alias("leader_epoch"), "timestamp", "key", "value", "headers", records.record_type().alias("record_type"))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of one machine may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return root.rstrip("/")
+
+
+#: Offsets of each partition that go into one file (write_in_order): what a batch of a stream over such files has of a partition.
+SLICE = 1_000_000
+
+
+def write_in_order(rows: DataFrame, path: str, offsets: int = SLICE) -> None:
+    """Envelope rows as files that a stream takes in the order of offsets: slice after slice, each partition's slice in one
+    file, so that a batch of some files holds a bounded part of a partition and none that comes after a later one."""
+    low, top = rows.agg(F.min("offset"), F.max("offset")).first()
+    if top is None:
+        rows.write.mode("append").parquet(path)
+        return
+    for at in range(low, top + 1, offsets):
+        part = rows.where((F.col("offset") >= at) & (F.col("offset") < at + offsets))
+        part.repartition("partition").write.mode("append").parquet(path)
+
+
 def from_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of envelope rows from a folder of Parquet files."""
     reader = spark.readStream.schema(SCHEMA)

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.timers import NO_OFFSET, next_due
 from ..sources.config import ExecutionState
 
-#: Every output row: out tells forwarded records from change-log entries; a null value deletes.
-OUTPUT = "out string, topic string, partition int, offset bigint, key binary, value binary, record_type string"
+#: Every output row: out tells forwarded records from change-log entries; a null value deletes; seq counts a group's rows for good.
+OUTPUT = "out string, topic string, partition int, offset bigint, key binary, value binary, record_type string, seq bigint"
 STATE_KEY, STATE_VALUE = "key binary", "value binary, record_type string"
 
 
@@ -28,6 +28,7 @@ class Context:
     input: Row | None
     _state: Any
     topic: str = ""
+    seq: int = 0
     rows: list[Row] = field(default_factory=list)
 
     @property
@@ -39,7 +40,8 @@ class Context:
         return self.input is None
 
     def _out(self, out: str, topic: str, key: bytes, value: bytes | None, kind: str) -> None:
-        self.rows.append(Row(out=out, topic=topic, partition=self.partition, offset=self.offset, key=key, value=value or None, record_type=kind))
+        self.rows.append(Row(out=out, topic=topic, partition=self.partition, offset=self.offset, key=key, value=value or None, record_type=kind, seq=self.seq))
+        self.seq += 1
 
     def forward(self, topic: str, key: bytes, value: bytes, kind: str = "") -> None:
         self._out("forward", topic, key, value, kind)
@@ -119,17 +121,22 @@ class PartitionProcessor(StatefulProcessor):
         self.items = handle.getMapState("items", STATE_KEY, STATE_VALUE)
         self.next = handle.getValueState("next", "offset bigint")
         self.due = handle.getMapState("due", "timer int", "at bigint")
+        self.count = handle.getValueState("count", "seq bigint")
+
+    def _seq(self) -> int:
+        return self.count.get()[0] if self.count.exists() else 0
 
     def handleInputRows(self, key, rows, timerValues):
-        mark, out = (self.next.get()[0] if self.next.exists() else 0), []
+        mark, seq, out = (self.next.get()[0] if self.next.exists() else 0), self._seq(), []
         for r in sorted(rows, key=lambda r: r.offset):
             if r.offset < mark:
                 continue
-            ctx = Context(r.partition, r, self.items, self.topic)
+            ctx = Context(r.partition, r, self.items, self.topic, seq)
             self.table.handle(ctx)
             out += ctx.rows
-            mark = r.offset + 1
+            mark, seq = r.offset + 1, ctx.seq
         self.next.update((mark,))
+        self.count.update((seq,))
         if self.timers:
             now = timerValues.getCurrentProcessingTimeInMs()
             for i, (every, jitter, _) in enumerate(self.timers):
@@ -143,14 +150,16 @@ class PartitionProcessor(StatefulProcessor):
         self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        fired, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        fired, seq, out = expiredTimerInfo.getExpiryTimeInMs(), self._seq(), []
         part = key[0] if isinstance(key[0], int) else -1
         for i, (_, _, run) in enumerate(self.timers):
             if self.due.containsKey((i,)) and self.due.getValue((i,))[0] == fired:
-                ctx = Context(part, None, self.items, self.topic)
+                ctx = Context(part, None, self.items, self.topic, seq)
                 run(ctx)
                 out += ctx.rows
+                seq = ctx.seq
                 self._arm(i, timerValues.getCurrentProcessingTimeInMs())
+        self.count.update((seq,))
         return iter(out)
 
     def close(self) -> None:

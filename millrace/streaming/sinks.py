@@ -30,11 +30,12 @@ def outputs(spark: SparkSession, root: str, kind: str) -> DataFrame:
 
 
 def replayed(spark: SparkSession, root: str) -> DataFrame:
-    """(partition, key, value): the store that the change log under root restores. An entry's place is its batch and offset."""
+    """(partition, key, value): the store that the change log under root restores. An entry's place is its number among its
+    group's outputs, which goes on from batch to batch: several changes of a key by one record, and changes by timers, which
+    have no offset, apply in the order in which they were made."""
     from ..operators.store import replay
 
-    log = outputs(spark, root, "changelog").withColumn("at", F.struct("batch", "offset"))
-    return replay(log, ["partition", "key"], "at", "value").select("partition", "key", "value")
+    return replay(outputs(spark, root, "changelog"), ["partition", "key"], "seq", "value").select("partition", "key", "value")
 
 
 def produce(df: DataFrame, destination: dict[str, str]) -> None:

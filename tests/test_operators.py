@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import codecs
 from millrace.operators import asynchronous, commitlog, partitioning, routing, store, timers
-from millrace.operators.rebalance import Group, imbalanced, range_assign, round_robin, sticky
 from millrace.sources import envelope
 from millrace.sources.config import Cluster, Destination, EosConfig, ErrorResponse, ManagedCluster, SourceConfig
 
@@ -111,43 +110,6 @@ def test_jitter():
     assert timers.next_due(1000, 100) == 1100
 
 
-def test_twenty_partitions_three_members():
-    g = Group(20)
-    for m in "abc":
-        g.join(m)
-    assert sorted(len(v) for v in g.settle().values()) == [6, 7, 7]
-    assert imbalanced([6, 6, 8], 8, 20) and not imbalanced([6, 7, 7], 7, 20) and not imbalanced([3, 1], 1, 4)
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 40), st.lists(st.sampled_from(["join", "leave", "drop"]), min_size=1, max_size=8), st.integers(0, 99))
-def test_group_settles_evenly(partitions, moves, seed):
-    g, rng = Group(partitions, seed=seed), random.Random(seed)
-    g.join("m0")
-    for i, m in enumerate(moves):
-        names = [x.name for x in g.members.values() if x.left_at is None]
-        if m == "join" or len(names) < 2:
-            g.join(f"m{i + 1}")
-        else:
-            (lambda n: g.leave(n, i) if m == "leave" else g.drop(n))(rng.choice(names))
-        g.balance()
-    for m in list(g.members.values()):
-        for p in list(m.preparing):
-            g.prepared(m.name, p)
-    owned = g.settle()
-    assert sorted(p for v in owned.values() for p in v) == list(range(partitions))
-    active = [len(v) for n, v in owned.items() if g.members[n].left_at is None]
-    assert all(not v for n, v in owned.items() if g.members[n].left_at is not None)
-    assert not imbalanced(active, max(active), partitions)
-
-
-def test_other_strategies():
-    assert range_assign(["b", "a"], 5) == {"a": [0, 1, 2], "b": [3, 4]}
-    assert round_robin(["b", "a"], 5) == {"a": [0, 2, 4], "b": [1, 3]}
-    got = sticky(["a", "b", "c"], 7, {"a": [0, 1, 2, 3], "b": [4, 5, 6]})
-    assert sorted(map(len, got.values())) == [2, 2, 3] and sorted(sum(got.values(), [])) == list(range(7)) and set(got["b"]) <= {4, 5, 6}
-
-
 def test_configuration():
     c = SourceConfig("g", "t", Cluster(("h:1", "h:2")))
     assert c.changelog == "gkes_change_log_t_g" and c.kafka_options()["maxOffsetsPerTrigger"] == "30000"
