@@ -18,10 +18,12 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests on one machine, a
-    temporary folder, the same for the life of the driver."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of one machine may leave it unset, and
+    has a temporary folder, the same for the life of the driver."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
         root = _own[0]

@@ -11,8 +11,8 @@ import numpy as np
 
 #: Characters that some pattern dialects take for white space; a chunk with one at an edge is encoded with its text.
 EDGES = "\u180e\u200b\ufeff"
-MEMO = 1_200_000
-
+#: Characters and bytes of ids that a memo holds; characters of the longest chunk in it.
+MEMO, LONG = 24_000_000, 64
 
 NEW = 0
 
@@ -29,12 +29,13 @@ class ChunkMemo:
 
     A pattern that splits text before the merges lets a space go only with what follows it, so a chunk's ids do not
     depend on its neighbours as long as no run of white space reaches over a space. Texts with such runs (spaced,
-    below) are encoded as a whole. Memory: at most `memo` chunks are remembered.
+    below), and texts that hold an added token of the tokenizer, are encoded as a whole. Memory: at most `memo` characters and as
+    many bytes of ids are remembered; chunks above LONG characters (texts without spaces) are not.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, memo: int = MEMO, letters: Callable[[list[str]], list[bytes]] | None = None):
-        """letters: a way to encode many words of a-z at once, each as it is with its space before it."""
-        self.encode, self.spaced, self.memo, self.known, self.letters = encode, spaced, memo, _Known(), letters
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, memo: int = MEMO, letters: Callable[[list[str]], list[bytes]] | None = None, added: re.Pattern | None = None):
+        """letters: a way to encode many words of a-z at once, each as it is with its space before it. added: finds added tokens."""
+        self.encode, self.spaced, self.memo, self.known, self.letters, self.added, self.held = encode, spaced, memo, _Known(), letters, added, 0
 
     def _plain(self, chunk: str) -> bool:
         return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace() and chunk[0] not in EDGES and chunk[-1] not in EDGES
@@ -46,14 +47,16 @@ class ChunkMemo:
         if self.spaced:  # the first chunk has no space before it
             for k, parts in enumerate(split):
                 heads[k], split[k] = parts[0], parts[1:]
-        if len(self.known) > self.memo:
+        if self.held > self.memo:
             self.known.clear()
+            self.held = 0
+        special = {k for k, t in enumerate(texts) if self.added.search(t)} if self.added else set()
         known, out, whole, new = self.known, [b""] * len(texts), [], set()
         found = [list(map(known.__getitem__, parts)) for parts in split]
         holes = [[k for k, x in enumerate(ids) if x is NEW] for ids in found]
         for parts, ks in zip(split, holes, strict=True):
             new.update(map(parts.__getitem__, ks))
-        self._learn(new)
+        learned = self._learn(new)
         lone = sorted({h for h in heads if h and self._plain(h)})
         first = dict(zip(lone, self.encode(lone), strict=True)) if lone else {}
         for k, (parts, ids) in enumerate(zip(split, found, strict=True)):
@@ -61,17 +64,22 @@ class ChunkMemo:
                 ids[i] = known[parts[i]]
             if self.spaced and not parts and not heads[k]:
                 continue
-            if None in ids or self.spaced and heads[k] not in first:
+            if k in special or None in ids or self.spaced and heads[k] not in first:
                 whole.append(k)
             else:
                 out[k] = first[heads[k]] + b"".join(ids) if self.spaced else b"".join(ids)
         if whole:
             for k, ids in zip(whole, self.encode([texts[k] for k in whole]), strict=True):
                 out[k] = ids
+        for c in learned:
+            if len(c) > LONG:
+                known.pop(c, None)
+            else:
+                self.held += len(c) + len(known[c] or b"")
         return out
 
-    def _learn(self, fresh: set[str]) -> None:
-        """A chunk of letters and one final mark is the letters' ids and the mark's."""
+    def _learn(self, fresh: set[str]) -> set[str]:
+        """A chunk of letters and one final mark is the letters' ids and the mark's. What is known now, these letters included."""
         known, lead = self.known, " " if self.spaced else ""
         plain: dict[str, None] = {}
         ended = []
@@ -99,6 +107,7 @@ class ChunkMemo:
             for c in ended:
                 stem = known[c[:-1]]
                 known[c] = stem + marks[c[-1]] if stem is not None else None
+        return fresh | plain.keys()
 
 
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
@@ -106,12 +115,13 @@ _PLAIN = re.compile("[a-z]+").fullmatch
 
 
 def library_encoder(path: str, spaced: bool) -> ChunkMemo:
-    """The tokenizer file at path, by the tokenizers library, without special tokens; their strings are ordinary text."""
+    """The tokenizer file at path, by the tokenizers library: nothing is added; strings of its own added tokens are those tokens."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    names = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+    added = re.compile("|".join(names), re.IGNORECASE) if names else None
 
     def encode(texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,7 +144,7 @@ def library_encoder(path: str, spaced: bool) -> ChunkMemo:
             out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
-    return ChunkMemo(encode, spaced, letters=letters)
+    return ChunkMemo(encode, spaced, letters=letters, added=added)
 
 
 _made: dict[tuple, ChunkMemo] = {}

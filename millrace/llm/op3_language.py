@@ -39,9 +39,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lowered; everything else separates."""
-    return _LETTERS.findall(text.lower())
-
+    """Runs of letters, lowered; everything else separates, so do signs and numbers that patterns take for word characters."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else (w,))]
 
 
 def grams(word: str, n: int) -> list[str]:

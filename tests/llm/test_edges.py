@@ -31,7 +31,6 @@ def library(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -117,6 +116,7 @@ def test_language(spark):
     by = {(r.doc_id, r.text): (r.lang_pred, r.lang_score) for r in got.collect()}
     assert by[0, None] == ("und", 0.0) and by[1, ""][0] == "und" and by[10, "### $$$ <|> 12 34"] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in by.values()) and set(got.columns) >= set(rows.columns)
+    assert model.scores("½ ² Ⅷ ① 12_3")[0] == "und" and op3.words_of("a½b Ça ⅷ x_y") == ["a", "b", "ça", "x", "y"]
     empty = op3.fit(none(spark))
     assert empty.languages == [] and {r.lang_pred for r in op3.predict(rows, empty).collect()} == {"und"}
 
@@ -132,6 +132,24 @@ def test_backoff_is_word_first():
     assert m.word("the") == (-1.0, -9.0) and m.word("thx") == (-9.0, -1.0) and m.word("zq") == (-2.0, -1.0) and m.word("qq") is None
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORDS, False)])
+def test_encoders_equal_the_plain_library_call(path, spaced):
+    """Strings of added tokens, with and without spaces around them, odd spaces, long chunks, a memo that overflows."""
+    import random
+
+    from millrace.llm import encoders
+
+    rng, ids = random.Random(9), library(path)
+    parts = ["a", " ", "  ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "the", "Word,", "x.", "\n", "\t ", "日本語", "é", "\u200b", "\ufeff", "12", "it's", "q" * 90, "\u3000"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    e = encoders.library_encoder(path, spaced)
+    e.memo = 3000
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        assert [list(array("I", x)) for x in e.texts(part)] == [ids(t) for t in part]
+    assert all(len(c) <= encoders.LONG for c in e.known)
+
+
 def packs(got, want, capacity):
     """Pieces cover each document's ids, in order; sequences have no gaps and do not overflow."""
     by = {}
