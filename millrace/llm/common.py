@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,18 @@ class Scratch:
         return settle(df, name, f"{self.root}/{self.n}-{name}")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int):
+    """Batches of about so many bytes go to Python workers, however many rows that is, in queries that run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def fold_case(text: Column) -> Column:
     """A-Z lowered, and nothing else."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, settle
+from .common import Scratch, arrow_batches, connected_components, settle
 from .encoders import slices
 
 WIDTH, RATIO, SPARE = 5, 2.0, 1.1
@@ -50,8 +50,8 @@ WIDE_PAIRS, CELL = 100_000_000, 8_192
 #: Members up to which a group is told once in a task and never passed over; members of a row; members of which a task holds a group.
 SMALL, CHUNK, PART = 24, 4_096, 200_000
 BROADCAST_ROWS, WORD_MEMO = 500_000, 150_000
-#: Bytes of bitmaps compared at once.
-STEP_BYTES = 4_000_000
+#: Bytes of bitmaps compared at once; bytes of texts, bitmaps or sets that go to a worker at once.
+STEP_BYTES, BATCH_BYTES = 4_000_000, 8_000_000
 
 
 class _Words(dict):
@@ -430,6 +430,15 @@ def _labelled(docs: DataFrame) -> DataFrame:
     """The rows of components(), with a hash of the text and with c, which tells components apart that have their smallest
     doc_id in common; c is null for rows that are linked with nothing."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        told, found = _found(docs)
+    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    rows = told.select("doc_id", F.col("n").alias("n_shingles"), "node", "of_text")
+    return rows.join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "of_text", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+
+
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The described rows; (node, c, component_id)."""
     told = settle(docs.withColumn("of_text", F.xxhash64("text")).mapInArrow(_describe, "doc_id long, n long, node long, bits binary, of_text long"), "described")
     nodes = told.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     with Scratch(docs.sparkSession, "jaccard") as scratch:
@@ -438,9 +447,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
         of = scratch.settle(nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c")), "labels")
         least = of.groupBy("c").agg(F.min("rep").alias("component_id"))
         found = settle(of.join(least, "c").select("node", "c", "component_id"), "found")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    rows = told.select("doc_id", F.col("n").alias("n_shingles"), "node", "of_text")
-    return rows.join(found, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), "of_text", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("c"))
+    return told, found
 
 
 def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
