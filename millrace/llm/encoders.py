@@ -11,8 +11,8 @@ import numpy as np
 
 #: Characters that some pattern dialects take for white space; a chunk with one at an edge is encoded with its text.
 EDGES = "\u180e\u200b\ufeff"
-#: Characters and bytes of ids that a memo holds; characters of the longest chunk in it.
-MEMO, LONG = 24_000_000, 64
+#: Bytes that a memo holds, about, with what a chunk costs besides its characters and ids; characters of the longest chunk in it.
+MEMO, EACH, LONG = 200_000_000, 180, 64
 
 NEW = 0
 
@@ -29,8 +29,8 @@ class ChunkMemo:
 
     A pattern that splits text before the merges lets a space go only with what follows it, so a chunk's ids do not
     depend on its neighbours as long as no run of white space reaches over a space. Texts with such runs (spaced,
-    below), and texts that hold an added token of the tokenizer, are encoded as a whole. Memory: at most `memo` characters and as
-    many bytes of ids are remembered; chunks above LONG characters (texts without spaces) are not.
+    below), and texts that hold an added token of the tokenizer, are encoded as a whole. Memory: about `memo` bytes of chunks
+    and their ids are remembered; chunks above LONG characters (texts without spaces) are not.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, memo: int = MEMO, letters: Callable[[list[str]], list[bytes]] | None = None, added: re.Pattern | None = None):
@@ -75,7 +75,7 @@ class ChunkMemo:
             if len(c) > LONG:
                 known.pop(c, None)
             else:
-                self.held += len(c) + len(known[c] or b"")
+                self.held += EACH + len(c) + len(known[c] or b"")
         return out
 
     def _learn(self, fresh: set[str]) -> set[str]:
