@@ -2,9 +2,11 @@
 
 Each partition packs its own pieces by best fit (longest first, each into the bin whose room it leaves least), emits bins
 that are full or nearly so, and passes on the underfull ones. Those bins, as items, meet the bins of other partitions in
-a tree: each round merges the residue of a few partitions, packs it by best fit again, and emits what is nearly full,
-with a wider tolerance from round to round; what the root is left with is emitted as it is. Only small rows
-(bin, fill) travel between rounds; a group of residues is never larger than `group_items`.
+a tree: each round merges the residue of a few partitions, packs it by best fit again, and emits what is nearly full; what
+the root is left with is emitted as it is. Only small rows (bin, fill) travel between rounds. A group of residues is no larger than `group_items`:
+a level that would need larger ones deals all its residue anew, so that each group gets a like mix of all
+fills and complementary bins meet, and the tree ends when that leaves as many bins as before. Last, the pieces of the bins
+that are underfull at the root are packed once more by themselves, which counts if it makes fewer sequences.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .common import settle
 from .encoders import library_encoder, slices, worker_encoder
 
 CAPACITY = 2048
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, bin long, shift long, fill long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, item long, bin long, shift long, fill long"
 MOVES = "bin long, parent long, shift long, part int, fill long"
 
 
@@ -77,8 +79,8 @@ def _pack_texts(path: str, end_id: int, capacity: int):
             return
         where, offset, fill = best_fit([r[3] for r in rows], capacity)
         base = part << 32
-        columns = [*map(list, zip(*rows, strict=True)), [part] * len(rows), [base + w for w in where], offset, [fill[w] for w in where]]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        columns = [*map(list, zip(*rows, strict=True)), [part] * len(rows), [base + i for i in range(len(rows))], [base + w for w in where], offset, [fill[w] for w in where]]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         t = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
         yield from t.to_batches(max_chunksize=50_000)
 
@@ -98,38 +100,30 @@ def _pack_bins(level: int, capacity: int):
     return run
 
 
-def _groups(counts: dict[int, int], fan_in: int, most: int) -> dict[int, int]:
-    """Partition number: group number. A group has fan_in partitions and `most` items at most (or one partition)."""
-    out, g, n, k = {}, -1, most, fan_in
-    for p in sorted(counts):
-        if k >= fan_in or n + counts[p] > most:
-            g, n, k = g + 1, 0, 0
-        out[p], n, k = g, n + counts[p], k + 1
-    return out
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, fan_in: int = 8, slack: int = 4, group_items: int = 200_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document.
 
     docs needs doc_id and text; other columns are not looked at. A null or empty text is the end id alone. Repeated
     rows, and rows without doc_id, are packed as documents of their own. An empty table gives an empty result. Equal
     lengths are placed in the order of their rows. Sequences have no gap; all but the longest documents stay whole.
-    slack: the free room up to which a bin is emitted in the first round; each later round takes four times as much.
+    slack: the free room up to which a bin is emitted before the root, the same in all rounds.
     """
     spark = docs.sparkSession
     pieces = settle(docs.select("doc_id", "text").mapInArrow(_pack_texts(tokenizer_path, end_id, capacity), PIECES), "pieces")
     bins = pieces.where(pieces.fill < capacity - slack).select("part", "bin", "fill").distinct()
-    moves, level = None, 0
+    moves, level, before = None, 0, None
     while True:
-        counts = {r[0]: r[1] for r in bins.groupBy("part").count().collect()}
-        if len(counts) < 2:
+        n, parts = bins.agg(F.count("*"), F.count_distinct("part")).first()
+        if parts < 2 or n == before:
             break
-        level, slack = level + 1, slack * 4
-        group = _groups(counts, fan_in, group_items)
-        if len(set(group.values())) == len(group):
-            break
-        lookup = spark.createDataFrame(sorted(group.items()), "part int, g int")
-        step = settle(bins.join(lookup, "part").select("g", "bin", "fill").groupBy("g").applyInPandas(_pack_bins(level, capacity), MOVES), "moves")
+        level, groups = level + 1, -(-parts // fan_in)
+        if n > groups * group_items:
+            # Too much for this level's groups: more of them, each a like mix of all fills, until a round saves nothing.
+            groups, before = -(-n // group_items), n
+            g = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).cast("int")
+        else:
+            g = F.floor(F.col("part") * groups / (F.lit(bins.agg(F.max("part")).first()[0]) + 1)).cast("int")
+        step = settle(bins.select(g.alias("g"), "bin", "fill").groupBy("g").applyInPandas(_pack_bins(level, capacity), MOVES), "moves")
         link = step.select("bin", "parent", "shift")
         if moves is None:
             moves = link
@@ -142,7 +136,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     if moves is None:
         return pieces.select(*keep, F.col("bin").alias("sequence_id"), F.col("shift").alias("offset"))
     m = moves.select("bin", "parent", F.col("shift").alias("more"))
-    return pieces.join(m, "bin", "left").select(*keep, F.coalesce("parent", "bin").alias("sequence_id"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("offset"))
+    placed = pieces.join(m, "bin", "left").select(*keep, "item", F.coalesce("parent", "bin").alias("sequence_id"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("offset"))
+    rest = placed.join(bins.select(F.col("bin").alias("sequence_id")), "sequence_id", "left_semi").select(F.col("item").alias("bin"), F.col("length").alias("fill"))
+    groups = max(1, -(-rest.count() // group_items))
+    again = rest.select(F.pmod(F.xxhash64("bin"), F.lit(groups)).cast("int").alias("g"), "bin", "fill").groupBy("g").applyInPandas(_pack_bins(level + 1, capacity), MOVES)
+    again = settle(again, "again")
+    if again.select("parent").distinct().count() >= bins.count():
+        return placed.drop("item")
+    again = again.select(F.col("bin").alias("item"), "parent", F.col("shift").alias("anew"))
+    return placed.join(again, "item", "left").select(*keep, F.coalesce("parent", "sequence_id").alias("sequence_id"), F.coalesce("anew", "offset").alias("offset"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
