@@ -6,8 +6,8 @@ removed from all of them but the first (the smallest doc_id), and a document tha
 of its words is rejected, as are those that fail the base rules (fewer than 50 words, or over half of them in repeated
 three-word windows).
 
-Plan: one scan counts lines (a partial aggregate before the exchange, so that a line of millions of documents costs a
-row a task), one scan measures documents and looks their lines up. The table of frequent lines, at most one row for
+Plan: one scan counts lines (rows of one document first, then documents of a line, with a partial aggregate before either
+exchange, so that a line of millions of documents costs a row a task), one scan measures documents and looks their lines up. The table of frequent lines, at most one row for
 each MOST_DOCS + 1 lines, is broadcast where it has up to BROADCAST_ROWS rows; beyond that, lines meet it in a shuffled
 join whose key carries a salt. Texts are shuffled only by clean(), which returns them.
 """
@@ -40,6 +40,11 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
+def _doc() -> Column:
+    """The document of a row: its doc_id; rows without one are one document, before all others."""
+    return F.coalesce("doc_id", F.lit(-(2**63)))
+
+
 def _norm(line: Column) -> Column:
     return F.trim(F.regexp_replace(fold_case(line), GAP, " "))
 
@@ -54,8 +59,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
-    """(host, h, n_docs, owner): lines in more than most_docs documents of a host; owner: the first document's (doc_id, k)."""
-    seen = lines_of(docs).where("first").groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "k")).alias("owner"))
+    """(host, h, n_docs, owner): lines in more than most_docs documents of a host; owner: the first document."""
+    held = lines_of(docs).where("first").groupBy("host", "h", _doc().alias("d")).agg(F.count("*").alias("rows"))
+    seen = held.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("d").alias("owner"))
     return settle(seen.where(seen.n_docs > most_docs), "lines")
 
 
@@ -68,7 +74,7 @@ def _meet(rows: DataFrame, table: DataFrame, few: bool, on: list[str], salt: str
 
 
 def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
-    """(g_k, gone, hs): for each document that loses lines, how many words, and the hashes of those lines."""
+    """(g_d, g_k, gone, hs): for each row that loses lines, how many words, and the hashes of those lines."""
     often, lines = frequent_lines(docs, most_docs), lines_of(docs)
     a = often.select(F.col("host").alias("o_host"), F.col("h").alias("o_h"), "owner")
     on = lines.host.eqNullSafe(a.o_host) & (lines.h == a.o_h)
@@ -77,8 +83,8 @@ def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
     else:
         a = a.withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = lines.join(a, on & (F.pmod("k", F.lit(SALTS)) == a.o_salt))
-    both = both.where(~F.struct("doc_id", "k").eqNullSafe(F.col("owner"))).select(F.col("k").alias("g_k"), "i", "h", "words").distinct()
-    return settle(both.groupBy("g_k").agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs")), "gone")
+    both = both.where(_doc() != F.col("owner")).select(_doc().alias("g_d"), F.col("k").alias("g_k"), "i", "h", "words").distinct()
+    return settle(both.groupBy("g_d", "g_k").agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs")), "gone")
 
 
 def _one_by_one(left: int):
@@ -149,17 +155,18 @@ def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
         rows = settle(rest.withColumn("taken", F.col("taken") | F.coalesce("now", F.lit(False))).drop("now"), "rest")
     if not owners:
         # Written too: from an empty literal the optimizer would push the filter on kept below measure().
-        return settle(held.select(F.col("k").alias("g_k"), F.col("words").alias("gone"), F.array("h").alias("hs")).limit(0), "gone")
+        return settle(held.select(_doc().alias("g_d"), F.col("k").alias("g_k"), F.col("words").alias("gone"), F.array("h").alias("hs")).limit(0), "gone")
     owned = settle(reduce(DataFrame.union, owners), "owners")
-    gone = _meet(held, owned, few, ["l"]).where("k <> owner").groupBy(F.col("k").alias("g_k"))
+    own = [_doc().alias("g_d"), F.col("k").alias("g_k")]
+    gone = _meet(held, owned, few, ["l"]).where("k <> owner").groupBy(*own)
     lost = held.join(owned, "l", "left_anti")  # lines of which no holder is kept
     gone = gone.agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
-    more = lost.groupBy(F.col("k").alias("g_k")).agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
-    return settle(gone.union(more).groupBy("g_k").agg(F.sum("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")), "gone")
+    more = lost.groupBy(*own).agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
+    return settle(gone.union(more).groupBy("g_d", "g_k").agg(F.sum("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")), "gone")
 
 
 def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(own, k, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each row, own with its carried columns; no exchange.
+    """(own, d, k, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each row, own with its carried columns; no exchange.
 
     Three-word windows are compared by 64-bit hashes within a document. Where two are equal, the windows are sorted with
     their positions, and neighbours mark those that occur twice; each covers three words, less what it shares with the
@@ -167,23 +174,23 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     own = F.struct(*carry).alias("own") if carry else F.lit(None).alias("own")
     t = F.coalesce("text", F.lit(""))
-    a = docs.select(own, _key().alias("k"), t.alias("t"))
-    a = a.select("own", "k", "t", F.array_remove(F.split("t", GAP), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: ~_blank(x)).alias("ls"))
+    a = docs.select(own, _doc().alias("d"), _key().alias("k"), t.alias("t"))
+    a = a.select("own", "d", "k", "t", F.array_remove(F.split("t", GAP), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: ~_blank(x)).alias("ls"))
     a = a.select(
-        "own", "k",
+        "own", "d", "k",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         F.slice(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), 1, F.greatest(F.size("w") - 2, F.lit(0))).alias("h"),
     )
-    rest = ["own", "k", *COUNTS[:4]]
+    rest = ["own", "d", "k", *COUNTS[:4]]
     a = a.select(*rest, F.when(F.size("h") > F.size(F.array_distinct("h")), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("p"))
     twice = F.filter("p", lambda e, i: F.coalesce(e["x"] == F.get("p", i - 1)["x"], F.lit(False)) | F.coalesce(e["x"] == F.get("p", i + 1)["x"], F.lit(False)))
     a = a.select(*rest, F.sort_array(F.transform(twice, lambda e: e["i"])).alias("at"))
     fresh = F.transform("at", lambda v, i: F.least(F.lit(3), v - F.coalesce(F.get("at", i - 1), v - 3)))
     a = a.select(*rest, F.coalesce(F.aggregate(fresh, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"))
-    return a.select("own", "k", *COUNTS)
+    return a.select("own", "d", "k", *COUNTS)
 
 
 def _failed() -> Column:
@@ -195,7 +202,7 @@ def _judged(docs: DataFrame, gone: DataFrame, left: int, carry: tuple[str, ...])
     n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()
     if n <= BROADCAST_ROWS and size <= BROADCAST_LINES:
         gone = F.broadcast(gone)
-    rows = rows.join(gone, rows.k == gone.g_k, "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
+    rows = rows.join(gone, (rows.d == gone.g_d) & (rows.k == gone.g_k), "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0)).cast("long"))
     failed = _failed()
     # One comparison that needs both sides of the join: a filter on it stays above, where the counts are columns. Pushed
     # down, it would hold their expressions in place of the columns, and evaluate them again for each element.
@@ -207,8 +214,8 @@ def judge(docs: DataFrame, most_docs: int = MOST_DOCS, left: int = LEFT) -> Data
     """A row for each row of docs: doc_id, the counts, base_failed, n_removed_words, kept.
 
     docs needs doc_id, source and text; other columns are not looked at. A null text is an empty one, which fails the
-    base. A null source is a host of its own, a null doc_id the smallest. Rows that repeat in all three columns each
-    count as a document; where they are a line's first holder, all of them keep it. An empty table gives an empty result.
+    base. A null source is a host of its own. Rows of one doc_id are one document, which counts once, and all of them keep
+    the lines of which it is the first holder; rows without doc_id are one, before all others. An empty table gives an empty result.
     """
     return _judged(docs, _gone(docs, most_docs), left, ("doc_id",)).select("own.doc_id", *COUNTS, "base_failed", "n_removed_words", "kept")
 
@@ -248,7 +255,7 @@ ln AS (SELECT doc_id, source, l, array_to_string(regexp_extract_all(translate(l,
 ]+')) AS n FROM (SELECT doc_id, source, unnest(ls) AS l FROM w)),
 li AS (SELECT * FROM ln WHERE n > 0),
 freq AS (SELECT source, norm, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS owner FROM li GROUP BY source, norm),
-gone AS (SELECT li.doc_id, sum(li.n) AS gone FROM li JOIN freq f ON li.source = f.source AND li.norm = f.norm
+gone AS (SELECT li.doc_id, sum(li.n) AS gone FROM li JOIN freq f ON li.source IS NOT DISTINCT FROM f.source AND li.norm = f.norm
   WHERE f.n_docs > {MOST_DOCS} AND li.doc_id <> f.owner GROUP BY li.doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM li GROUP BY doc_id),
 c AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
