@@ -41,8 +41,7 @@ def crc(ids):
 def test_shards(spark):
     rows = odd(spark)
     got = op1.shard_documents(rows).read()
-    columns = [c for c in rows.columns if c != "_arrival"]
-    assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, rows.select(*columns).collect()))
+    assert sorted(map(repr, got.select(*rows.columns).collect())) == sorted(map(repr, rows.collect())) and "arrival" in got.columns
     assert op1.shard_documents(none(spark)).read() is None
 
 
@@ -143,7 +142,7 @@ def test_encoders_equal_the_plain_library_call(path, spaced):
     parts = ["a", " ", "  ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "the", "Word,", "x.", "\n", "\t ", "日本語", "é", "\u200b", "\ufeff", "12", "it's", "q" * 90, "\u3000"]
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
     e = encoders.library_encoder(path, spaced)
-    e.memo = 3000
+    e.memo = 30_000
     for k in range(0, len(texts), 100):
         part = texts[k : k + 100]
         assert [list(array("I", x)) for x in e.texts(part)] == [ids(t) for t in part]
@@ -191,6 +190,14 @@ def test_packing_rounds(spark):
     assert n <= 1.02 * sum(len(i) for _, i in want) / 512 + 1
 
 
+@pytest.mark.parametrize("group_items", [200_000, 40])
+def test_packing_of_many_partitions_is_as_good_as_of_one(spark, data, group_items):
+    """Of pieces in 32 partitions there is at most a sequence more than of pieces in one, whatever a group may hold."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    one, many = (op4.pack_documents(docs.repartition(n), BYTE, group_items=g).select("sequence_id").distinct().count() for n, g in ((1, 200_000), (32, group_items)))
+    assert many <= one + (1 if group_items > 1000 else 0.1 * one)
+
+
 def test_best_fit_takes_the_tightest():
     where, offset, fill = op4.best_fit([6, 5, 4, 3, 2], 10)
     assert fill == [10, 10] and where == [0, 1, 0, 1, 1] and offset == [0, 0, 6, 5, 8]

@@ -149,10 +149,45 @@ def test_store_versions(spark, tmp_path):
     with pytest.raises(op1.Conflict):
         store.commit([], 1)
     assert store.vacuum() == 7 and store.read().count() == 20
-    store.append(none(spark).select("doc_id"))
+    store.append(none(spark).selectExpr("doc_id id"))
     assert store.read().count() == 20
 
 
+def test_store_keeps_columns_that_come_later(spark, tmp_path):
+    store = op1.ShardStore(spark, f"file://{tmp_path}/s")
+    for k in range(3):
+        store.append(spark.range(k * 10, k * 10 + 10).coalesce(1))
+    store.append(spark.range(30, 40).selectExpr("id", "'x' extra", "id _batch0").coalesce(1))
+    want = {(i, "x" if i >= 30 else None, i if i >= 30 else None) for i in range(40)}
+    assert {tuple(r) for r in store.read().collect()} == want
+    store.compact()
+    store.vacuum()
+    assert len(store.shards()) == 1 and {tuple(r) for r in store.read().collect()} == want
+    with pytest.raises(ValueError, match="extra"):
+        store.append(spark.range(1).selectExpr("id", "1 extra"))
+    store.append(spark.range(40, 42).selectExpr("id", "cast(id % 2 as int) _batch0x"), "_batch0x")
+    assert store.read().count() == 42
+
+
+def test_compaction_goes_on_and_leaves_no_files(spark, tmp_path, monkeypatch):
+    """A tier that no merge makes smaller does not keep later tiers from theirs; files of no version go after a grace time."""
+    monkeypatch.setattr(op1, "LEAST", 2_000)
+    store = op1.ShardStore(spark, f"file://{tmp_path}/s")
+    for _ in range(4):
+        store.append(spark.range(10).coalesce(1))
+    for _ in range(4):
+        store.append(spark.range(3000).selectExpr("id", "uuid() extra").coalesce(1))
+    small = max(s.bytes for s in store.shards() if s.rows == 10)
+    store.compact(target=4 * max(s.bytes for s in store.shards()))
+    assert len(store.shards()) == 2 and small < 2_000 and store.read().count() == 12_040
+    (tmp_path / "s/data/left").mkdir()
+    (tmp_path / "s/data/left/part-0.parquet").write_bytes(b"x")
+    store.vacuum()
+    assert (tmp_path / "s/data/left/part-0.parquet").exists()
+    store.vacuum(grace=-10)
+    assert sorted(str(p) for p in (tmp_path / "s/data").rglob("*.parquet")) == sorted(s.path.replace("file:", "") for s in store.shards())
+
+
 def test_winnowing_finds_long_enough_passages():
     rng = random.Random(1)
     for _ in range(50):
