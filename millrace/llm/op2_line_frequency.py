@@ -23,8 +23,6 @@ from .common import ASCII_LOWER, ASCII_UPPER, GAP, fold_case, settle
 
 MOST_DOCS, LEFT = 10, 30
 BROADCAST_ROWS, SALTS = 200_000, 16
-#: Lines of open documents up to which one task goes through them (clean).
-ONE_TASK_LINES = 300_000
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BROADCAST_LINES = 500_000
@@ -87,42 +85,13 @@ def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
     return settle(both.groupBy("g_d", "g_k").agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs")), "gone")
 
 
-def _one_by_one(left: int):
-    """(l, owner) from the lines (k, l, words, n_words, taken) of documents in order."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        owner: dict[int, int] = {}
-        now, lines = None, []
-
-        def close():
-            lost = sum(w for line, w, _, taken in lines if taken or line in owner)
-            if lines and 100 * (lines[0][2] - lost) >= left * lines[0][2]:
-                for line, _, _, taken in lines:
-                    if not taken:
-                        owner.setdefault(line, now)
-
-        for b in batches:
-            for k, line, w, n, taken in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != now:
-                    close()
-                    now, lines = k, []
-                lines.append((line, w, n, taken))
-        close()
-        if owner:
-            yield pa.RecordBatch.from_arrays([pa.array(list(owner), pa.int64()), pa.array(list(owner.values()), pa.int64())], names=["l", "owner"])
-
-    return run
-
-
 def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
     """_gone(), where a line stays in the first document that is itself kept.
 
     As if documents that pass the base came one by one in order of (doc_id, k): each has the lines that no kept one before it
     holds, is kept if that is enough, and then its lines are taken. In rounds: a document that is not depleted even
     if all open ones before it took their lines is kept; one that taken lines alone deplete is rejected; the first open one is
-    always one or the other. A round is over the lines of open documents only; up to ONE_TASK_LINES, counted first, go to one task.
+    always one or the other. A round is over the lines of open documents only.
     """
     often, line = frequent_lines(docs, most_docs), F.xxhash64("host", "h").alias("l")
     few = often.count() <= BROADCAST_ROWS
@@ -136,12 +105,7 @@ def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
     who = F.struct("doc_id", "k")
     held = settle(held.join(sized, "k"), "held")
     rows, owners = held.withColumn("taken", F.lit(False)), []
-    while n := rows.count():
-        if n <= ONE_TASK_LINES:
-            one = rows.select("k", "l", "words", "n_words", "taken", F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "k").alias("at"))
-            one = one.repartition(1).sortWithinPartitions("at").drop("at").mapInArrow(_one_by_one(left), "l long, owner long")
-            owners.append(settle(one, "owners"))
-            break
+    while rows.take(1):
         first = rows.groupBy("l").agg(F.min(F.when(~F.col("taken"), who)).alias("first"))
         x = settle(_meet(rows, first, few, ["l"]).withColumn("mine", ~F.col("taken") & who.eqNullSafe(F.col("first"))).drop("first"), "open")
         lost = lambda c: F.sum(F.when(c, F.col("words")).otherwise(0))
