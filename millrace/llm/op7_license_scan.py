@@ -136,44 +136,66 @@ class Index:
 
 
 def candidates(hits: list[tuple[int, int, int]], texts: list[list[int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(template, least and greatest diagonal, first and end document word to look at) of each group of hits."""
-    low = high = start = 0
-    now, last = None, 0
-    for t, i, d in sorted(hits, key=lambda h: (h[0], h[2], h[1])):
-        g = d - i
-        if now == t and g - BAND <= high and g + BAND >= low and d - last <= len(texts[t]):
-            low, high, last = min(low, g), max(high, g), d
-            continue
-        if now is not None:
-            yield now, low, high, start, last
-        now, low, high, start, last = t, g, g, d, d
-    if now is not None:
-        yield now, low, high, start, last
-
+    """(template, least and greatest diagonal, first and last document word of a hit) of each group of hits.
 
-def align(template: list[int], coded: np.ndarray, low: int, high: int, first: int = 0, last: int = 0, band: int = BAND) -> tuple[int, int, int]:
+    Hits of a template go by diagonal into strips of BAND, and within two neighbouring strips by place, as long as no gap is longer
+    than the template. So a group is at most 2 * BAND wide, and a phrase that a text repeats makes one group for each place where
+    the template may lie, not one as wide as the text. Groups of too few words to reach COVERAGE of the template are left out:
+    a hit stands for at most GRAM + WINDOW - 1 words before the next one.
+    """
+    strips: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, i, d in hits:
+        k = (d - i) // BAND
+        strips.setdefault((t, k), []).append((d, d - i))
+        strips.setdefault((t, k - 1), []).append((d, d - i))
+    for (t, _), found in sorted(strips.items()):
+        found.sort()
+        start = 0
+        for x in range(1, len(found) + 1):
+            if x < len(found) and found[x][0] - found[x - 1][0] <= len(texts[t]):
+                continue
+            part, start = found[start:x], x
+            reach = sum(min(b[0] - a[0], GRAM + WINDOW - 1 + BAND) for a, b in zip(part, part[1:], strict=False)) + GRAM + 2 * (WINDOW - 1) + BAND
+            if reach >= COVERAGE * len(texts[t]):
+                yield t, min(g for _, g in part), max(g for _, g in part), part[0][0], part[-1][0]
+
+
+def align(template: list[int], coded: np.ndarray, low: int, high: int, first: int, last: int, band: int = BAND) -> tuple[int, int, int]:
     """(words matched, first, end) of the best local alignment whose diagonals (document place less template place) lie
-    within `band` of low..high. Ties go to the alignment with more matches, then to the earlier end."""
-    low, high, n = low - band, high + band, len(coded)
-    none = (0, 0, 0)  # score, matches, first document word
-    before: dict[int, tuple[int, int, int]] = {}
-    best = (0, 0, 0, 0)
-    for i, w in enumerate(template):
-        row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + low), min(n, i + high + 1)):
-            d = before.get(j - 1, none)
-            if coded[j] == w:
-                cell = (d[0] + 2, d[1] + 1, d[2] if d[0] else j)
-            else:
-                cell = (d[0] - 1, d[1], d[2])
-            for other in (before.get(j, none), row.get(j - 1, none)):
-                cell = max(cell, (other[0] - 1, other[1], other[2]), key=lambda c: (c[0], c[1], -c[2]))
-            if cell[0] > 0:
-                row[j] = cell
-                if cell[:2] > best[:2]:
-                    best = (*cell, j + 1)
-        before = row
-    return best[1], best[2], best[3]
+    within `band` of low..high, between the document words that a template around first..last can reach. Ties go to more
+    matches, then to the earlier end.
+
+    By document word, all diagonals of the band at once: a cell's number holds its score, its matches and, reversed, its start, so that
+    the greatest number is the best cell. Gaps along one word's diagonals are taken by a running maximum.
+    """
+    low, high, m = low - band, high + band, len(template)
+    begin, end = max(0, first - m - 2 * band), min(len(coded), last + m + 2 * band)
+    width = high - low + 1
+    words = np.full(m + 2 * width + 2, -2, dtype=np.int64)
+    words[width : width + m] = template
+    unit, start_bits = 1 << 44, 1 << 22  # score above bit 44, matches from bit 22, the start below
+    down = np.arange(width, dtype=np.int64) * unit
+    row, best = np.zeros(width, dtype=np.int64), (0, 0, 0)
+    for j in range(begin, end):
+        # Diagonal low + x has template place j - low - x.
+        at = j - low
+        if at - width + 1 >= m or at < 0:
+            row[:] = 0
+            continue
+        place = np.clip(at - np.arange(width), -width, m + width)
+        inside = (place >= 0) & (place < m)
+        same = inside & (words[place + width] == coded[j])
+        fresh = 2 * unit + start_bits + (start_bits - 1 - (j - begin))
+        cell = np.where(same, np.where(row > 0, row + 2 * unit + start_bits, fresh), row - unit)
+        # A document word without a partner comes from the diagonal below; a template word, from the one above in this row.
+        cell[1:] = np.maximum(cell[1:], row[:-1] - unit)
+        cell = np.where(inside & (cell >= unit), cell, 0)
+        run = np.maximum.accumulate((cell - down)[::-1])[::-1] + down
+        row = np.where(inside & (run >= unit), run, 0)
+        top = int(row.max())
+        if top // start_bits > best[0]:
+            best = (top // start_bits, start_bits - 1 - top % start_bits + begin, j + 1)
+    return best[0] % start_bits, best[1], best[2]
 
 
 def _scan(shared):

@@ -82,14 +82,13 @@ def test_lines_above_the_limit_go(spark):
         assert 101 not in text
 
 
-@pytest.mark.parametrize(("most_rows", "one_task"), [(op2.BROADCAST_ROWS, op2.ONE_TASK_LINES), (-1, 0)])
-def test_lines_stay_in_a_document_that_is_kept(spark, monkeypatch, most_rows, one_task):
+@pytest.mark.parametrize("most_rows", [op2.BROADCAST_ROWS, -1])
+def test_lines_stay_in_a_document_that_is_kept(spark, monkeypatch, most_rows):
     """The first holder fails the base, or is depleted: the line stays in the next holder that is kept; against documents
     taken one by one."""
     import random
 
     monkeypatch.setattr(op2, "BROADCAST_ROWS", most_rows)
-    monkeypatch.setattr(op2, "ONE_TASK_LINES", one_task)
     rng = random.Random(8)
     line = lambda n: " ".join(f"{n}w{j}" for j in range(20))
     abc = [line("A"), line("B"), line("C")]
@@ -239,8 +238,54 @@ def test_alignment_equals_full_alignment():
     for _ in range(30):
         template = [rng.randrange(30) for _ in range(40)]
         text = [rng.randrange(30, 60) for _ in range(25)] + [x for x in template if rng.random() > 0.05] + [rng.randrange(60) for _ in range(20)]
-        banded, whole = (op7.align(template, np.array(text), 25, 25, band=b)[0] for b in (8, 200))
-        assert banded == whole
+        banded, wide = (op7.align(template, np.array(text), 25, 25, 25, 60, band=b)[0] for b in (8, 200))
+        assert banded == wide == plain_alignment(template, text)
+
+
+def plain_alignment(template, text):
+    """Matches of the best local alignment, over all cells."""
+    before, best = [(0, 0)] * (len(template) + 1), (0, 0)
+    for w in text:
+        row = [(0, 0)]
+        for i, x in enumerate(template):
+            d = before[i]
+            cell = max((d[0] + 2, d[1] + 1) if w == x else (d[0] - 1, d[1]), (before[i + 1][0] - 1, before[i + 1][1]), (row[i][0] - 1, row[i][1]))
+            row.append(cell if cell[0] > 0 else (0, 0))
+        best, before = max(best, *row), row
+    return best[1]
+
+
+def test_whole_scan_against_full_alignment(spark):
+    """A table of texts that hold damaged templates, others' words and repeated phrases: every template that a full alignment
+    finds covered is reported, or lies within a better one."""
+    import random
+
+    rng, rows = random.Random(4), []
+    names = sorted(op7.TEMPLATES)
+    for i in range(40):
+        words = [f"z{rng.randrange(50)}" for _ in range(rng.randrange(40))]
+        for n in rng.sample(names, rng.randrange(3)):
+            words += [w.decode() if rng.random() > 0.03 else "odd" for w in op7.words_of(op7.TEMPLATES[n])] + ["q"] * rng.randrange(30)
+        rows.append((i, " ".join(words + ["the", "following", "disclaimer"] * rng.randrange(20))))
+    got = {}
+    for r in op7.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, t in rows:
+        found = {r.license: r.n_matched for r in got.get(i, [])}
+        for n in names:
+            template = op7.words_of(op7.TEMPLATES[n])
+            most = plain_alignment(template, op7.words_of(t))
+            if n in found:
+                assert found[n] <= most and found[n] >= op7.COVERAGE * len(template)
+            elif most >= op7.COVERAGE * len(template):
+                assert any(k >= most for k in found.values()), (i, n, most, found)
+
+
+def test_repeated_phrases_are_scanned_in_time():
+    import time
+
+    index, start = op7.Index.of(op7.TEMPLATES), time.time()
+    assert index.scan(" ".join(["the following disclaimer"] * 7000)) == [] and time.time() - start < 2
 
 
 def test_byte_bpe(spark):
