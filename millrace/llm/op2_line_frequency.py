@@ -91,7 +91,8 @@ def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
     As if documents that pass the base came one by one in order of (doc_id, k): each has the lines that no kept one before it
     holds, is kept if that is enough, and then its lines are taken. In rounds: a document that is not depleted even
     if all open ones before it took their lines is kept; one that taken lines alone deplete is rejected; the first open one is
-    always one or the other. A round is over the lines of open documents only.
+    always one or the other. A kept document waits for those of its lines that an open one before it holds: it gets them if that
+    one is rejected. A round is over the lines of open documents, and those that kept ones wait for.
     """
     often, line = frequent_lines(docs, most_docs), F.xxhash64("host", "h").alias("l")
     few = often.count() <= BROADCAST_ROWS
@@ -104,19 +105,20 @@ def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
     sized = sized.where(~_failed()).select("k", "n_words").distinct()
     who = F.struct("doc_id", "k")
     held = settle(held.join(sized, "k"), "held")
-    rows, owners = held.withColumn("taken", F.lit(False)), []
+    rows, owners = held.withColumns({"taken": F.lit(False), "sure": F.lit(False)}), []
     while rows.take(1):
         first = rows.groupBy("l").agg(F.min(F.when(~F.col("taken"), who)).alias("first"))
         x = settle(_meet(rows, first, few, ["l"]).withColumn("mine", ~F.col("taken") & who.eqNullSafe(F.col("first"))).drop("first"), "open")
         lost = lambda c: F.sum(F.when(c, F.col("words")).otherwise(0))
-        sums = x.groupBy("k", "n_words").agg(lost(~F.col("mine")).alias("most"), lost(F.col("taken")).alias("least"))
+        sums = x.where("not sure").groupBy("k", "n_words").agg(lost(~F.col("mine")).alias("most"), lost(F.col("taken")).alias("least"))
         enough = lambda c: 100 * (F.col("n_words") - F.col(c)) >= left * F.col("n_words")
         done = settle(sums.where(enough("most") | ~enough("least")).select("k", enough("most").alias("stays")), "done")
-        owners.append(settle(x.where("mine").join(done.where("stays"), "k").select("l", F.col("k").alias("owner")), "owners"))
+        x = settle(x.join(done, "k", "left").where(F.coalesce("stays", F.lit(True))).withColumn("sure", F.col("sure") | F.col("stays").isNotNull()).drop("stays"), "left")
+        owners.append(settle(x.where("mine and sure").select("l", F.col("k").alias("owner")), "owners"))
         now = owners[-1].select("l", F.lit(True).alias("now"))
         now = F.broadcast(now) if few else now
-        rest = x.drop("mine").join(done, "k", "left_anti").join(now, "l", "left")
-        rows = settle(rest.withColumn("taken", F.col("taken") | F.coalesce("now", F.lit(False))).drop("now"), "rest")
+        rest = x.drop("mine").join(now, "l", "left").withColumn("taken", F.col("taken") | F.coalesce("now", F.lit(False))).drop("now")
+        rows = settle(rest.where("not (sure and taken)"), "rest")
     if not owners:
         # Written too: from an empty literal the optimizer would push the filter on kept below measure().
         return settle(held.select(_doc().alias("g_d"), F.col("k").alias("g_k"), F.col("words").alias("gone"), F.array("h").alias("hs")).limit(0), "gone")

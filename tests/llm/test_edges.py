@@ -93,6 +93,9 @@ def test_lines_stay_in_a_document_that_is_kept(spark, monkeypatch, most_rows):
     line = lambda n: " ".join(f"{n}w{j}" for j in range(20))
     abc = [line("A"), line("B"), line("C")]
     rows = [(1, "\n".join(abc * 3), "en", "a", 0)] + [(i, "\n".join(abc), "en", "a", 0) for i in range(2, 14)]
+    # 50 takes P; 51 waits for P and is rejected; 52 is kept at once and gets Q, which 51 holds before it, as do 53 to 70.
+    rows += [(50, line("P1") + "\n" + line("P2") + "\n" + line("P3"), "en", "c", 0), (51, "\n".join([line("P1"), line("P2"), line("P3"), line("Q")]), "en", "c", 0)]
+    rows += [(i, "\n".join([line(f"own{i}a"), line(f"own{i}b"), line("Q"), line("P1"), line("P2"), line("P3")]), "en", "c", 0) for i in range(52, 71)]
     for i in range(24):
         own = [line(f"o{i}x{j}") for j in range(rng.randrange(3))]
         rows.append((100 + i, "\n".join(own + [line(f"s{j}") for j in rng.sample(range(8), rng.randrange(3, 8))]), "en", "b", 0))
