@@ -52,6 +52,51 @@ def test_neighbours_recall_and_ties(spark):
     assert op5.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_of_the_table(spark, data):
+    """Recall on a whole table, also with queries in several chunks."""
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding]
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
+    for size in (op5.QUERY_BYTES, 4_000):
+        by = {}
+        for r in op5.nearest(df, df.where("vec_id % 20 = 0"), query_bytes=size).collect():
+            by.setdefault(r.query_id, set()).add(r.vec_id)
+        want = {q: {i for _, i in brute(ids, x, q, 10)} for q in ids if q % 20 == 0}
+        assert set(by) == set(want)
+        assert sum(len(by[q] & want[q]) for q in want) >= 0.9 * sum(len(v) for v in want.values())
+
+
+def test_neighbours_verify_few_in_clusters():
+    """With a bound as from a sample: few vectors are verified, and blocks of other clusters are not opened."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 32)) * 4
+    x = (centres[:, None, :] + rng.normal(size=(20, 200, 32))).reshape(-1, 32)
+    ids = list(range(len(x)))
+    blocks = [op5.Index(np.array(ids[a : a + 200]), x[a : a + 200]) for a in range(0, len(x), 200)]
+    opened = hit = 0
+    queries = ids[::100]
+    for q in queries:
+        at, found = x[q] @ op5.lines_of(32), (np.empty(0), np.empty(0, dtype=np.int64))
+        want = brute(ids, x, q, 10)
+        bound = want[-1][0] * 1.1
+        for b in blocks:
+            if b.touched(x[q][None], at[None], np.array([bound]))[0]:
+                opened += 1
+                found = b.nearest(x[q], at, q, 10, found, bound)
+        hit += len({i for _, i in want} & set(found[1].tolist()))
+    assert hit >= 0.9 * 10 * len(queries)
+    assert opened < 0.1 * len(queries) * len(blocks)
+    assert sum(b.verified for b in blocks) < 0.05 * len(queries) * len(x)
+
+
+def test_neighbours_beyond_the_range_of_squares(spark):
+    rows = [(i, [1e300 * (i + 1), 1.0]) for i in range(5)] + [(10 + i, [float(i), 2.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = op5.nearest(df, df.where("vec_id in (1, 11)"), k=3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(1, 0), (1, 2), (1, 3), (11, 10), (11, 12), (11, 13)]
+    assert [r.score for r in got][3:] == [1.0, 1.0, 2.0]
+
+
 def edges_of(rng, n, m):
     return [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(1000 + i, 1001 + i) for i in range(40)]
 
