@@ -146,6 +146,61 @@ def test_forward_is_exact():
         last, m = total, op10.Hmm(into.first / into.first.sum(), into.move / into.move.sum(1, keepdims=True), into.emit / into.emit.sum(0))
 
 
+def test_stretches_of_long_texts_count_the_same():
+    rng = np.random.default_rng(5)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    m = op10.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((5, 3)), 0))
+    texts = [rng.integers(0, 5, n) for n in (1, 2, 3, 20, 21, 50, 100)]
+    whole = m.zero()
+    for _, tokens, sizes in op10.side_by_side(texts):
+        total = m.expect(tokens, sizes, whole)
+        for least in (1, 2, 7, 50, 99, 100):
+            part = m.zero()
+            assert m.expect(tokens, sizes, part, least) == pytest.approx(total)
+            for a, b in ((whole.first, part.first), (whole.move, part.move), (whole.emit, part.emit)):
+                assert np.allclose(a, b)
+
+
+def test_scores_against_a_plain_recursion(spark, monkeypatch):
+    """score of every row of a table by a model held fixed, against a loop over tokens with plain counts."""
+    from collections import Counter
+    from zlib import crc32
+
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randrange(0, 25))) + (f" only{i}" if i % 3 == 0 else "")) for i in range(60)] + [(60, None), (61, ""), (61, "")]
+    fixed = []
+    plain = op10.Hmm.start
+
+    def start(share, states):
+        fixed.append((plain(share, states), share))
+        return fixed[-1][0]
+
+    monkeypatch.setattr(op10.Hmm, "start", start)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = op10.score_documents(df, states=3, vocabulary=8, head=15, rounds=0, warm_docs=0).collect()
+    (m, share), counts = fixed[0], Counter()
+    for d, t in rows:
+        if crc32(str(d).encode()) % 5 != 1:
+            counts.update(op10.tokens_of(t))
+    n, v = sum(counts.values()), len(counts)
+    uni = lambda w: (counts[w] + 0.5) / (n + 0.5 * (v + 1))
+    least = sorted(counts.values(), reverse=True)[14]
+    top = [w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if c > least or c == least and sum(x >= least for x in counts.values()) <= 15][:8]
+    want = {}
+    for d, t in rows:
+        a, s = None, 0.0
+        for w in op10.tokens_of(t):
+            k = top.index(w) if w in top else len(top)
+            a = (m.first if a is None else a @ m.move) * m.emit[k]
+            s += np.log10(a.sum()) + (0.0 if w in top else np.log10(uni(w)) - np.log10(share[len(top)]))
+            a = a / a.sum()
+        want[d] = s
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
 def test_model_beats_unigrams_on_held_out_text(spark, data):
     r = op10.op10_hidden_markov(spark, data).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
