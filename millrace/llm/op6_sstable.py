@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import settle, shared_path
 from .encoders import library_encoder, slices, worker_encoder
 
+#: Bytes of text that a shard is made of, about.
+SHARD_TEXT = 256_000_000
 MAGIC, BLOCK, BITS_A_KEY, HASHES = b"MRTOKSS1", 1 << 16, 10, 7
 FOOTER = struct.Struct("<5Q3I8s")
 LINE = "shard string, part int, first_key binary, last_key binary, entries long, ids long, bytes long"
@@ -191,6 +193,8 @@ class Reader:
 def _fs(path: str):
     from pyarrow import fs
 
+    if path.startswith(("s3a://", "s3n://")):  # Spark's names for what pyarrow knows as s3
+        path = "s3" + path[3:]
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -226,10 +230,14 @@ def write_table(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | N
     docs needs doc_id and text; other columns are not looked at. A null or empty text is the end id alone; a null doc_id
     comes before all others; rows of one doc_id stand side by side, in the order of a hash of their texts. No rows: no
     shards. width: bytes of an id, 2 if the vocabulary allows. The manifest is a table in the folder, committed last.
+    As many shards as SHARD_TEXT asks for, or as there are shuffle partitions, whichever is more.
     """
     spark = docs.sparkSession
     root = root or shared_path(spark, "sstable")
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT))
+    rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return root, settle(rows.mapInArrow(_write_shards(f"{root}/data", tokenizer_path, end_id, width), LINE), "", f"{root}/manifest")
 
 
