@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, hashing, records, utils
 from ..operators import asynchronous, commitlog, partitioning, routing, store, timers
 from ..sources import envelope
-from . import streams
+from . import hash_sql, streams
 
 PARTITIONS = 10
 QUERIES: dict = {}
@@ -231,7 +231,7 @@ def topic_partitioner(spark, d):
     return _events(spark, d).select("event_id", partitioning.target(F.lit(None).cast("int"), PARTITIONS, hashed=F.lit(10), topic=F.col("event_type"), by_topic=rules).alias("target"))
 
 
-@_query()
+@_query(hash_sql.partitions_and_shards(PARTITIONS, 32))
 def murmur2_partitions(spark, d):
     """The partition that producers give to each user's key, and the shard that holds it."""
     key = F.encode(F.col("user_id").cast("string"), "UTF-8")

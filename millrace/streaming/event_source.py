@@ -37,7 +37,7 @@ class EventSource:
         if by not in ("partition", "key"):
             raise ValueError("by is partition or key")
         self.spark, self.config, self.rows, self.root, self.by = spark, config, rows, root, by
-        self.table, self.timers, self.query, self.error = HandlerTable(), [], None, None
+        self.table, self.timers, self.query, self.error, self.initial, self._how = HandlerTable(), [], None, None, None, (False, None)
         self.table.fail_on_decode = config.on_decode_error(ValueError("a record did not decode")) is not ErrorResponse.CONTINUE
         self.metrics = Metrics(config.topic, config.group_id)
 
@@ -55,6 +55,14 @@ class EventSource:
         self.timers.append((every_ms, jitter_ms, run))
         return self
 
+    def bootstrap(self, log: DataFrame, marks: DataFrame | None = None) -> EventSource:
+        """Start a new group from the store that a change log restores, and at the offsets of marks (sinks.bootstrap). It
+        counts in the first run of a checkpoint; later ones have state of their own."""
+        if self.by != "partition":
+            raise ValueError("stores are by key")
+        self.initial = sinks.bootstrap(log, marks)
+        return self
+
     @property
     def checkpoint(self) -> str:
         return self.config.checkpoint(f"{self.root}/checkpoints")
@@ -65,16 +73,31 @@ class EventSource:
 
     def start(self, available_now: bool = False, then: Callable[[DataFrame, int], None] | None = None) -> EventSource:
         """Start without waiting. available_now: do what is there, then end."""
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         self.spark.streams.addListener(self.metrics)
         self._hook("on_assigned")
+        self._run(available_now, then)
+        self._hook("on_activated")
+        return self
+
+    def _run(self, available_now: bool, then: Callable[[DataFrame, int], None] | None) -> None:
+        self._how = available_now, then
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         group = F.col("partition") if self.by == "partition" else F.col("key")
         mode = "ProcessingTime" if self.timers else "None"
-        done = self.rows.groupBy(group).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers), OUTPUT, "Append", mode)
+        done = self.rows.groupBy(group).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers), OUTPUT, "Append", mode, initialState=None if self.initial is None else self.initial.groupBy("partition"))
         writer = done.writeStream.foreachBatch(sinks.once(self.root, then)).option("checkpointLocation", self.checkpoint).outputMode("append").queryName(f"{self.config.group_id}_{self.config.topic}")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(self.config.eos.batch_delay_ms, 1)} milliseconds")
         self.query = writer.start()
-        self._hook("on_activated")
+
+    def pause(self) -> EventSource:
+        """Take no more input until resume. The batch under way is dropped and done again then; no hook runs."""
+        self._query().stop()
+        return self
+
+    def resume(self) -> EventSource:
+        """Go on after pause, from the checkpoint."""
+        if not self._query().isActive:
+            self._run(*self._how)
         return self
 
     @property

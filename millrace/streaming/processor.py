@@ -123,6 +123,14 @@ class PartitionProcessor(StatefulProcessor):
         self.due = handle.getMapState("due", "timer int", "at bigint")
         self.count = handle.getValueState("count", "seq bigint")
 
+    def handleInitialState(self, key, initialState, timerValues):
+        """One entry of a bootstrap (sinks.bootstrap): an item of the store, or, without a key, where the group goes on."""
+        if initialState.item_key is None:
+            self.next.update((initialState.next_offset,))
+            self.count.update((initialState.seq,))
+        else:
+            self.items.updateValue((bytes(initialState.item_key),), (bytes(initialState.value), initialState.record_type))
+
     def _seq(self) -> int:
         return self.count.get()[0] if self.count.exists() else 0
 

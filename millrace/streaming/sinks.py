@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import latest, replay
+
 
 def batch_folder(path: str, batch: int) -> str:
     return f"{path.rstrip('/')}/batch={batch}"
@@ -29,13 +32,31 @@ def outputs(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/outputs").parquet(f"{root}/outputs").where(F.col("out") == kind).drop("out")
 
 
-def replayed(spark: SparkSession, root: str) -> DataFrame:
-    """(partition, key, value): the store that the change log under root restores. An entry's place is its number among its
+def replayed(spark: SparkSession, root: str, *earlier: str) -> DataFrame:
+    """(partition, key, value): the store that the change log under root restores; with `earlier`, the roots whose logs the
+    source under root was bootstrapped from, the store of all of them. An entry's place is its number among its
     group's outputs, which goes on from batch to batch: several changes of a key by one record, and changes by timers, which
     have no offset, apply in the order in which they were made."""
-    from ..operators.store import replay
+    log = reduce(DataFrame.unionByName, [outputs(spark, r, "changelog") for r in (root, *earlier)])
+    return replay(log, ["partition", "key"], "seq", "value").select("partition", "key", "value")
+
 
-    return replay(outputs(spark, root, "changelog"), ["partition", "key"], "seq", "value").select("partition", "key", "value")
+def bootstrap(log: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """The initial state of a new source by partition, from a change log: a row for each item of the store that the log
+    restores, and one without item_key for each partition, with the number that its outputs go on from and its next offset.
+
+    marks has (partition, next_offset), as a commit log has it; without it the new source takes its input from the start.
+    """
+    items = latest(log, ["partition", "key"], "seq", ["value", "record_type"]).where("value is not null")
+    ends = log.groupBy("partition").agg((F.max("seq") + 1).alias("seq"))
+    if marks is not None:
+        ends = ends.join(marks.select(F.col("partition").cast("int").alias("partition"), F.col("next_offset").cast("long").alias("next_offset")), "partition", "full")
+    else:
+        ends = ends.withColumn("next_offset", F.lit(0).cast("long"))
+    none = F.lit(None)
+    return items.select("partition", F.col("key").alias("item_key"), "value", "record_type", none.cast("long").alias("seq"), none.cast("long").alias("next_offset")).union(
+        ends.select("partition", none.cast("binary"), none.cast("binary"), none.cast("string"), F.coalesce("seq", F.lit(0)).cast("long"), F.coalesce("next_offset", F.lit(0)))
+    )
 
 
 def produce(df: DataFrame, destination: dict[str, str]) -> None:

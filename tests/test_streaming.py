@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans import catalog
 from millrace.sources import envelope
 from millrace.sources.config import ErrorResponse, ExecutionState, SourceConfig
-from millrace.streaming import sinks
+from millrace.streaming import mocks, sinks
 from millrace.streaming.event_source import EventSource, PartitionNotAssigned
 from millrace.streaming.runtime import RunStatus
 
@@ -168,6 +168,61 @@ def test_files_in_the_order_of_offsets(spark, data, tmp_path):
     assert es.error is None and sinks.outputs(spark, f"{tmp_path}/out", "forward").count() == rows.count()
 
 
+def test_new_group_from_a_change_log(spark, tmp_path):
+    """A second group takes over the store of the first: items, deletions, offsets; both logs together restore its store."""
+    path, first, second = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/second"
+    write(spark, [(0, 0, "a", '{"n":1}', "create"), (0, 1, "b", '{"n":2}', "create"), (0, 2, "a", None, "delete"), (1, 0, "c", '{"n":3}', "create")], path, 1)
+    es = source(spark, tmp_path).start(available_now=True)
+    assert es.wait() and es.error is None
+    marks = spark.createDataFrame([(0, 3), (1, 1)], "partition int, next_offset long")
+    write(spark, [(0, 3, "b", None, "notify"), (0, 4, "a", None, "notify"), (0, 5, "b", None, "delete"), (1, 1, "c", '{"n":4}', "create"), (1, 2, "d", '{"n":5}', "create")], path, 2)
+
+    def taken_over():
+        new = EventSource(spark, SourceConfig("g2", "t", num_partitions=2), envelope.from_files(spark, path, 1), second)
+        new.register("create", json.loads, create).register("notify", lambda b: b, notify)
+        new.register("delete", lambda b: b, lambda ctx, _: ctx.delete(bytes(ctx.input.key)) and None)
+        return new.bootstrap(sinks.outputs(spark, first, "changelog"), marks)
+
+    new = taken_over().start(available_now=True)
+    assert new.wait() and new.error is None
+    mail = [(bytes(r.key), bytes(r.value)) for r in sinks.outputs(spark, second, "forward").orderBy("seq").collect()]
+    assert mail == [(b"b", b"sent"), (b"a", b"unknown")]  # rows before the marks are not handled again
+    want = {(1, b"c", b'{"n": 4}'), (1, b"d", b'{"n": 5}')}
+    assert {(r.partition, bytes(r.item_key), bytes(r.value)) for r in new.store().collect()} == want
+    assert {(r.partition, bytes(r.key), bytes(r.value)) for r in sinks.replayed(spark, second, first).collect()} == want
+    write(spark, [(1, 3, "c", None, "delete")], path, 3)
+    again = taken_over().start(available_now=True)  # the second run has state of its own
+    assert again.wait() and again.error is None
+    assert [bytes(r.item_key) for r in again.store().collect()] == [b"d"]
+    with pytest.raises(ValueError):
+        EventSource(spark, SourceConfig("k", "t", num_partitions=2), envelope.from_files(spark, path), second, by="key").bootstrap(marks)
+
+
+def test_pause_and_resume(spark, tmp_path):
+    seen = []
+    write(spark, [(0, 0, "a", '{"n":1}', "create")], f"{tmp_path}/in", 1)
+    es = source(spark, tmp_path, "paused", on_assigned=lambda s: seen.append("assigned")).start()
+    es.query.processAllAvailable()
+    assert es.pause().state == "unhealthy"
+    write(spark, [(0, 1, "a", None, "notify")], f"{tmp_path}/in", 2)
+    es.resume().query.processAllAvailable()
+    assert es.state == "healthy" and seen == ["assigned"]
+    es.stop()
+    assert [bytes(r.value) for r in sinks.outputs(spark, f"{tmp_path}/out", "forward").collect()] == [b"sent"]
+
+
+def test_handlers_over_mocks():
+    ctx = mocks.context(b"a", kind="create")
+    create(ctx, {"n": 1})
+    assert mocks.changes(ctx) == [(b"a", b'{"n": 1}')] and ctx.get(b"a") == b'{"n": 1}'
+    later = mocks.context(b"a", offset=1, state=ctx._state)
+    notify(later, None)
+    assert later.delete(b"a") and not later.delete(b"a")
+    assert mocks.forwarded(later) == [("mail", b"a", b"sent")] and mocks.changes(later) == [(b"a", None)]
+    timer = mocks.interjection({b"z": b"1", b"b": b"2"})
+    assert timer.is_interjection and timer.offset == -1 and list(timer.keys()) == [b"b", b"z"]
+
+
 def test_run_status():
     top = RunStatus()
     a, b = top.fork(), top.fork().with_value("k", 1)
