@@ -32,7 +32,7 @@ EMAIL, IP, CARD, PHONE = range(4)
 Span = tuple[int, int, int]  # start, kind, end
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
