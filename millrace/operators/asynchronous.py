@@ -47,18 +47,21 @@ def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def keyed(rows: DataFrame, key: str, order: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
+def keyed(rows: DataFrame, key: str, order: str | list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, config: SchedulerConfig = SchedulerConfig()) -> DataFrame:
     """work on each key's rows in order: one exchange by key, a sort within tasks, then a stream of keys in which
     up to `concurrency` keys run at a time (threads, for work that waits). work gets some of a key's rows at a time, so a
-    hot key needs no more memory than another; the parts of one key come one after the other."""
+    hot key needs no more memory than another; the parts of one key come one after the other. At most max_concurrent_keys keys, and
+    queue_depth beyond those that run, are open at a time."""
+    most = min(config.max_concurrent_keys, config.concurrency + config.queue_depth)
+    orders = [order] if isinstance(order, str) else order
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(config.concurrency) as pool:
             for b in batches:
                 parts = [g for _, g in b.groupby(key, sort=False, dropna=False)]
-                yield from _gathered(pool.map(work, parts))
+                yield from _gathered(done for k in range(0, len(parts), most) for done in pool.map(work, parts[k : k + most]))
 
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *orders).mapInPandas(run, schema)
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "seq") -> DataFrame:

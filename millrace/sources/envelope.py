@@ -11,6 +11,7 @@ from ..functions import records
 
 HEADERS = "array<struct<key:string,value:binary>>"
 SCHEMA = f"topic string, partition int, offset bigint, leader_epoch int, timestamp timestamp, key binary, value binary, headers {HEADERS}, record_type string"
+COLUMNS = [c.split()[0] for c in SCHEMA.replace(HEADERS, "x").split(", ")]
 #: Identifiers to a block of offsets (dense_offsets); a bound on what one task sorts.
 BLOCK = 1_000_000
 

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import commitlog
+from ..operators.asynchronous import SchedulerConfig
+from ..sources import envelope
 from ..sources.config import ErrorResponse, SourceConfig
-from . import sinks
+from . import jobs, sinks
 from .metrics import Metrics
-from .processor import OUTPUT, Handler, HandlerTable, Interjection, PartitionProcessor
+from .processor import OUTPUT, Finalizer, Handler, HandlerTable, Interjection, PartitionProcessor
 
 log = logging.getLogger(__name__)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -38,6 +41,8 @@ class EventSource:
             raise ValueError("by is partition or key")
         self.spark, self.config, self.rows, self.root, self.by = spark, config, rows, root, by
         self.table, self.timers, self.query, self.error, self.initial, self._how = HandlerTable(), [], None, None, None, (False, None)
+        self.stages: dict[str, jobs.Stage] = {}
+        self._jobs = False
         self.table.fail_on_decode = config.on_decode_error(ValueError("a record did not decode")) is not ErrorResponse.CONTINUE
         self.metrics = Metrics(config.topic, config.group_id)
 
@@ -55,14 +60,30 @@ class EventSource:
         self.timers.append((every_ms, jitter_ms, run))
         return self
 
+    def register_async(self, stage: str, work: jobs.Work, finalizer: Finalizer | None = None, config: SchedulerConfig = SchedulerConfig()) -> EventSource:
+        """Work outside the store, in order for each key and parallel across keys, for records that a handler leaves with
+        `return ctx.schedule(stage, key, value)`. Its result, or the error that it raised, goes to the finalizer, which has the store
+        again and may schedule a further stage; without one the record is done. Until then the record is held, and the commit log does not pass it. What
+        is scheduled in one batch comes back in the next. Work may run again after a failure; its result counts once."""
+        self.stages[stage] = jobs.Stage(work, config)
+        self.table.finalizers[stage] = finalizer
+        return self
+
     def bootstrap(self, log: DataFrame, marks: DataFrame | None = None) -> EventSource:
-        """Start a new group from the store that a change log restores, and at the offsets of marks (sinks.bootstrap). It
-        counts in the first run of a checkpoint; later ones have state of their own."""
-        if self.by != "partition":
-            raise ValueError("stores are by key")
-        self.initial = sinks.bootstrap(log, marks)
+        """Start a new group from the store that a change log restores, and go on at marks (topic, partition, next_offset; without topic
+        those of the source's own). It counts in the first run of a checkpoint; later ones have state of their own. The log is of a
+        source whose groups are of the same kind. Where they are keys, rows below their partition's mark are filtered before they are grouped."""
+        if self.by == "key" and marks is not None:
+            own = marks if "topic" in marks.columns else marks.withColumn("topic", F.lit(self.config.topic))
+            self.rows = commitlog.fresh(self.rows, own.select("topic", F.col("partition").cast("int").alias("partition"), "next_offset"), ["topic", "partition"], "offset")
+            marks = None
+        self.initial = sinks.bootstrap(log, marks, self.config.topic)
         return self
 
+    def bootstrap_from(self, root: str) -> EventSource:
+        """bootstrap() from the change log and the commit log that another source left under root."""
+        return self.bootstrap(sinks.outputs(self.spark, root, "changelog"), sinks.commits(self.spark, root))
+
     @property
     def checkpoint(self) -> str:
         return self.config.checkpoint(f"{self.root}/checkpoints")
@@ -82,13 +103,29 @@ class EventSource:
     def _run(self, available_now: bool, then: Callable[[DataFrame, int], None] | None) -> None:
         self._how = available_now, then
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        group = F.col("partition") if self.by == "partition" else F.col("key")
+        rows, initial = self.rows, None
+        if self.stages:
+            rows = rows.select(*envelope.COLUMNS).unionByName(jobs.returned(self.spark, self.root))
+        if self.initial is not None:
+            initial = (self.initial if self.by == "partition" else self.initial.withColumnRenamed("home", "key")).groupBy(self.by)
         mode = "ProcessingTime" if self.timers else "None"
-        done = self.rows.groupBy(group).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers), OUTPUT, "Append", mode, initialState=None if self.initial is None else self.initial.groupBy("partition"))
-        writer = done.writeStream.foreachBatch(sinks.once(self.root, then)).option("checkpointLocation", self.checkpoint).outputMode("append").queryName(f"{self.config.group_id}_{self.config.topic}")
+        done = rows.groupBy(self.by).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers, self.by), OUTPUT, "Append", mode, initialState=initial)
+        writer = done.writeStream.foreachBatch(sinks.once(self.root, self._after(then))).option("checkpointLocation", self.checkpoint).outputMode("append").queryName(f"{self.config.group_id}_{self.config.topic}")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(self.config.eos.batch_delay_ms, 1)} milliseconds")
         self.query = writer.start()
 
+    def _after(self, then: Callable[[DataFrame, int], None] | None) -> Callable[[DataFrame, int], None] | None:
+        """What follows the writing of a batch: the work of its jobs."""
+        if not self.stages:
+            return then
+
+        def run(written: DataFrame, batch: int) -> None:
+            self._jobs |= jobs.run(written, self.stages, self.root, batch, self.by)
+            if then:
+                then(written, batch)
+
+        return run
+
     def pause(self) -> EventSource:
         """Take no more input until resume. The batch under way is dropped and done again then; no hook runs."""
         self._query().stop()
@@ -107,7 +144,12 @@ class EventSource:
     def wait(self, seconds: float | None = None) -> bool:
         """Until the query ends; its error, if any, goes through the policy for transactions."""
         try:
-            return self._query().awaitTermination(seconds) if seconds else (self._query().awaitTermination() or True)
+            ended = self._query().awaitTermination(seconds) if seconds else (self._query().awaitTermination() or True)
+            while ended and self._how[0] and self._jobs:  # what came back from jobs is new input
+                self._jobs = False
+                self._run(*self._how)
+                ended = self._query().awaitTermination(seconds) if seconds else (self._query().awaitTermination() or True)
+            return ended
         except Exception as e:
             self.error = e
             answer = self.config.on_txn_error(e)
@@ -123,8 +165,11 @@ class EventSource:
 
     def stop(self) -> None:
         """Finish what is there, then stop."""
-        if self.query is not None and self.query.isActive:
+        while self.query is not None and self.query.isActive:
+            self._jobs = False
             self.query.processAllAvailable()
+            if not self._jobs:
+                break
         self.stop_now()
 
     def stop_now(self) -> None:
@@ -155,9 +200,8 @@ class EventSource:
         """Delete checkpoint and outputs; for tests."""
         if self.query is not None and self.query.isActive:
             raise RuntimeError("the query is running")
-        for path in (self.checkpoint, f"{self.root}/outputs"):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        for path in (self.checkpoint, f"{self.root}/outputs", jobs.folder(self.root)):
+            sinks.Folder(self.spark, path).delete()
 
     def store(self) -> DataFrame:
         """(group, key, value, record_type): every store as of the last committed batch, read beside the running query."""

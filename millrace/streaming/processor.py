@@ -12,8 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.timers import NO_OFFSET, next_due
 from ..sources.config import ExecutionState
 
-#: Every output row: out tells forwarded records from change-log entries; a null value deletes; seq counts a group's rows for good.
-OUTPUT = "out string, topic string, partition int, offset bigint, key binary, value binary, record_type string, seq bigint"
+#: Every output row: out tells forwarded records, change-log entries, dead letters, jobs and commits apart; a null value deletes; seq
+#: counts a group's rows for good; home is the key of a group that is a key, and null where groups are partitions.
+OUTPUT = "out string, topic string, partition int, offset bigint, key binary, value binary, record_type string, seq bigint, home binary, source string"
+#: The topic of what comes back from jobs, and the headers that say which record they were of and what went wrong.
+DONE, OF_TOPIC, OF_KEY, ERROR = "millrace.done", "millrace.topic", "millrace.key", "millrace.error"
+#: Types of commit rows: a mark before which all is done, and one that a held record stops.
+REACHED, HELD = "reached", "held"
 STATE_KEY, STATE_VALUE = "key binary", "value binary, record_type string"
 
 
@@ -30,19 +35,37 @@ class Context:
     topic: str = ""
     seq: int = 0
     rows: list[Row] = field(default_factory=list)
+    home: bytes | None = None
+    #: Of a record that a job came back for: its own topic and offset.
+    of: tuple[str, int] | None = None
+    scheduled: str | None = None
 
     @property
     def offset(self) -> int:
         return NO_OFFSET if self.input is None else self.input.offset
 
+    @property
+    def source(self) -> str:
+        """The topic of the record; empty in an interjection."""
+        return self.of[0] if self.of else "" if self.input is None else self.input.topic
+
     @property
     def is_interjection(self) -> bool:
         return self.input is None
 
     def _out(self, out: str, topic: str, key: bytes, value: bytes | None, kind: str) -> None:
-        self.rows.append(Row(out=out, topic=topic, partition=self.partition, offset=self.offset, key=key, value=value or None, record_type=kind, seq=self.seq))
+        self.rows.append(Row(out=out, topic=topic, partition=self.partition, offset=self.offset, key=key, value=value or None, record_type=kind, seq=self.seq, home=self.home, source=self.source))
         self.seq += 1
 
+    def schedule(self, stage: str, key: bytes, value: bytes) -> ExecutionState:
+        """Leave the record to a stage of work outside the store (EventSource.register_async): `return ctx.schedule(...)`. It is
+        held until the stage's finalizer, or that of a later stage, is done with it. A record is in one stage at a time."""
+        if self.input is None or self.scheduled is not None:
+            raise RuntimeError("one stage for each record, and none for an interjection")
+        self.scheduled = stage
+        self._out("job", stage, key, value, "")
+        return ExecutionState.INCOMPLETE
+
     def forward(self, topic: str, key: bytes, value: bytes, kind: str = "") -> None:
         self._out("forward", topic, key, value, kind)
 
@@ -74,6 +97,8 @@ class Context:
 
 Handler = Callable[[Context, Any], ExecutionState | None]
 Interjection = Callable[[Context], None]
+#: Gets the context, with the store, the job's key, its result and its error.
+Finalizer = Callable[[Context, bytes, bytes | None, str | None], ExecutionState | None]
 
 
 @dataclass
@@ -83,8 +108,22 @@ class HandlerTable:
     chain: list[tuple[str, Callable[[bytes | None], Any], Handler]] = field(default_factory=list)
     default: Handler | None = None
     fail_on_decode: bool = False
-
-    def handle(self, ctx: Context) -> None:
+    finalizers: dict[str, Finalizer] = field(default_factory=dict)
+
+    def finalize(self, ctx: Context, stage: str, key: bytes, error: str | None) -> ExecutionState | None:
+        """What a job that came back leads to. A stage without finalizer is done, whatever came of its work."""
+        r, run = ctx.input, self.finalizers.get(stage)
+        state = None if run is None else run(ctx, key, None if r.value is None else bytes(r.value), error)
+        return self._checked(state, ctx)
+
+    def _checked(self, state: ExecutionState | None, ctx: Context) -> ExecutionState | None:
+        if state is ExecutionState.FATAL:
+            raise RuntimeError(f"a handler of {ctx.input.record_type} failed at partition {ctx.partition}, offset {ctx.offset}")
+        if (state is ExecutionState.INCOMPLETE) != (ctx.scheduled is not None):
+            raise RuntimeError(f"{ctx.input.record_type}: a record is incomplete if, and only if, a stage has it")
+        return state
+
+    def handle(self, ctx: Context) -> ExecutionState | None:
         r = ctx.input
         raw = None if r.value is None else bytes(r.value)
         for kind, decode, handler in self.chain:
@@ -95,62 +134,98 @@ class HandlerTable:
                     if self.fail_on_decode:
                         raise
                     ctx._out("dead_letter", ctx.topic, bytes(r.key or b""), str(e).encode(), r.record_type)
-                    return
+                    return None
                 break
         else:
             handler, event = self.default, raw
             if handler is None:
                 ctx._out("dead_letter", ctx.topic, bytes(r.key or b""), b"no handler", r.record_type)
-                return
-        if handler(ctx, event) is ExecutionState.FATAL:
-            raise RuntimeError(f"a handler of {r.record_type} failed at partition {ctx.partition}, offset {r.offset}")
+                return None
+        return self._checked(handler(ctx, event), ctx)
 
 
 class PartitionProcessor(StatefulProcessor):
     """One instance of state for each group (a partition, or a key), a map from record key to value.
 
-    Rows of a batch come in no order: they are handled by offset, and those below the next offset are stale and dropped.
-    Timers are of processing time and set again when their interjection has run.
+    Rows of a batch come in no order: jobs that came back are first, then records by offset; those below the next offset of their
+    topic and partition are stale and dropped. Records that a stage has are pending; the commit rows of a batch say, for each topic
+    and partition of the group, how far all is done: a pending record stops the mark. Timers are of processing time and set again when their interjection has
+    run. Outputs leave as they are made.
     """
 
-    def __init__(self, table: HandlerTable, topic: str, timers: list[tuple[int, int, Interjection]] | None = None):
-        self.table, self.topic, self.timers = table, topic, timers or []
+    def __init__(self, table: HandlerTable, topic: str, timers: list[tuple[int, int, Interjection]] | None = None, by: str = "partition"):
+        self.table, self.topic, self.timers, self.by = table, topic, timers or [], by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.items = handle.getMapState("items", STATE_KEY, STATE_VALUE)
-        self.next = handle.getValueState("next", "offset bigint")
+        #: Offsets belong to partitions of topics, of which the records of a key may come from several.
+        self.next = handle.getMapState("next", "topic string, partition int", "offset bigint")
+        self.pending = handle.getMapState("pending", "topic string, partition int, offset bigint", "stage string")
         self.due = handle.getMapState("due", "timer int", "at bigint")
         self.count = handle.getValueState("count", "seq bigint")
+        #: The partition of the group's last record, to which a timer's outputs go.
+        self.last = handle.getValueState("last", "partition int")
 
     def handleInitialState(self, key, initialState, timerValues):
         """One entry of a bootstrap (sinks.bootstrap): an item of the store, or, without a key, where the group goes on."""
-        if initialState.item_key is None:
-            self.next.update((initialState.next_offset,))
-            self.count.update((initialState.seq,))
-        else:
-            self.items.updateValue((bytes(initialState.item_key),), (bytes(initialState.value), initialState.record_type))
+        r = initialState
+        if r.item_key is not None:
+            self.items.updateValue((bytes(r.item_key),), (bytes(r.value), r.record_type))
+        elif r.seq is not None:
+            self.count.update((r.seq,))
+            self.last.update((r.partition,))
+        if r.item_key is None and r.next_offset is not None:
+            self.next.updateValue((r.topic, r.partition), (r.next_offset,))
 
     def _seq(self) -> int:
         return self.count.get()[0] if self.count.exists() else 0
 
+    def _home(self, key) -> bytes | None:
+        return bytes(key[0]) if self.by == "key" and key[0] is not None else None
+
     def handleInputRows(self, key, rows, timerValues):
-        mark, seq, out = (self.next.get()[0] if self.next.exists() else 0), self._seq(), []
-        for r in sorted(rows, key=lambda r: r.offset):
-            if r.offset < mark:
+        seq, home, marks, held = self._seq(), self._home(key), {}, False
+        for r in sorted(rows, key=lambda r: (r.topic != DONE, r.offset, r.topic, r.partition)):
+            heads = {h["key"]: h["value"] for h in r.headers or []} if r.topic == DONE else {}
+            at = (bytes(heads[OF_TOPIC]).decode() if heads else r.topic, r.partition)
+            if at not in marks:
+                marks[at] = self.next.getValue(at)[0] if self.next.containsKey(at) else 0
+            ctx = Context(r.partition, r, self.items, self.topic, seq, home=home, of=(at[0], r.offset) if heads else None)
+            if heads:
+                # Once for each stage: what came back before, or is of another run of a batch, finds nothing pending.
+                if not self.pending.containsKey((*at, r.offset)) or self.pending.getValue((*at, r.offset))[0] != r.record_type:
+                    continue
+                self.pending.removeKey((*at, r.offset))
+                error = heads.get(ERROR)
+                self.table.finalize(ctx, r.record_type, bytes(heads[OF_KEY]), None if error is None else bytes(error).decode())
+            elif r.offset < marks[at]:
                 continue
-            ctx = Context(r.partition, r, self.items, self.topic, seq)
-            self.table.handle(ctx)
-            out += ctx.rows
-            mark, seq = r.offset + 1, ctx.seq
-        self.next.update((mark,))
+            else:
+                self.table.handle(ctx)
+                marks[at] = r.offset + 1
+            if ctx.scheduled is not None:
+                self.pending.updateValue((*at, r.offset), (ctx.scheduled,))
+                held = True
+            yield from ctx.rows
+            seq = ctx.seq
+            self.last.update((r.partition,))
+        for at, mark in marks.items():
+            self.next.updateValue(at, (mark,))
+        low: dict[tuple[str, int], int] = {}
+        if self.table.finalizers or held:
+            for topic, part, offset in self.pending.keys():
+                low[topic, part] = min(offset, low.get((topic, part), offset))
+        for (topic, part), mark in sorted(marks.items()):
+            stop = low.get((topic, part))
+            yield Row(out="commit", topic=topic, partition=part, offset=mark if stop is None else stop, key=None, value=None, record_type=REACHED if stop is None else HELD, seq=seq, home=home, source=topic)
+            seq += 1
         self.count.update((seq,))
         if self.timers:
             now = timerValues.getCurrentProcessingTimeInMs()
-            for i, (every, jitter, _) in enumerate(self.timers):
+            for i in range(len(self.timers)):
                 if not self.due.containsKey((i,)):
                     self._arm(i, now)
-        return iter(out)
 
     def _arm(self, i: int, now: int) -> None:
         at = next_due(now, *self.timers[i][:2])
@@ -158,17 +233,16 @@ class PartitionProcessor(StatefulProcessor):
         self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        fired, seq, out = expiredTimerInfo.getExpiryTimeInMs(), self._seq(), []
-        part = key[0] if isinstance(key[0], int) else -1
+        fired, seq = expiredTimerInfo.getExpiryTimeInMs(), self._seq()
+        part = self.last.get()[0] if self.last.exists() else key[0]
         for i, (_, _, run) in enumerate(self.timers):
             if self.due.containsKey((i,)) and self.due.getValue((i,))[0] == fired:
-                ctx = Context(part, None, self.items, self.topic, seq)
+                ctx = Context(part, None, self.items, self.topic, seq, home=self._home(key))
                 run(ctx)
-                out += ctx.rows
+                yield from ctx.rows
                 seq = ctx.seq
                 self._arm(i, timerValues.getCurrentProcessingTimeInMs())
         self.count.update((seq,))
-        return iter(out)
 
     def close(self) -> None:
         pass

@@ -84,11 +84,8 @@ def test_timer_repeats(spark, tmp_path):
     deadline = time.time() + 60
     while time.time() < deadline:
         time.sleep(1)
-        try:
-            if sinks.outputs(spark, f"{tmp_path}/out", "forward").count() >= 2:
-                break
-        except Exception:  # nothing is written yet
-            continue
+        if sinks.outputs(spark, f"{tmp_path}/out", "forward").count() >= 2:
+            break
     assert es.state == "healthy"
     es.stop_now()
     ticks = [bytes(r.value) for r in sinks.outputs(spark, f"{tmp_path}/out", "forward").collect()]
@@ -96,7 +93,7 @@ def test_timer_repeats(spark, tmp_path):
 
 
 def test_batch_that_runs_again_counts_once(spark, tmp_path):
-    df = spark.sql("SELECT 'forward' out, 't' topic, 0 partition, 1L offset, CAST('k' AS BINARY) key, CAST('v' AS BINARY) value, '' record_type, 0L seq")
+    df = spark.sql("SELECT 'forward' out, 't' topic, 0 partition, 1L offset, CAST('k' AS BINARY) key, CAST('v' AS BINARY) value, '' record_type, 0L seq, CAST(NULL AS BINARY) home, 't' source")
     sink = sinks.once(str(tmp_path))
     for _ in range(2):
         sink(df, 0)
@@ -145,11 +142,8 @@ def test_change_log_keeps_the_order_of_changes(spark, tmp_path):
     deadline = time.time() + 60
     while time.time() < deadline:
         time.sleep(1)
-        try:
-            if sinks.outputs(spark, root, "changelog").where("offset = -1").count() >= 2:
-                break
-        except Exception:  # nothing is written yet
-            continue
+        if sinks.outputs(spark, root, "changelog").where("offset = -1").count() >= 2:
+            break
     es.stop_now()
     live = {bytes(r.item_key): bytes(r.value) for r in es.store().collect()}
     got = {bytes(r.key): bytes(r.value) for r in sinks.replayed(spark, root).collect()}
@@ -194,8 +188,139 @@ def test_new_group_from_a_change_log(spark, tmp_path):
     again = taken_over().start(available_now=True)  # the second run has state of its own
     assert again.wait() and again.error is None
     assert [bytes(r.item_key) for r in again.store().collect()] == [b"d"]
-    with pytest.raises(ValueError):
-        EventSource(spark, SourceConfig("k", "t", num_partitions=2), envelope.from_files(spark, path), second, by="key").bootstrap(marks)
+
+
+def put(ctx, raw):
+    ctx.put(bytes(ctx.input.key), raw)
+
+
+def by_key(spark, path, root, name="k", kinds=("put",)):
+    es = EventSource(spark, SourceConfig(name, "t", num_partitions=2), envelope.from_files(spark, path, 1), root, by="key")
+    for kind in kinds:
+        es.register(kind, bytes, put)
+    return es.register("delete", lambda b: b, lambda ctx, _: ctx.delete(bytes(ctx.input.key)) and None)
+
+
+def test_a_key_in_two_partitions_loses_nothing(spark, tmp_path):
+    """Offsets belong to partitions: offset 0 of one is not stale for what a key has seen of another."""
+    path, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(spark, [(0, 5, "a", "first", "put"), (0, 6, "b", "x", "put")], path, 1)
+    write(spark, [(1, 0, "a", "second", "put"), (0, 5, "a", "stale", "put")], path, 2)
+    es = by_key(spark, path, root).start(available_now=True)
+    assert es.wait() and es.error is None
+    log = sinks.outputs(spark, root, "changelog").orderBy("seq")
+    assert [bytes(r.value) for r in log.collect() if bytes(r.key) == b"a"] == [b"first", b"second"]
+    assert {(r.partition, bytes(r.key), bytes(r.value)) for r in sinks.replayed(spark, root).collect()} == {(1, b"a", b"second"), (0, b"b", b"x")}
+    assert {(r.topic, r.partition, r.next_offset) for r in sinks.commits(spark, root).collect()} == {("t", 0, 7), ("t", 1, 1)}
+
+
+def test_new_group_by_key_from_both_logs(spark, tmp_path):
+    """A new group of keys takes over items and marks from what the first left; no marks by hand."""
+    path, first, second = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/second"
+    write(spark, [(0, 0, "a", "1", "put"), (0, 1, "b", "2", "put"), (1, 0, "a", "3", "put"), (1, 1, "c", "4", "put"), (1, 2, "c", None, "delete")], path, 1)
+    es = by_key(spark, path, first).start(available_now=True)
+    assert es.wait() and es.error is None
+    write(spark, [(0, 2, "b", None, "delete"), (1, 3, "d", "5", "put"), (0, 3, "a", "6", "put")], path, 2)
+    new = by_key(spark, path, second, "k2").bootstrap_from(first).start(available_now=True)
+    assert new.wait() and new.error is None
+    want = {(0, b"a", b"6"), (1, b"d", b"5")}
+    assert sinks.outputs(spark, second, "changelog").count() == 3  # nothing from before the marks is done again
+    assert {(r.partition, bytes(r.key), bytes(r.value)) for r in sinks.replayed(spark, second, first).collect()} == want
+    assert {(bytes(r.item_key), bytes(r.value)) for r in new.store().collect()} == {x[1:] for x in want}
+
+
+def test_timers_of_keys_write_where_their_records_do(spark, tmp_path):
+    path, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(spark, [(1, 0, "a", "x", "put")], path, 1)
+    es = by_key(spark, path, root).schedule_interjection(lambda ctx: ctx.put(b"a", b"timer"), 300)
+    es.start()
+    deadline = time.time() + 60
+    while time.time() < deadline and not sinks.outputs(spark, root, "changelog").where("offset = -1").take(1):
+        time.sleep(1)
+    es.stop_now()
+    assert [(r.partition, bytes(r.key), bytes(r.value)) for r in sinks.replayed(spark, root).collect()] == [(1, b"a", b"timer")]
+
+
+def test_handlers_run_once_and_then_sees_what_was_written(spark, tmp_path):
+    path, root, seen = f"{tmp_path}/in", f"{tmp_path}/out", []
+    write(spark, [(0, 0, "a", "1", "count"), (0, 1, "b", "2", "count")], path, 1)
+    ran = spark.sparkContext.accumulator(0)
+    es = EventSource(spark, SourceConfig("once", "t", num_partitions=2), envelope.from_files(spark, path, 1), root)
+
+    def count(ctx, raw):
+        ran.add(1)
+        ctx.forward("f", bytes(ctx.input.key), raw)
+
+    es.register("count", bytes, count)
+    es.start(available_now=True, then=lambda df, batch: seen.append((batch, sorted(bytes(r.key) for r in df.where("out = 'forward'").collect())))).wait()
+    assert es.error is None and seen == [(0, [b"a", b"b"])] and ran.value == 2
+
+
+def test_a_batch_without_a_commit_is_not_read(spark, tmp_path):
+    """The sink fails after it has written; the batch runs again later. An empty batch leaves no folder."""
+    path, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(spark, [(0, 0, "a", '{"n":1}', "create")], path, 1)
+
+    def stop(df, batch):
+        raise RuntimeError("between sink and checkpoint")
+
+    es = source(spark, tmp_path, "halved", on_txn_error=lambda e: ErrorResponse.FAIL_CONSUMER).start(available_now=True, then=stop)
+    es.wait()
+    assert es.error is not None and os.path.isdir(f"{root}/outputs/batch=0")
+    assert sinks.outputs(spark, root, "changelog").count() == 0 and sinks.replayed(spark, root).count() == 0
+    es = source(spark, tmp_path, "halved").start(available_now=True)
+    assert es.wait() and es.error is None
+    assert sinks.outputs(spark, root, "changelog").count() == 1
+    sinks.once(f"{tmp_path}/none")(spark.createDataFrame([], sinks.OUTPUT), 7)
+    assert not os.path.exists(f"{tmp_path}/none/outputs/batch=7") and sinks.outputs(spark, f"{tmp_path}/none", "forward").count() == 0
+
+
+def test_work_outside_the_store_and_its_finalizers(spark, tmp_path):
+    """Two stages: what a handler holds back is finalized with the store, in order for each key; errors reach the finalizer; a restart in
+    between loses nothing; the commit log does not pass what is held."""
+    path, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(spark, [(0, k, "ab"[k % 2], str(k), "job") for k in range(20)] + [(1, 0, "c", "bad", "job"), (1, 1, "c", "1", "put")], path, 1)
+    fail = {"on": True}
+
+    def finalize_first(ctx, key, result, error):
+        if error is not None:
+            ctx.put(key, f"error {error}".encode())
+            return ExecutionState.COMPLETE
+        ctx.put(key, (ctx.get(key) or b"") + b" " + result)
+        return ctx.schedule("second", key, result)
+
+    def finalize_second(ctx, key, result, error):
+        ctx.forward("done", key, result)
+
+    def work(key, value):
+        return str(2 * int(value)).encode()
+
+    def start(then=None):
+        es = EventSource(spark, SourceConfig("staged", "t", num_partitions=2, on_txn_error=lambda e: ErrorResponse.FAIL_CONSUMER), envelope.from_files(spark, path, 1), root)
+        es.register("job", bytes, lambda ctx, raw: ctx.schedule("first", bytes(ctx.input.key), raw)).register("put", bytes, put)
+        es.register_async("first", work, finalize_first).register_async("second", lambda k, v: b"<" + v + b">", finalize_second)
+        es.start(available_now=True, then=then).wait()
+        return es
+
+    def stop(df, batch):
+        if batch == 1 and fail["on"]:
+            raise RuntimeError("lost")
+
+    es = start(stop)  # the first stage has come back, and its finalizers' batch is lost
+    assert es.error is not None and sinks.outputs(spark, root, "forward").count() == 0
+    assert {(r.partition, r.next_offset) for r in sinks.commits(spark, root).collect()} == {(0, 0), (1, 0)}
+    fail["on"] = False
+    es = start()
+    assert es.error is None
+    done = sinks.outputs(spark, root, "forward").orderBy("batch", "seq").collect()
+    for key in (b"a", b"b"):
+        assert [bytes(r.value) for r in done if bytes(r.key) == key] == [f"<{2 * k}>".encode() for k in range(20) if "ab"[k % 2].encode() == key]
+    store = {bytes(r.item_key): bytes(r.value) for r in es.store().collect()}
+    assert store[b"a"] == b"".join(f" {2 * k}".encode() for k in range(0, 20, 2)) and store[b"c"].startswith(b"error invalid literal")
+    assert {(r.partition, r.next_offset) for r in sinks.commits(spark, root).collect()} == {(0, 20), (1, 2)}
+    assert {bytes(r.key): bytes(r.value) for r in sinks.replayed(spark, root).collect()} == store
+    with pytest.raises(RuntimeError):
+        mocks.interjection().schedule("first", b"k", b"v")
 
 
 def test_pause_and_resume(spark, tmp_path):
