@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_runs: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of the driver's own that is deleted when the driver ends."""
+    root = shared_root(spark)
+    if root not in _runs:
+        _runs[root] = f"{root}/millrace/run-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_runs[root])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        @atexit.register
+        def _delete() -> None:
+            with suppress(Exception):  # the JVM may be gone
+                files.delete(path, True)
+
+    return f"{_runs[root]}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, GAP, fold_case, settle
+from .common import ASCII_LOWER, ASCII_UPPER, GAP, Scratch, fold_case, settle
 
 MOST_DOCS, LEFT = 10, 30
 BROADCAST_ROWS, SALTS = 200_000, 16
@@ -88,47 +88,49 @@ def _gone(docs: DataFrame, most_docs: int) -> DataFrame:
 def _gone_of_kept(docs: DataFrame, most_docs: int, left: int) -> DataFrame:
     """_gone(), where a line stays in the first document that is itself kept.
 
-    As if documents that pass the base came one by one in order of (doc_id, k): each has the lines that no kept one before it
-    holds, is kept if that is enough, and then its lines are taken. In rounds: a document that is not depleted even
+    As if documents that pass the base came one by one, in the order of a hash of their doc_id: each has the lines that no kept one before
+    it holds, is kept if that is enough, and then its lines are taken. By a hash, since chains of documents of which each waits for the one
+    before are then short, about the logarithm of their number, where they share lines in the order of their ids. In rounds: a document that is not depleted even
     if all open ones before it took their lines is kept; one that taken lines alone deplete is rejected; the first open one is
     always one or the other. A kept document waits for those of its lines that an open one before it holds: it gets them if that
     one is rejected. A round is over the lines of open documents, and those that kept ones wait for.
     """
-    often, line = frequent_lines(docs, most_docs), F.xxhash64("host", "h").alias("l")
-    few = often.count() <= BROADCAST_ROWS
-    held = _meet(lines_of(docs).select(line, "doc_id", "k", "i", "h", "words"), often.select(line), few, ["l"]).distinct()
-    held = settle(held.groupBy("l", "h", "doc_id", "k").agg(F.sum("words").alias("words")), "held")
-    some = settle(held.select("k").distinct(), "holders")
-    some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-    # Written first: a filter would be pushed below measure() and evaluate its columns again for each element.
-    sized = settle(measure(docs.join(some, _key() == some.k, "left_semi")).select("k", "n_words", "n_repeat_words"), "sized")
-    sized = sized.where(~_failed()).select("k", "n_words").distinct()
-    who = F.struct("doc_id", "k")
-    held = settle(held.join(sized, "k"), "held")
-    rows, owners = held.withColumns({"taken": F.lit(False), "sure": F.lit(False)}), []
-    while rows.take(1):
-        first = rows.groupBy("l").agg(F.min(F.when(~F.col("taken"), who)).alias("first"))
-        x = settle(_meet(rows, first, few, ["l"]).withColumn("mine", ~F.col("taken") & who.eqNullSafe(F.col("first"))).drop("first"), "open")
-        lost = lambda c: F.sum(F.when(c, F.col("words")).otherwise(0))
-        sums = x.where("not sure").groupBy("k", "n_words").agg(lost(~F.col("mine")).alias("most"), lost(F.col("taken")).alias("least"))
-        enough = lambda c: 100 * (F.col("n_words") - F.col(c)) >= left * F.col("n_words")
-        done = settle(sums.where(enough("most") | ~enough("least")).select("k", enough("most").alias("stays")), "done")
-        x = settle(x.join(done, "k", "left").where(F.coalesce("stays", F.lit(True))).withColumn("sure", F.col("sure") | F.col("stays").isNotNull()).drop("stays"), "left")
-        owners.append(settle(x.where("mine and sure").select("l", F.col("k").alias("owner")), "owners"))
-        now = owners[-1].select("l", F.lit(True).alias("now"))
-        now = F.broadcast(now) if few else now
-        rest = x.drop("mine").join(now, "l", "left").withColumn("taken", F.col("taken") | F.coalesce("now", F.lit(False))).drop("now")
-        rows = settle(rest.where("not (sure and taken)"), "rest")
-    if not owners:
-        # Written too: from an empty literal the optimizer would push the filter on kept below measure().
-        return settle(held.select(_doc().alias("g_d"), F.col("k").alias("g_k"), F.col("words").alias("gone"), F.array("h").alias("hs")).limit(0), "gone")
-    owned = settle(reduce(DataFrame.union, owners), "owners")
-    own = [_doc().alias("g_d"), F.col("k").alias("g_k")]
-    gone = _meet(held, owned, few, ["l"]).where("k <> owner").groupBy(*own)
-    lost = held.join(owned, "l", "left_anti")  # lines of which no holder is kept
-    gone = gone.agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
-    more = lost.groupBy(*own).agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
-    return settle(gone.union(more).groupBy("g_d", "g_k").agg(F.sum("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")), "gone")
+    with Scratch(docs.sparkSession, "owners") as s:
+        often, line = frequent_lines(docs, most_docs), F.xxhash64("host", "h").alias("l")
+        few = often.count() <= BROADCAST_ROWS
+        held = _meet(lines_of(docs).select(line, "doc_id", "k", "i", "h", "words"), often.select(line), few, ["l"]).distinct()
+        held = s.settle(held.groupBy("l", "h", "doc_id", "k").agg(F.sum("words").alias("words")), "held")
+        some = s.settle(held.select("k").distinct(), "holders")
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        # Written first: a filter would be pushed below measure() and evaluate its columns again for each element.
+        sized = s.settle(measure(docs.join(some, _key() == some.k, "left_semi")).select("k", "n_words", "n_repeat_words"), "sized")
+        sized = sized.where(~_failed()).select("k", "n_words").distinct()
+        who = F.struct(F.xxhash64("doc_id").alias("turn"), "doc_id", "k")
+        held = s.settle(held.join(sized, "k"), "held")
+        rows, owners = held.withColumns({"taken": F.lit(False), "sure": F.lit(False)}), []
+        while rows.take(1):
+            first = rows.groupBy("l").agg(F.min(F.when(~F.col("taken"), who)).alias("first"))
+            x = s.settle(_meet(rows, first, few, ["l"]).withColumn("mine", ~F.col("taken") & who.eqNullSafe(F.col("first"))).drop("first"), "open")
+            lost = lambda c: F.sum(F.when(c, F.col("words")).otherwise(0))
+            sums = x.where("not sure").groupBy("k", "n_words").agg(lost(~F.col("mine")).alias("most"), lost(F.col("taken")).alias("least"))
+            enough = lambda c: 100 * (F.col("n_words") - F.col(c)) >= left * F.col("n_words")
+            done = s.settle(sums.where(enough("most") | ~enough("least")).select("k", enough("most").alias("stays")), "done")
+            x = s.settle(x.join(done, "k", "left").where(F.coalesce("stays", F.lit(True))).withColumn("sure", F.col("sure") | F.col("stays").isNotNull()).drop("stays"), "left")
+            owners.append(s.settle(x.where("mine and sure").select("l", F.col("k").alias("owner")), "owners"))
+            now = owners[-1].select("l", F.lit(True).alias("now"))
+            now = F.broadcast(now) if few else now
+            rest = x.drop("mine").join(now, "l", "left").withColumn("taken", F.col("taken") | F.coalesce("now", F.lit(False))).drop("now")
+            rows = s.settle(rest.where("not (sure and taken)"), "rest")
+        if not owners:
+            # Written too: from an empty literal the optimizer would push the filter on kept below measure().
+            return settle(held.select(_doc().alias("g_d"), F.col("k").alias("g_k"), F.col("words").alias("gone"), F.array("h").alias("hs")).limit(0), "gone")
+        owned = s.settle(reduce(DataFrame.union, owners), "owners")
+        own = [_doc().alias("g_d"), F.col("k").alias("g_k")]
+        gone = _meet(held, owned, few, ["l"]).where("k <> owner").groupBy(*own)
+        lost = held.join(owned, "l", "left_anti")  # lines of which no holder is kept
+        gone = gone.agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
+        more = lost.groupBy(*own).agg(F.sum("words").alias("gone"), F.collect_set("h").alias("hs"))
+        return settle(gone.union(more).groupBy("g_d", "g_k").agg(F.sum("gone").alias("gone"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs")), "gone")
 
 
 def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -22,6 +22,8 @@ from .common import settle
 from .encoders import library_encoder, slices, worker_encoder
 
 CAPACITY = 2048
+#: Rounds at most (a number of a bin has 7 bits for its round), and the share of its bins that a round of mixed groups has to save.
+LEVELS, LEAST_SAVED = 120, 0.002
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, item long, bin long, shift long, fill long"
 MOVES = "bin long, parent long, shift long, part int, fill long"
 
@@ -112,17 +114,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     pieces = settle(docs.select("doc_id", "text").mapInArrow(_pack_texts(tokenizer_path, end_id, capacity), PIECES), "pieces")
     bins = pieces.where(pieces.fill < capacity - slack).select("part", "bin", "fill").distinct()
     moves, level, before = None, 0, None
-    while True:
-        n, parts = bins.agg(F.count("*"), F.count_distinct("part")).first()
-        if parts < 2 or n == before:
+    while level < LEVELS:
+        n, parts, last = bins.agg(F.count("*"), F.count_distinct("part"), F.max("part")).first()
+        if parts < 2 or before is not None and n > (1 - LEAST_SAVED) * before:
             break
-        level, groups = level + 1, -(-parts // fan_in)
-        if n > groups * group_items:
-            # Too much for this level's groups: more of them, each a like mix of all fills, until a round saves nothing.
-            groups, before = -(-n // group_items), n
+        level, groups, before = level + 1, -(-parts // fan_in), None
+        g = F.floor(F.col("part") * groups / (F.lit(last) + 1)).cast("int")
+        if bins.groupBy(g.alias("g")).count().agg(F.max("count")).first()[0] > group_items:
+            # Too much for a group of this level: groups that are each a like mix of all fills, about half full so that none is above the
+            # bound, until a round saves too little.
+            groups, before = -(-2 * n // group_items), n
             g = F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)).cast("int")
-        else:
-            g = F.floor(F.col("part") * groups / (F.lit(bins.agg(F.max("part")).first()[0]) + 1)).cast("int")
         step = settle(bins.select(g.alias("g"), "bin", "fill").groupBy("g").applyInPandas(_pack_bins(level, capacity), MOVES), "moves")
         link = step.select("bin", "parent", "shift")
         if moves is None:
@@ -138,7 +140,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     m = moves.select("bin", "parent", F.col("shift").alias("more"))
     placed = pieces.join(m, "bin", "left").select(*keep, "item", F.coalesce("parent", "bin").alias("sequence_id"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("offset"))
     rest = placed.join(bins.select(F.col("bin").alias("sequence_id")), "sequence_id", "left_semi").select(F.col("item").alias("bin"), F.col("length").alias("fill"))
-    groups = max(1, -(-rest.count() // group_items))
+    rest_n = rest.count()
+    groups = 1 if rest_n <= group_items else -(-2 * rest_n // group_items)
     again = rest.select(F.pmod(F.xxhash64("bin"), F.lit(groups)).cast("int").alias("g"), "bin", "fill").groupBy("g").applyInPandas(_pack_bins(level + 1, capacity), MOVES)
     again = settle(again, "again")
     if again.select("parent").distinct().count() >= bins.count():

@@ -215,7 +215,12 @@ def _write_shards(root: str, tokenizer: str, end_id: int, width: int):
                 w = Writer(out, width)
             for d, ids in zip(b.column("doc_id").to_pylist(), encoder.texts([t or "" for t in b.column("text").to_pylist()]), strict=True):
                 ids += end
-                w.add(key_of(d), np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
+                if width == 2:
+                    wide = np.frombuffer(ids, "<u4")
+                    if int(wide.max()) >= 1 << 16:
+                        raise ValueError(f"id {int(wide.max())} does not go into 2 bytes: use width=4")
+                    ids = wide.astype("<u2").tobytes()
+                w.add(key_of(d), ids)
         if out is not None:
             size = w.close()
             out.close()
@@ -229,7 +234,7 @@ def write_table(docs: DataFrame, tokenizer_path: str, end_id: int, root: str | N
 
     docs needs doc_id and text; other columns are not looked at. A null or empty text is the end id alone; a null doc_id
     comes before all others; rows of one doc_id stand side by side, in the order of a hash of their texts. No rows: no
-    shards. width: bytes of an id, 2 if the vocabulary allows. The manifest is a table in the folder, committed last.
+    shards. width: bytes of an id, 2 or 4; an id that does not go into 2 is an error. The manifest is a table in the folder, committed last.
     As many shards as SHARD_TEXT asks for, or as there are shuffle partitions, whichever is more.
     """
     spark = docs.sparkSession
