@@ -51,11 +51,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_runs[root]}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def settle(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, its lineage cut."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +81,11 @@ class Scratch:
         self.n += 1
         return settle(df, name, f"{self.root}/{self.n}-{name}")
 
+    def settle_numbers(self, df: DataFrame, name: str) -> DataFrame:
+        """settle(), for columns of numbers that recur: up to two million different ones of a file are written once."""
+        self.n += 1
+        return settle(df, name, f"{self.root}/{self.n}-{name}", **{"parquet.dictionary.page.size": str(16 << 20)})
+
 
 @contextmanager
 def arrow_batches(spark: SparkSession, size: int):
