@@ -317,5 +317,5 @@ def least_greatest(spark, d):
     return _events(spark, d).select("event_id", utils.smaller(v, ten).alias("lo"), utils.larger(v, ten).alias("hi"), utils.absolute(v - ten).alias("d"), utils.min_n(three).alias("min_n"), utils.max_n(three).alias("max_n"))
 
 
-QUERIES["stream_replay"] = streams.stream_replay
-SQL["stream_replay"] = SQL["store_final"]
+QUERIES |= streams.QUERIES
+SQL |= streams.SQL

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,14 +70,27 @@ SLICE = 1_000_000
 
 def write_in_order(rows: DataFrame, path: str, offsets: int = SLICE) -> None:
     """Envelope rows as files that a stream takes in the order of offsets: slice after slice, each partition's slice in one
-    file, so that a batch of some files holds a bounded part of a partition and none that comes after a later one."""
-    low, top = rows.agg(F.min("offset"), F.max("offset")).first()
-    if top is None:
-        rows.write.mode("append").parquet(path)
-        return
-    for at in range(low, top + 1, offsets):
-        part = rows.where((F.col("offset") >= at) & (F.col("offset") < at + offsets))
-        part.repartition("partition").write.mode("append").parquet(path)
+    file, so that a batch of some files holds a bounded part of a partition and none that comes after a later one.
+
+    Rows are written once, by slice and partition, beside the path; then the files are released into it with times of change that
+    follow the slices, as a stream over files goes by them. The driver handles names alone. Object stores that keep no time of change
+    of one's own need a name for each release, or from_files with one slice a folder.
+    """
+    spark, apart = rows.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    sliced = rows.withColumn("_slice", F.floor(F.col("offset") / offsets))
+    sliced.repartition("_slice", "partition").sortWithinPartitions("_slice", "partition", "offset").write.partitionBy("_slice").parquet(apart)
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    files = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(to(path))
+    folders = sorted((int(x.getPath().getName()[7:]), x.getPath()) for x in files.listStatus(to(apart)) if x.isDirectory() and x.getPath().getName().startswith("_slice="))
+    now = int(time.time() * 1000) - 1000 * len(folders)
+    for k, (number, folder) in enumerate(folders):
+        for f in files.listStatus(folder):
+            name = f.getPath().getName()
+            if name.endswith(".parquet"):
+                files.setTimes(f.getPath(), now + 1000 * k, -1)
+                files.rename(f.getPath(), to(f"{path}/slice-{number:012d}-{name}"))
+    files.delete(to(apart), True)
 
 
 def from_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
