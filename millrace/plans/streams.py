@@ -13,6 +13,7 @@ from ..sources import envelope
 from ..sources.config import ExecutionState, SourceConfig
 from ..streaming import batching, sinks
 from ..streaming.event_source import ROCKSDB, EventSource
+from ..streaming.ordered import sortable, unsorted
 
 PARTITIONS = 10
 KINDS = ("signup", "view", "click", "purchase", "error")
@@ -30,6 +31,10 @@ def _query(sql: str):
 
 def _run(spark: SparkSession, rows: DataFrame, value: Column, register: Callable[[EventSource], object], by: str = "partition") -> str:
     """The root of a source that has taken all rows: keys are users, types are those of the events."""
+    return _source(spark, rows, value, register, by).root
+
+
+def _source(spark: SparkSession, rows: DataFrame, value: Column, register: Callable[[EventSource], object], by: str = "partition") -> EventSource:
     root = f"{envelope.shared_root(spark)}/millrace/stream-{uuid.uuid4().hex}"
     env = envelope.as_envelope(rows, "events", F.encode(F.col("user_id").cast("string"), "UTF-8"), F.encode(value, "UTF-8"), F.col("event_type"))
     envelope.write_in_order(env, f"{root}/in")
@@ -40,7 +45,7 @@ def _run(spark: SparkSession, rows: DataFrame, value: Column, register: Callable
     source.spark.streams.removeListener(source.metrics)
     if source.error is not None:
         raise source.error
-    return root
+    return source
 
 
 def _key(ctx) -> bytes:
@@ -170,3 +175,40 @@ def stream_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def _negated(items: list[tuple[bytes, bytes]]) -> list[bytes]:
     return [b"%d" % -int(v) for _, v in items]
+
+
+#: What a bounded queue of each partition keeps.
+KEPT = 20
+
+
+@_query(f"""WITH r AS (SELECT CAST(user_id % 10 AS INT) AS part, event_id, CAST(round(value * 1000) AS BIGINT) AS priority, row_number() OVER (PARTITION BY user_id % 10 ORDER BY CAST(round(value * 1000) AS BIGINT) DESC, CAST(event_id AS VARCHAR) DESC) AS k FROM events)
+  SELECT part, event_id, priority FROM r WHERE k <= {KEPT}""")
+def stream_queue(spark: SparkSession, d: str) -> DataFrame:
+    """A queue with two ends in the state of each partition: every event is pushed, and above KEPT the least is popped."""
+
+    def push(ctx, raw):
+        event, priority = raw.split()
+        ctx.queue.push(event, int(priority))
+        if len(ctx.queue) > KEPT:
+            ctx.queue.pop_least()
+
+    value = F.concat_ws(" ", "event_id", F.round(F.col("value") * 1000).cast("long"))
+    source = _source(spark, envelope.from_events(spark, d), value, lambda source: source.with_ordered_state(8).register_default(push))
+    number = F.conv(F.hex(F.substring("item_key", 2, 8)), 16, 10).cast("long")
+    return source.ordered_state().select(F.col("partition").alias("part"), F.decode(F.expr("substring(item_key, 10)"), "UTF-8").cast("long").alias("event_id"), number.alias("priority"))
+
+
+@_query("""SELECT e.event_id, e.user_id, min(b.user_id) AS next_user FROM events e LEFT JOIN events b
+  ON b.user_id % 10 = e.user_id % 10 AND b.event_id < e.event_id AND b.user_id > e.user_id GROUP BY 1, 2""")
+def stream_next(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered state of each partition: the next user above an event's own that the store has by then."""
+
+    def ask(ctx, raw):
+        own = sortable(int(_key(ctx)))
+        found = ctx.ordered.next(own)
+        ctx.forward("next", _key(ctx), raw + b" " + (b"" if found is None else b"%d" % unsorted(found[0])))
+        ctx.ordered.put(own, raw)
+
+    root = _run(spark, envelope.from_events(spark, d), F.col("event_id").cast("string"), lambda source: source.with_ordered_state(16).register_default(ask))
+    said = F.split(F.decode("value", "UTF-8"), " ")
+    return sinks.outputs(spark, root, "forward").select(said[0].cast("long").alias("event_id"), _user().alias("user_id"), F.when(said[1] != "", said[1]).cast("long").alias("next_user"))

@@ -18,6 +18,7 @@ from ..sources import envelope
 from ..sources.config import ErrorResponse, SourceConfig
 from . import jobs, sinks
 from .metrics import Metrics
+from .ordered import BLOCK
 from .processor import OUTPUT, Finalizer, Handler, HandlerTable, Interjection, PartitionProcessor
 
 log = logging.getLogger(__name__)
@@ -42,6 +43,7 @@ class EventSource:
         self.spark, self.config, self.rows, self.root, self.by = spark, config, rows, root, by
         self.table, self.timers, self.query, self.error, self.initial, self._how = HandlerTable(), [], None, None, None, (False, None)
         self.stages: dict[str, jobs.Stage] = {}
+        self.block: int | None = None
         self._jobs = False
         self.table.fail_on_decode = config.on_decode_error(ValueError("a record did not decode")) is not ErrorResponse.CONTINUE
         self.metrics = Metrics(config.topic, config.group_id)
@@ -60,6 +62,17 @@ class EventSource:
         self.timers.append((every_ms, jitter_ms, run))
         return self
 
+    def with_ordered_state(self, block: int = BLOCK) -> EventSource:
+        """Give handlers ctx.ordered, a map in key order, and ctx.queue, a queue with two ends that lives in it: one or the other is used. They
+        are state of each group beside the store, in blocks of so many keys, and part of the checkpoint, not of the change log."""
+        self.block = block
+        return self
+
+    def ordered_state(self) -> DataFrame:
+        """(partition or key, item_key, value): all ordered state as of the last committed batch."""
+        raw = self.spark.read.format("statestore").option("stateVarName", "blocks").load(self.checkpoint)
+        return raw.select(F.col("key.*"), F.explode(F.arrays_zip("user_map_value.keys", "user_map_value.vals")).alias("e")).select("*", F.col("e.keys").alias("item_key"), F.col("e.vals").alias("value")).drop("e")
+
     def register_async(self, stage: str, work: jobs.Work, finalizer: Finalizer | None = None, config: SchedulerConfig = SchedulerConfig()) -> EventSource:
         """Work outside the store, in order for each key and parallel across keys, for records that a handler leaves with
         `return ctx.schedule(stage, key, value)`. Its result, or the error that it raised, goes to the finalizer, which has the store
@@ -109,7 +122,7 @@ class EventSource:
         if self.initial is not None:
             initial = (self.initial if self.by == "partition" else self.initial.withColumnRenamed("home", "key")).groupBy(self.by)
         mode = "ProcessingTime" if self.timers else "None"
-        done = rows.groupBy(self.by).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers, self.by), OUTPUT, "Append", mode, initialState=initial)
+        done = rows.groupBy(self.by).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers, self.by, self.block), OUTPUT, "Append", mode, initialState=initial)
         writer = done.writeStream.foreachBatch(sinks.once(self.root, self._after(then))).option("checkpointLocation", self.checkpoint).outputMode("append").queryName(f"{self.config.group_id}_{self.config.topic}")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(self.config.eos.batch_delay_ms, 1)} milliseconds")
         self.query = writer.start()

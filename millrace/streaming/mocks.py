@@ -31,6 +31,22 @@ class MemoryState:
         return iter(list(self.items))
 
 
+class MemoryValue:
+    """The part of a value state that ordered state uses."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+
 def context(key: bytes, value: bytes | None = None, kind: str = "", items: dict[bytes, bytes] | None = None, partition: int = 0, offset: int = 0, topic: str = "test", state: MemoryState | None = None) -> Context:
     """A context of one record over a store of `items`, or over the state of an earlier context. Its outputs are in `rows`."""
     record = Row(topic=topic, partition=partition, offset=offset, key=key, value=value, record_type=kind)

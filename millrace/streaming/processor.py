@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.timers import NO_OFFSET, next_due
 from ..sources.config import ExecutionState
+from . import ordered
 
 #: Every output row: out tells forwarded records, change-log entries, dead letters, jobs and commits apart; a null value deletes; seq
 #: counts a group's rows for good; home is the key of a group that is a key, and null where groups are partitions.
@@ -39,6 +40,9 @@ class Context:
     #: Of a record that a job came back for: its own topic and offset.
     of: tuple[str, int] | None = None
     scheduled: str | None = None
+    #: The group's ordered state and its queue, of a source that has them (EventSource.with_ordered_state).
+    ordered: ordered.Sorted | None = None
+    queue: ordered.Queue | None = None
 
     @property
     def offset(self) -> int:
@@ -153,8 +157,8 @@ class PartitionProcessor(StatefulProcessor):
     run. Outputs leave as they are made.
     """
 
-    def __init__(self, table: HandlerTable, topic: str, timers: list[tuple[int, int, Interjection]] | None = None, by: str = "partition"):
-        self.table, self.topic, self.timers, self.by = table, topic, timers or [], by
+    def __init__(self, table: HandlerTable, topic: str, timers: list[tuple[int, int, Interjection]] | None = None, by: str = "partition", block: int | None = None):
+        self.table, self.topic, self.timers, self.by, self.block = table, topic, timers or [], by, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -166,6 +170,17 @@ class PartitionProcessor(StatefulProcessor):
         self.count = handle.getValueState("count", "seq bigint")
         #: The partition of the group's last record, to which a timer's outputs go.
         self.last = handle.getValueState("last", "partition int")
+        if self.block is not None:
+            self.blocks = handle.getMapState("blocks", *ordered.BLOCKS)
+            self.index = handle.getValueState("index", ordered.INDEX)
+            self.places = handle.getMapState("places", *ordered.PLACES)
+
+    def _ordered(self) -> dict:
+        """Ordered state and queue, for the contexts of one call: the index is read once."""
+        if self.block is None:
+            return {}
+        own = ordered.Sorted(self.blocks, self.index, self.block)
+        return {"ordered": own, "queue": ordered.Queue(own, self.places)}
 
     def handleInitialState(self, key, initialState, timerValues):
         """One entry of a bootstrap (sinks.bootstrap): an item of the store, or, without a key, where the group goes on."""
@@ -185,13 +200,13 @@ class PartitionProcessor(StatefulProcessor):
         return bytes(key[0]) if self.by == "key" and key[0] is not None else None
 
     def handleInputRows(self, key, rows, timerValues):
-        seq, home, marks, held = self._seq(), self._home(key), {}, False
+        seq, home, marks, held, more = self._seq(), self._home(key), {}, False, self._ordered()
         for r in sorted(rows, key=lambda r: (r.topic != DONE, r.offset, r.topic, r.partition)):
             heads = {h["key"]: h["value"] for h in r.headers or []} if r.topic == DONE else {}
             at = (bytes(heads[OF_TOPIC]).decode() if heads else r.topic, r.partition)
             if at not in marks:
                 marks[at] = self.next.getValue(at)[0] if self.next.containsKey(at) else 0
-            ctx = Context(r.partition, r, self.items, self.topic, seq, home=home, of=(at[0], r.offset) if heads else None)
+            ctx = Context(r.partition, r, self.items, self.topic, seq, home=home, of=(at[0], r.offset) if heads else None, **more)
             if heads:
                 # Once for each stage: what came back before, or is of another run of a batch, finds nothing pending.
                 if not self.pending.containsKey((*at, r.offset)) or self.pending.getValue((*at, r.offset))[0] != r.record_type:
@@ -237,7 +252,7 @@ class PartitionProcessor(StatefulProcessor):
         part = self.last.get()[0] if self.last.exists() else key[0]
         for i, (_, _, run) in enumerate(self.timers):
             if self.due.containsKey((i,)) and self.due.getValue((i,))[0] == fired:
-                ctx = Context(part, None, self.items, self.topic, seq, home=self._home(key))
+                ctx = Context(part, None, self.items, self.topic, seq, home=self._home(key), **self._ordered())
                 run(ctx)
                 yield from ctx.rows
                 seq = ctx.seq
