@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 from array import array
@@ -164,3 +165,16 @@ def slices(batches: Iterable, rows: int = 256, chars: int = 4_000_000) -> Iterat
         step = max(1, min(rows, int(b.num_rows * chars / max(sizes, 1)) or 1))
         for k in range(0, b.num_rows, step):
             yield b.slice(k, step)
+
+
+def hand_back() -> None:
+    """Give memory that a task has freed back to the system: workers stay, and the allocators would keep it for the stages that follow."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle
-from .encoders import slices
+from .encoders import hand_back, slices
 
 TRAIN_DOCS, TOP_WORDS, TOP_GRAMS, ORDERS = 3_000, 20_000, 10_000, (5, 4, 3, 2, 1)
 #: log10 frequency of what a language has not shown, below its rarest kept one.
@@ -150,7 +150,8 @@ def _predict(shared):
             found = [(UNKNOWN, 0.0, 0) if t is None else model.scores(t) for t in b.column("text").to_pylist()]
             lang, score, n = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], names=[*b.schema.names, "lang_pred", "lang_score", "lang_words"])
-        model.memo.clear()  # workers stay, and the next stage may need their memory
+        model.memo.clear()
+        hand_back()
 
     return run
 

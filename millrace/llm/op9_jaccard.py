@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, connected_components, settle
-from .encoders import slices
+from .encoders import hand_back, slices
 
 WIDTH, RATIO, SPARE = 5, 2.0, 1.1
 #: Partitions of a block, and its subsets of two.
@@ -199,7 +199,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(node)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["doc_id", "n", "node", "bits", "of_text"])
-    _words.clear()  # workers stay, and the next stage may need their memory
+    _words.clear()
+    hand_back()
 
 
 def _sign(shared):
@@ -220,6 +221,7 @@ def _sign(shared):
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs))), pa.array(short, pa.bool_())], names=["node", "sigs", "short"])
         _words.clear()
+        hand_back()
 
     return run
 
@@ -289,6 +291,8 @@ def _gather(chunk: int = CHUNK, part: int = PART):
             out, _ = groups(left_s, left_n, begun)
             if out is not None:
                 yield out
+        told.clear()
+        hand_back()
 
     return run
 
@@ -306,6 +310,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "items"])
     _words.clear()
+    hand_back()
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,6 +415,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(found)
     if left and (found := pairs(pa.concat_tables(left))):
         yield batch(found)
+    hand_back()
 
 
 def _pairs(a: str, b: str):
