@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..sources import envelope
 from ..sources.config import ExecutionState, SourceConfig
 from ..streaming import batching, sinks
+from ..streaming.compacted import ENTRY, CompactedLog
 from ..streaming.event_source import ROCKSDB, EventSource
+from ..streaming.global_table import GlobalTable
 from ..streaming.ordered import sortable, unsorted
 
 PARTITIONS = 10
@@ -212,3 +214,38 @@ def stream_next(spark: SparkSession, d: str) -> DataFrame:
     root = _run(spark, envelope.from_events(spark, d), F.col("event_id").cast("string"), lambda source: source.with_ordered_state(16).register_default(ask))
     said = F.split(F.decode("value", "UTF-8"), " ")
     return sinks.outputs(spark, root, "forward").select(said[0].cast("long").alias("event_id"), _user().alias("user_id"), F.when(said[1] != "", said[1]).cast("long").alias("next_user"))
+
+
+@_query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn,
+  bool_or(event_type <> 'error') OVER (PARTITION BY user_id) AS ever FROM events)
+  SELECT CAST(user_id % 10 AS INT) AS part, user_id, CASE WHEN event_type <> 'error' THEN event_id END AS event_id FROM l WHERE rn = 1 AND ever""")
+def stream_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a compacted change log: one entry of each key that was ever there, null for a deletion."""
+
+    def register(source):
+        for kind in KINDS:
+            source.register(kind, lambda raw: raw, _delete if kind == "error" else _put)
+
+    root = _run(spark, envelope.from_events(spark, d), F.when(F.col("event_type") != "error", F.col("event_id").cast("string")), register)
+    log = CompactedLog(spark, root)
+    log.compact()
+    return spark.read.schema(ENTRY).parquet(log.manifest().path).select(F.col("of").alias("part"), _user().alias("user_id"), F.decode("value", "UTF-8").cast("long").alias("event_id"))
+
+
+@_query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
+  SELECT o_orderkey, o_custkey, l.event_id FROM orders LEFT JOIN (SELECT * FROM l WHERE rn = 1 AND event_type <> 'error') l ON l.user_id = o_custkey""")
+def stream_global(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a stream, joined to a table that follows the change log of the events' source."""
+
+    def register(source):
+        for kind in KINDS:
+            source.register(kind, lambda raw: raw, _delete if kind == "error" else _put)
+
+    root = _run(spark, envelope.from_events(spark, d), F.when(F.col("event_type") != "error", F.col("event_id").cast("string")), register)
+    table = GlobalTable(spark, root, f"{root}/global", lambda store: store.select(_user().alias("o_custkey"), F.decode("value", "UTF-8").cast("long").alias("event_id")))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders.write.parquet(f"{root}/orders")
+    stream = spark.readStream.schema(orders.schema).parquet(f"{root}/orders")
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{root}/joined/batch={batch}")
+    stream.writeStream.foreachBatch(table.follow(["o_custkey"], write)).option("checkpointLocation", f"{root}/joined-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/joined").select("o_orderkey", "o_custkey", "event_id")

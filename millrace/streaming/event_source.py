@@ -95,7 +95,7 @@ class EventSource:
 
     def bootstrap_from(self, root: str) -> EventSource:
         """bootstrap() from the change log and the commit log that another source left under root."""
-        return self.bootstrap(sinks.outputs(self.spark, root, "changelog"), sinks.commits(self.spark, root))
+        return self.bootstrap(sinks.changelog(self.spark, root), sinks.commits(self.spark, root))
 
     @property
     def checkpoint(self) -> str:
@@ -213,7 +213,7 @@ class EventSource:
         """Delete checkpoint and outputs; for tests."""
         if self.query is not None and self.query.isActive:
             raise RuntimeError("the query is running")
-        for path in (self.checkpoint, f"{self.root}/outputs", jobs.folder(self.root)):
+        for path in (self.checkpoint, f"{self.root}/outputs", f"{self.root}/compacted", jobs.folder(self.root)):
             sinks.Folder(self.spark, path).delete()
 
     def store(self) -> DataFrame:

@@ -71,7 +71,8 @@ def committed(spark: SparkSession, root: str, checkpoint: str | None = None) ->
 
 
 def outputs(spark: SparkSession, root: str, kind: str, checkpoint: str | None = None) -> DataFrame:
-    """All committed rows of a kind: forward, changelog, dead_letter, job or commit; batch is a column."""
+    """All committed rows of a kind: forward, changelog, dead_letter, job or commit; batch is a column. Of a compacted change log these are
+    the entries since the last snapshot (changelog has all)."""
     paths = committed(spark, root, checkpoint)
     if not paths:
         return spark.createDataFrame([], f"{OUTPUT}, batch int").where(F.col("out") == kind).drop("out")
@@ -87,6 +88,13 @@ def commits(spark: SparkSession, root: str, checkpoint: str | None = None) -> Da
     return last.groupBy("topic", "partition").agg(F.least(stop, F.max("offset")).alias("next_offset"))
 
 
+def changelog(spark: SparkSession, root: str, checkpoint: str | None = None) -> DataFrame:
+    """The entries that the change log under root has: of its last snapshot, where it is compacted, and of the batches since."""
+    from .compacted import CompactedLog
+
+    return CompactedLog(spark, root, checkpoint).entries()
+
+
 def _places() -> list[Column]:
     """Which store an entry is of: a partition's, or a key's, wherever its records came from."""
     return [F.when(F.col("home").isNull(), F.col("partition")).alias("_of"), F.col("home")]
@@ -97,7 +105,7 @@ def replayed(spark: SparkSession, root: str, *earlier: str) -> DataFrame:
     source under root was bootstrapped from, the store of all of them. An entry's place is its number among its
     group's outputs, which goes on from batch to batch: several changes of a key by one record, and changes by timers, which
     have no offset, apply in the order in which they were made. Where groups are keys, partition is that of the last change."""
-    log = reduce(DataFrame.unionByName, [outputs(spark, r, "changelog") for r in (root, *earlier)]).select(*_places(), "partition", "key", "value", "seq")
+    log = reduce(DataFrame.unionByName, [changelog(spark, r) for r in (root, *earlier)]).select(*_places(), "partition", "key", "value", "seq")
     last = latest(log, ["_of", "home", "key"], "seq", ["partition", "value"]).where("value is not null")
     return last.select("partition", "key", "value")
 
