@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,12 @@ def map_keys(m: Column) -> Column:
 
 def map_values(m: Column) -> Column:
     return F.map_values(m)
+
+
+#: Bytes of a table that is broadcast, at most.
+BROADCAST_BYTES = 64_000_000
+
+
+def small(table: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is at most so large by what the optimizer knows of it, from its files or rows at hand; nothing is run."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes

@@ -7,10 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.envelope import dense_offsets
+
 
 @dataclass(frozen=True)
 class SchedulerConfig:
@@ -65,8 +67,8 @@ def keyed(rows: DataFrame, key: str, order: str | list[str], work: Callable[[pd.
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "seq") -> DataFrame:
-    """The place of each row in its key's order, from 1."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    """The place of each row in its key's order, from 1, by an integer column; a hot key is numbered in blocks. A null key is a key."""
+    return dense_offsets(rows.withColumn("_key", F.struct(key)), "_key", order, name).withColumn(name, F.col(name) + 1).drop("_key")
 
 
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:

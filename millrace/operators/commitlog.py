@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import INT
-
-MOST_MARKS = 1_000_000
+from ..functions.utils import small
 
 
 def next_offsets(rows: DataFrame, partition: list[str], offset: str = "off") -> DataFrame:
@@ -22,11 +21,10 @@ def watermark(log: DataFrame, topic: str, partition: int) -> DataFrame:
 
 
 def fresh(rows: DataFrame, log: DataFrame, partition: list[str], offset: str = "off") -> DataFrame:
-    """Rows that are not done yet: with an offset at or beyond their partition's watermark. The log has a row a partition; one of
-    more than MOST_MARKS rows is joined by exchange."""
+    """Rows that are not done yet: with an offset at or beyond their partition's watermark. The log has a row a partition; it is broadcast where it
+    is known to be small."""
     marks = log.select(*partition, F.col("next_offset").alias("_mark"))
-    few = marks.limit(MOST_MARKS + 1).count() <= MOST_MARKS
-    return rows.join(F.broadcast(marks) if few else marks, partition, "left").where(F.col(offset) >= F.coalesce("_mark", F.lit(-1))).drop("_mark")
+    return rows.join(F.broadcast(marks) if small(marks) else marks, partition, "left").where(F.col(offset) >= F.coalesce("_mark", F.lit(-1))).drop("_mark")
 
 
 def transactions(rows: DataFrame, partition: str, offset: str = "off", size: int = 1_000) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.utils import small
+from ..sources.envelope import BLOCK
+
 
 def latest(rows: DataFrame, keys: list[str], order: str, carry: list[str]) -> DataFrame:
     """Each key's last row. max_by has a partial form, so a hot key costs a row for each task; a window would sort it in one."""
@@ -30,15 +33,22 @@ def live(rows: DataFrame, keys: list[str], order: str, deleted: Column, carry: l
 
 def deletions(rows: DataFrame, key: str, order: str, deleted: Column) -> DataFrame:
     """Rows that delete a key which is there: the ones that leave a tombstone. A key is there after an upsert."""
-    gone = rows.withColumn("_gone", deleted)
-    before = F.lag("_gone").over(Window.partitionBy(key).orderBy(order))
-    return gone.withColumn("_was", ~before).where(F.col("_gone") & F.coalesce("_was", F.lit(False))).drop("_gone", "_was")
+    gone = last_before(rows.withColumn("_gone", deleted), key, order, F.col("_gone"), "_before")
+    return gone.where(F.col("_gone") & ~F.coalesce("_before", F.lit(True))).drop("_gone", "_before")
+
 
+def last_before(rows: DataFrame, key: str, order: str, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """A lookup of the store as each row finds it: the last non-null `value` of its key in rows before it, in the order of an integer column.
 
-def last_before(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
-    """A lookup of the store as each row finds it: the last non-null `value` of its key in rows before it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    A window over a whole key would put a hot key into one task. Here windows are over blocks of the order, and each block starts with
+    what the blocks before it leave, a row for a block; windows and join share one exchange. A null key is a key.
+    """
+    rows = rows.withColumns({"_k": F.struct(key), "_block": F.floor(F.col(order) / block), "_v": value})
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ends = rows.groupBy("_k", "_block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_e"))
+    ends = ends.select("_k", "_block", last("_e", Window.partitionBy("_k").orderBy("_block")).alias("_c"))
+    inside = rows.withColumn("_in", last("_v", Window.partitionBy("_k", "_block").orderBy(order)))
+    return inside.join(ends, ["_k", "_block"]).withColumn(name, F.coalesce("_in", "_c")).drop("_k", "_block", "_v", "_in", "_c")
 
 
 def scan(rows: DataFrame, key: str, low, high) -> DataFrame:
@@ -61,9 +71,9 @@ def ends(rows: DataFrame, group: str, order: list[str], k: int, carry: list[str]
 def live_counts(rows: DataFrame, partition: str, key: str, order: str, tick: Column, deleted: Column) -> DataFrame:
     """(partition, tick, live_keys): how many keys the store holds at the end of each tick that has rows."""
     state = F.when(deleted, 0).otherwise(1)
-    marked = rows.select(partition, key, order, tick.alias("tick"), state.alias("_live"))
-    was = F.coalesce(F.lag("_live").over(Window.partitionBy(partition, key).orderBy(order)), F.lit(0))
-    moves = marked.withColumn("_d", F.col("_live") - was).groupBy(partition, "tick").agg(F.sum("_d").alias("_d"))
+    marked = rows.select(partition, F.struct(partition, key).alias("_item"), order, tick.alias("tick"), state.alias("_live"))
+    marked = last_before(marked, "_item", order, F.col("_live"), "_was")
+    moves = marked.withColumn("_d", F.col("_live") - F.coalesce("_was", F.lit(0))).groupBy(partition, "tick").agg(F.sum("_d").alias("_d"))
     return moves.select(partition, "tick", F.sum("_d").over(Window.partitionBy(partition).orderBy("tick")).cast("long").alias("live_keys"))
 
 
@@ -76,7 +86,7 @@ def shard_sizes(rows: DataFrame, shard: Column) -> DataFrame:
     return rows.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"))
 
 
-def lookup_global(rows: DataFrame, table: DataFrame, on: Column, most_rows: int = 1_000_000) -> DataFrame:
-    """rows joined to a table that every host holds. Its size is checked: one too large to be held is joined by exchange."""
-    small = table.limit(most_rows + 1).count() <= most_rows
-    return rows.join(F.broadcast(table) if small else table, on)
+def lookup_global(rows: DataFrame, table: DataFrame, on: Column) -> DataFrame:
+    """rows joined to a table that every host holds: broadcast where it is known to be small, by its files or as the optimizer reckons, and
+    otherwise left to adaptive execution. Nothing is run to find out."""
+    return rows.join(F.broadcast(table) if small(table) else table, on)

@@ -56,13 +56,6 @@ class EosConfig:
     def in_flight(self) -> int:
         return self.max_batch * self.pool_size
 
-    def should_commit(self, events: int, records: int, waited_ms: float) -> bool:
-        """A transaction is tried when the target is reached or the delay has passed."""
-        return max(events, records) >= self.target_batch or (events > 0 and waited_ms >= self.batch_delay_ms)
-
-    def must_commit(self, events: int, records: int) -> bool:
-        return max(events, records) >= self.max_batch
-
 
 @dataclass(frozen=True)
 class Cluster:

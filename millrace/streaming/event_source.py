@@ -94,7 +94,8 @@ class EventSource:
         return self
 
     def bootstrap_from(self, root: str) -> EventSource:
-        """bootstrap() from the change log and the commit log that another source left under root."""
+        """bootstrap() from the change log and the commit log that another source, of as many partitions, left under root."""
+        self.config.resolved({self.config.changelog: sinks.partitions_of(self.spark, root) or self.config.num_partitions})
         return self.bootstrap(sinks.changelog(self.spark, root), sinks.commits(self.spark, root))
 
     @property
@@ -106,7 +107,9 @@ class EventSource:
             f(self)
 
     def start(self, available_now: bool = False, then: Callable[[DataFrame, int], None] | None = None) -> EventSource:
-        """Start without waiting. available_now: do what is there, then end."""
+        """Start without waiting. available_now: do what is there, then end. A change log of another number of partitions than the source's is
+        an error."""
+        self.config.resolved({self.config.changelog: sinks.partitions_of(self.spark, self.root, self.config.num_partitions)})
         self.spark.streams.addListener(self.metrics)
         self._hook("on_assigned")
         self._run(available_now, then)

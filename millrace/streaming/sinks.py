@@ -37,6 +37,17 @@ class Folder:
         self.fs.delete(self.path, True)
 
 
+def partitions_of(spark: SparkSession, root: str, new: int | None = None) -> int | None:
+    """How many partitions the source under root has said that it has; with `new`, it says so if nothing is said yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/partitions-{new}")
+    files = Folder(spark, root)
+    found = next((int(n[11:]) for n in files.names() if re.fullmatch(r"partitions-\d+", n)), None)
+    if found is None and new is not None:
+        files.fs.mkdirs(files.path)
+        files.fs.create(path, True).close()
+    return new if found is None else found
+
+
 def once(root: str, then: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: outputs by kind under root, each batch in its folder. A batch that runs again, after a failure
     between sink and checkpoint, overwrites what it wrote before, so that nothing is there twice; an empty one leaves nothing. `then` gets what was written."""

@@ -119,8 +119,6 @@ def test_configuration():
     for bad in (lambda: SourceConfig("", "t"), lambda: SourceConfig("g", ""), lambda: EosConfig(pool_size=0), lambda: EosConfig(batch_delay_ms=0), lambda: EosConfig(target_batch=10, max_batch=5), lambda: Cluster(()).config()):
         with pytest.raises(ValueError):
             bad()
-    e = EosConfig()
-    assert e.should_commit(1000, 3, 0) and e.should_commit(1, 0, 11) and not e.should_commit(0, 0, 11) and e.must_commit(1, 10_001)
     assert Destination("out", Cluster(("h:1",))).kafka_options()["topic"] == "out" == c.as_destination().__class__("out").default_topic
 
 
@@ -156,3 +154,32 @@ def test_produce_batch(spark):
     items = asynchronous.items_of(events, "e", "xs")
     done = produce_batch(items, "e", lambda d: d.withColumn("error", F.when(F.col("item") == 3, "lost")))
     assert sorted(tuple(r) for r in done.collect()) == [(1, 3, 1), (2, 0, 0)]
+
+
+def test_hot_keys_go_by_blocks(spark):
+    """Prefixes of a key over many blocks, with gaps, and of rows without key."""
+    import random
+
+    from millrace.operators import asynchronous, store
+    from millrace.sources import envelope
+
+    rng = random.Random(5)
+    data = [(rng.choice([1, 1, 1, 2, None]), i * rng.choice([1, 1]) + (500 if i > 60 else 0), rng.choice([None, rng.randrange(9)]), rng.random() < 0.4) for i in range(120)]
+    rows = spark.createDataFrame(data, "k int, i long, v int, gone boolean")
+    last, was, seen, found, dead, place = {}, {}, {}, {}, set(), {}
+    for k, i, v, gone in data:
+        found[i] = last.get(k)
+        if v is not None:
+            last[k] = v
+        if gone and was.get(k) is False:
+            dead.add(i)
+        was[k] = gone
+        seen[k] = place[i] = seen.get(k, 0) + 1
+    for block in (7, 50, 10**6):
+        assert {r.i: r.x for r in store.last_before(rows, "k", "i", F.col("v"), "x", block).collect()} == found
+        own = envelope.dense_offsets(rows.withColumn("_k", F.struct("k")), "_k", "i", "n", block)
+        assert {r.i: r.n + 1 for r in own.collect()} == place
+    assert {r.i for r in store.deletions(rows, "k", "i", F.col("gone")).collect()} == dead
+    assert {r.i: r.seq for r in asynchronous.numbered(rows, "k", "i").collect()} == place
+    plan = store.last_before(rows, "k", "i", F.col("v"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k" in plan and "_block" in plan
