@@ -170,11 +170,9 @@ def slices(batches: Iterable, rows: int = 256, chars: int = 4_000_000) -> Iterat
 def hand_back() -> None:
     """Give memory that a task has freed back to the system: workers stay, and the allocators would keep it for the stages that follow."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # of the GNU C library
         ctypes.CDLL(None).malloc_trim(0)
