@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import none
 from pyspark.sql import functions as F
@@ -201,6 +202,18 @@ def test_scores_against_a_plain_recursion(spark, monkeypatch):
         assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
 
 
+def test_start_is_made_from_every_training_text(spark):
+    """Long texts, one of two words by turns and one of two others, that no bound on characters keeps out; pairs are those of all texts."""
+    rows = [(2, "a b " * 15_000), (4, "c d " * 15_000)] + [(k, None) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = op10.score_documents(df, rounds=0).where("n_tokens > 1").collect()
+    assert len(got) == 2 and all(r.score > 0.8 * r.base_score for r in got)
+    texts, width = [[0, 1, 2, 9, 0], [9], [2, 2], []], op10._width(9)
+    batch = pa.RecordBatch.from_arrays([pa.array([np.array(t, dtype=width).tobytes() for t in texts if t])], names=["ids"])
+    found = {(p // 4, p % 4): c for b in op10._pairs(9, 3)(iter([batch])) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert found == {(0, 1): 1, (1, 2): 1, (2, 3): 1, (3, 0): 1, (2, 2): 1}
+
+
 def test_model_beats_unigrams_on_held_out_text(spark, data):
     r = op10.op10_hidden_markov(spark, data).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert r[0] > r[1]
