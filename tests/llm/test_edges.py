@@ -154,6 +154,26 @@ def test_encoders_equal_the_plain_library_call(path, spaced):
     assert all(len(c) <= encoders.LONG for c in e.known)
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORDS, False)])
+def test_words_with_marks_and_line_ends_are_encoded_in_lines(path, spaced):
+    """Capitals, accents, marks after words and on both sides of an end of line: right ids, and few strings for the library."""
+    import random
+
+    from millrace.llm import encoders
+
+    rng, ids = random.Random(4), library(path)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvzABCDEFÀÉÎÑßéèñüÿ") for _ in range(rng.randrange(1, 12)))
+    mark = lambda: rng.choice(["", "", ",", ".", "!!", "$$$", ".%%%", "?)", "-", "_", "<|", "\\"])
+    texts = [" ".join(word() + mark() + (f"\n{word()}{mark()}" if rng.random() < 0.3 else "") for _ in range(60)) for _ in range(100)]
+    texts += ["it's a.\n'S x", "a\n\nb c.\n d", "µa ªb a×b a÷ İx e\u0301a Ça.\nÇa"]
+    e = encoders.library_encoder(path, spaced)
+    assert [list(array("I", x)) for x in e.texts(texts)] == [ids(t) for t in texts]
+    e, single = encoders.library_encoder(path, spaced), []
+    plain, e.encode = e.encode, lambda strings: single.extend(strings) or plain(strings)
+    e.texts(texts)
+    assert len(single) < 300  # first words of texts, marks and what is neither; 6 000 chunks of words go in lines
+
+
 def packs(got, want, capacity):
     """Pieces cover each document's ids, in order; sequences have no gaps and do not overflow."""
     by = {}
