@@ -207,13 +207,13 @@ def _write_shards(root: str, tokenizer: str, end_id: int, width: int):
 
         encoder, part = worker_encoder(library_encoder, tokenizer, False), TaskContext.get().partitionId()
         name, out, w = f"{part:06d}-{uuid.uuid4().hex}.sst", None, None
-        for b in slices(batches):
+        for b in slices(batches, rows=1024):
             if out is None:
                 files, folder = _fs(root)
                 files.create_dir(folder, recursive=True)
                 out = files.open_output_stream(f"{folder}/{name}")
                 w = Writer(out, width)
-            for d, ids in zip(b.column("doc_id").to_pylist(), encoder.texts([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            for d, ids in zip(b.column("doc_id").to_pylist(), encoder.texts(b.column("text")), strict=True):
                 ids += end
                 if width == 2:
                     wide = np.frombuffer(ids, "<u4")

@@ -174,6 +174,22 @@ def test_words_with_marks_and_line_ends_are_encoded_in_lines(path, spaced):
     assert len(single) < 300  # first words of texts, marks and what is neither; 6 000 chunks of words go in lines
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORDS, False)])
+def test_encoders_learn_words_once_whatever_stands_beside_them(path, spaced):
+    """Marks, digits and ends of lines around few words: the memo grows with the words, not with their neighbours."""
+    import random
+
+    from millrace.llm import encoders
+
+    rng, ids = random.Random(7), library(path)
+    words = ["".join(rng.choice("abcdefgÉèñü") for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    word = lambda: rng.choice("  (") + rng.choice(words) + rng.choice(["", ",", ".", "12", "-", ";"])
+    texts = [" ".join(word() + "\n" + word() for _ in range(60)) for _ in range(100)]
+    e = encoders.library_encoder(path, spaced)
+    assert [list(array("I", x)) for x in e.texts(texts)] == [ids(t) for t in texts]
+    assert len(e.known) < 250  # 60 words with and without a space, marks, digits; 6 000 chunks between spaces
+
+
 def packs(got, want, capacity):
     """Pieces cover each document's ids, in order; sequences have no gaps and do not overflow."""
     by = {}
