@@ -190,6 +190,21 @@ def test_encoders_learn_words_once_whatever_stands_beside_them(path, spaced):
     assert len(e.known) < 250  # 60 words with and without a space, marks, digits; 6 000 chunks between spaces
 
 
+def test_packing_with_a_tokenizer_that_splits_in_another_way(spark, tmp_path):
+    """A file that puts a space before each text cannot be encoded in pieces: ids are the library's all the same."""
+    import json
+
+    spec = json.loads(open(BYTE).read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    texts, ids = ["foo, bar.\nBaz", "x (y) z.", None, "", " a"], library(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = op4.pack_documents(df, path).collect()
+    packs(got, [(d, [*ids(t or ""), 0]) for d, t in enumerate(texts)], 2048)
+
+
 def packs(got, want, capacity):
     """Pieces cover each document's ids, in order; sequences have no gaps and do not overflow."""
     by = {}
