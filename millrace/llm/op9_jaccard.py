@@ -20,7 +20,8 @@ expanded into all pairs:
 2. Where groups still in several components would need a large comparison (a passage that very many documents share), their
    signatures are passed over: members give signatures anew without those, for WIDE_ROUNDS rounds. Members that lack M blocks stay.
 3. In the groups left in several components, what is apart from a group's largest component meets the other members in
-   cells of bounded size that tasks get by a shuffle, so that all pairs of different components are looked at.
+   cells of bounded size that tasks get by a shuffle: first the closest few pairs of each two components, then all pairs of
+   components that are still different.
 
 Before whole sets are compared, pairs meet a bound: a bitmap of each set, of 4 to 8 bits an element, from which the
 intersection can be no larger than the common bits and the elements that share a bit. Sizes of rounds, cells and groups decide
@@ -34,6 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,46 +49,93 @@ BLOCK, SUBSETS = 3, ((0, 1), (0, 2), (1, 2))
 DIVISIONS, WIDE_ROUNDS, MOST_WIDE = 4, 2, 100_000
 #: Pairs of a group above which its signature is passed over. Members of a cell, on each side.
 WIDE_PAIRS, CELL = 100_000_000, 8_192
+#: Pairs of two components that a cell gives at first, before all pairs of those that are still apart.
+FEW = 2
 #: Members up to which a group is told once in a task and never passed over; members of a row; members of which a task holds a group.
 SMALL, CHUNK, PART = 24, 4_096, 200_000
-BROADCAST_ROWS, WORD_MEMO = 500_000, 150_000
+BROADCAST_ROWS = 500_000
+#: Bytes above which a word is hashed by itself; characters of texts whose sets are made at once; blocks whose signatures are.
+LONG_WORD, STEP_CHARS, STEP_BLOCKS = 64, 500_000, 8_000
 #: Bytes of bitmaps compared at once; bytes of texts, bitmaps or sets that go to a worker at once.
 STEP_BYTES, BATCH_BYTES = 4_000_000, 8_000_000
 
 
-class _Words(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
-
-        if len(self) > WORD_MEMO:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
-
-
-_words = _Words()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads them evenly."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    x = y >> np.uint64(27)
+    x ^= y
+    x *= np.uint64(0x94D049BB133111EB)
+    y = x >> np.uint64(31)
+    y ^= x
+    return y
+
+
+#: Bytes as words see them: A-Z lowered, what is no part of a word a space. What counts of eight bytes, by the bytes left of a word.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[9:14] = 32
+_KEEP = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time; long ones by xxHash. Eight more bytes follow the last word."""
+    import xxhash
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles: words of A-Z lowered, five by five; fewer words are one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - WIDTH + 1)
-    out, width = np.full(n, min(len(h), WIDTH), dtype=np.uint64), min(len(h), WIDTH)
-    for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    return np.unique(mix(out))
+    size = end - start
+    eight, h = sliding_window_view(low, 8), mix(size.astype(np.uint64) * ODD)
+    at = np.arange(len(h))
+    for k in range(0, LONG_WORD, 8):
+        if k:
+            at = at[size[at] > k]
+        if not len(at):
+            break
+        h[at] = mix(h[at] * ODD + (eight[start[at] + k].view("<u8")[:, 0] & _KEEP[np.minimum(size[at] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(low[start[i] : end[i]].tobytes())
+    return h
+
+
+def shingles(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles: words of A-Z lowered, five by five; fewer words are one shingle."""
+    if not len(texts):
+        return []
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(at[-1] - at[0])
+    if not size:
+        return [np.empty(0, dtype=np.uint64)] * len(texts)
+    low = np.full(size + 8, 32, dtype=np.uint8)
+    low[:size] = _FOLD[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+    at = at - at[0]
+    word = low != 32
+    edge = np.zeros(size + 1, dtype=bool)  # a word ends with its text
+    edge[at] = True
+    start = np.flatnonzero(word[:size] & (edge[:size] | ~np.concatenate([[False], word[: size - 1]])))
+    end = np.flatnonzero(word[:size] & (edge[1:] | ~word[1 : size + 1])) + 1
+    h = _hashes(low, start, end)
+    first = np.searchsorted(start, at)
+    out = np.full(len(h), WIDTH, dtype=np.uint64)
+    for k in range(min(WIDTH, len(h))):
+        out[: len(h) - k] = out[: len(h) - k] * ODD + h[k:]
+    bounds = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+    for a, b in bounds:
+        if a < b < a + WIDTH:
+            x = np.array([b - a], dtype=np.uint64)
+            for k in range(a, b):
+                x = x * ODD + h[k]
+            out[a] = x[0]
+    out, sets = mix(out), []
+    for a, b in bounds:
+        u = out[a : max(a + 1, b - WIDTH + 1)] if a < b else out[:0]
+        u.sort()
+        new = u[1:] != u[:-1]
+        sets.append(u if new.all() else u[np.concatenate([[True], new])])
+    return sets
 
 
 def node_of(u: np.ndarray) -> int:
@@ -144,24 +193,38 @@ def places(s: int) -> list[tuple[int, int, int]]:
 
 
 def _subsets(u: np.ndarray, blocks: int, tag: int, need: int, wide: np.ndarray | None) -> tuple[np.ndarray, bool]:
-    """Signatures of the blocks up to the `need`-th that counts, and whether so many do. u ascends, so partitions are runs.
-    wide: signatures, in order, that are passed over."""
+    """_subsets_of() one set."""
+    found, _, enough = _subsets_of([u], blocks, tag, np.array([need]), wide)
+    return found, bool(enough[0])
+
+
+def _subsets_of(sets: list[np.ndarray], blocks: int, tag: int, need: np.ndarray, wide: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the sets, side by side, each set's of the blocks up to the `need`-th that counts; how many each has, and
+    whether so many blocks do. A set ascends, so partitions are runs. wide: signatures, in order, that are passed over."""
     n = blocks * BLOCK
-    at = (u >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    u = np.concatenate(sets)
+    at = ((u >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    at += np.repeat(np.arange(len(sets)) * n, [len(s) for s in sets])
     start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    sums = np.zeros(n, dtype=np.uint64)
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        sums[at[start].astype(np.int64)] = np.add.reduceat(mix(u + np.uint64(0x632BE59BD9B4E019)), start)
-        part = sums.reshape(blocks, BLOCK)
-        own = np.arange(blocks, dtype=np.uint64) * odd
-        found = np.stack([mix(mix(part[:, i] + np.uint64(2 * k + 1) * odd) + part[:, j] * odd + mix(own + np.uint64(4 * tag + k))) for k, (i, j) in enumerate(SUBSETS)], axis=1)
-    use = np.stack([(part[:, i] | part[:, j]) != 0 for i, j in SUBSETS], axis=1)
+    sums = np.zeros(len(sets) * n, dtype=np.uint64)
+    sums[at[start]] = np.add.reduceat(mix(u + np.uint64(0x632BE59BD9B4E019)), start)
+    part = sums.reshape(len(sets), blocks, BLOCK)
+    one, two = part[:, :, [i for i, _ in SUBSETS]], part[:, :, [j for _, j in SUBSETS]]
+    use = (one | two) != 0
+    k = np.arange(len(SUBSETS), dtype=np.uint64)
+    own = mix(np.arange(blocks, dtype=np.uint64)[:, None] * ODD + (k + np.uint64(4 * tag)))
+    one += (np.uint64(2) * k + np.uint64(1)) * ODD
+    two *= ODD
+    found = mix(one)
+    found += two
+    found += own
+    found = mix(found)
     if wide is not None and len(wide):
         use &= wide[np.minimum(np.searchsorted(wide, found), len(wide) - 1)] != found
-    counted = np.cumsum(use.all(axis=1))
-    end = int(np.searchsorted(counted, need)) + 1
-    return found[:end][use[:end]], end <= blocks
+    counted = np.cumsum(use.all(axis=2), axis=1)
+    end = (counted < need[:, None]).sum(axis=1) + 1
+    use &= (np.arange(blocks) < end[:, None])[:, :, None]
+    return found[use], use.sum(axis=(1, 2)), end <= blocks
 
 
 def _division(u: np.ndarray, t: int) -> np.ndarray:
@@ -170,36 +233,48 @@ def _division(u: np.ndarray, t: int) -> np.ndarray:
 
 
 def signatures(u: np.ndarray, wide: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """All signatures of a set, as signed 64-bit integers, and whether a band lacks blocks that count under every division
-    tried, which is so only where signatures are passed over. Linked sets share one, or both lack."""
-    out, short = [np.empty(0, dtype=np.uint64)], False
-    for band, blocks, need in places(len(u)):
-        t = 0
-        while True:
-            found, enough = _subsets(_division(u, t), blocks, band << 8 | min(t, 255), need, wide)
-            out.append(found)
-            t += 1
-            if enough:
-                break
+    """signatures_of() one set."""
+    (found,), (short,) = signatures_of([u], wide)
+    return found, short
+
+
+def signatures_of(sets: list[np.ndarray], wide: np.ndarray | None = None) -> tuple[list[np.ndarray], list[bool]]:
+    """All signatures of each set, as signed 64-bit integers, and whether a band lacks blocks that count under every division
+    tried, which is so only where signatures are passed over. Linked sets share one, or both lack. Sets of a band go together."""
+    out, short = [[np.empty(0, dtype=np.uint64)] for _ in sets], [False] * len(sets)
+    of: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, u in enumerate(sets):
+        for band, blocks, need in places(len(u)):
+            of.setdefault((band, blocks), []).append((i, need))
+    for (band, blocks), left in of.items():
+        t, step = 0, max(1, STEP_BLOCKS // blocks)
+        while left:
+            more = []
+            for k in range(0, len(left), step):
+                some = left[k : k + step]
+                found, count, enough = _subsets_of([_division(sets[i], t) for i, _ in some], blocks, band << 8 | min(t, 255), np.array([n for _, n in some]), wide)
+                for (i, _), x in zip(some, np.split(found, np.cumsum(count)[:-1]), strict=True):
+                    out[i].append(x)
+                more += [x for x, e in zip(some, enough.tolist(), strict=True) if not e]
+            left, t = more, t + 1
             if wide is not None and t == DIVISIONS:
-                short = True
+                for i, _ in left:
+                    short[i] = True
                 break
-    return np.concatenate(out).view(np.int64), short
+    return [np.concatenate(x).view(np.int64) for x in out], short
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, node, bits, of_text) of each row: size, digest and bitmap of its set, a task gives a node's bitmap once."""
     seen: set[int] = set()
-    for b in slices(batches):
+    for b in slices(batches, chars=STEP_CHARS):
         got = []
-        for d, t, x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "of_text")), strict=True):
-            u = shingles(t)
+        for d, u, x in zip(b.column("doc_id").to_pylist(), shingles(b.column("text")), b.column("of_text").to_pylist(), strict=True):
             node = node_of(u)
             got.append((d, len(u), node, None if node in seen else bitmap(u), x))
             seen.add(node)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=["doc_id", "n", "node", "bits", "of_text"])
-    _words.clear()
     hand_back()
 
 
@@ -208,19 +283,16 @@ def _sign(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide, seen = shared.value, set()
-        for b in slices(batches):
-            nodes, sigs, short = [], [], []
-            for t in b.column("text").to_pylist():
-                u = shingles(t)
+        for b in slices(batches, chars=STEP_CHARS):
+            new = {}
+            for u in shingles(b.column("text")):
                 if len(u) and (node := node_of(u)) not in seen:
                     seen.add(node)
-                    nodes.append(node)
-                    found, lacks = signatures(u, wide)
-                    sigs.append(found), short.append(lacks)
-            if nodes:
+                    new[node] = u
+            if new:
+                nodes, (sigs, short) = list(new), signatures_of(list(new.values()), wide)
                 ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs))), pa.array(short, pa.bool_())], names=["node", "sigs", "short"])
-        _words.clear()
         hand_back()
 
     return run
@@ -299,17 +371,15 @@ def _gather(chunk: int = CHUNK, part: int = PART):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = set()
-    for b in slices(batches):
+    for b in slices(batches, chars=STEP_CHARS):
         out = {}
-        for t in b.column("text").to_pylist():
-            u = shingles(t)
+        for u in shingles(b.column("text")):
             node = node_of(u)
             if node not in seen:
                 seen.add(node)
                 out[node] = u.tobytes()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "items"])
-    _words.clear()
     hand_back()
 
 
@@ -346,8 +416,21 @@ def _folded(maps: np.ndarray, width: int) -> np.ndarray:
     return maps
 
 
-def _similar(side: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of a cell that the bound admits: side 0 with 1, and with 0 of other components; side 2 with 3."""
+def _closest(found: list[tuple[np.ndarray, ...]], c: np.ndarray, few: int) -> list[tuple[np.ndarray, ...]]:
+    """Of pairs (places, places, bound of similarity), the first few of each two components, the most similar first."""
+    i, j, near = (np.concatenate(x) for x in zip(*found, strict=True))
+    low, high = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+    order = np.lexsort((-near, high, low))
+    low, high = low[order], high[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    at = np.arange(len(order))
+    pick = order[at - np.maximum.accumulate(np.where(new, at, 0)) < few]
+    return [(i[pick], j[pick], near[pick])]
+
+
+def _similar(side: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, bits: list[bytes], few: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of a cell that the bound admits: side 0 with 1, and with 0 of other components; side 2 with 3. few: only
+    so many of each two components."""
     width = np.array([len(b) for b in bits]) // 8
     by = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
     maps = {w: np.frombuffer(b"".join([bits[i] for i in at.tolist()]), "<u8").reshape(len(at), w) for w, at in by.items()}
@@ -372,50 +455,57 @@ def _similar(side: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, b
                 ok = (100 * most >= 75 * (n[p] + n[b] - most)) & (c[p] != c[b]) & ((side[b] == side[p] + 1) | (side[p] == 0) & (side[b] == 0) & (node[p] < node[b]))
                 i, j = np.nonzero(ok)
                 if len(i):
-                    out.append((node[a[k + i]], node[b[j]]))
-    return out
+                    both = most[i, j]
+                    out.append((a[k + i], b[j], both / (n[a[k + i]] + n[b[j]] - both)))
+                    if few:
+                        out = _closest(out, c, few)
+    return [(node[i], node[j]) for i, j, _ in out]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(few: int | None):
     """Pairs (a, b) of the cells whose rows (g, i, j, side, node, c, n, bits) come side by side; a task gives a pair once, as far
-    as it remembers."""
-    told: set[tuple[int, int]] = set()
-
-    def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-        side, node, c, n = (t.column(x).to_numpy() for x in ("side", "node", "c", "n"))
-        return _similar(side, node, c, n, t.column("bits").to_pylist())
-
-    def batch(found):
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - told
-        if len(told) > 200_000:
-            told.clear()
-        told.update(new)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    left: list[pa.Table] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        key = np.stack([t.column(x).to_numpy() for x in ("g", "i", "j")], axis=1)
-        found = []
-        if left and tuple(key[0]) != last:
-            found += pairs(pa.concat_tables(left))
-            left = []
-        ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), t.num_rows]
-        for lo, hi in zip([0, *ends], ends, strict=False):
-            left.append(t.slice(lo, hi - lo))
-            if hi < t.num_rows:
+    as it remembers. few: see _similar()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+
+        def pairs(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+            side, node, c, n = (t.column(x).to_numpy() for x in ("side", "node", "c", "n"))
+            return _similar(side, node, c, n, t.column("bits").to_pylist(), few)
+
+        def batch(found):
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - told
+            if len(told) > 200_000:
+                told.clear()
+            told.update(new)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        left: list[pa.Table] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            key = np.stack([t.column(x).to_numpy() for x in ("g", "i", "j")], axis=1)
+            found = []
+            if left and tuple(key[0]) != last:
                 found += pairs(pa.concat_tables(left))
                 left = []
-        last = tuple(key[-1])
-        if found:
+            ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), t.num_rows]
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                left.append(t.slice(lo, hi - lo))
+                if hi < t.num_rows:
+                    found += pairs(pa.concat_tables(left))
+                    left = []
+            last = tuple(key[-1])
+            if found:
+                yield batch(found)
+        if left and (found := pairs(pa.concat_tables(left))):
             yield batch(found)
-    if left and (found := pairs(pa.concat_tables(left))):
-        yield batch(found)
-    hand_back()
+        hand_back()
+
+    return run
 
 
 def _pairs(a: str, b: str):
@@ -509,8 +599,8 @@ def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch
         of = m.groupBy("g", "c").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most")).where("n > 2 and most.n < n")
         return m, scratch.settle(of.select("g", F.col("most.c").alias("top"), "n", (F.col("n") - F.col("most.n")).alias("apart")), "mixed")
 
-    def inside(m: DataFrame, of: DataFrame) -> DataFrame:
-        """Links between components of the same group."""
+    def inside(m: DataFrame, of: DataFrame, few: int | None) -> DataFrame:
+        """Links between components of the same group, of the closest few pairs of each two in a cell, or of all pairs."""
         m = m.join(of, "g").withColumn("out", F.col("c") != F.col("top"))
         one = m.where(F.col("n") <= CELL).select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("out"), 0).otherwise(1).alias("side"), "node", "c")
         more = m.where(F.col("n") > CELL)
@@ -520,7 +610,7 @@ def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch
         apart = more.where("out").select("g", salt("apart").alias("i"), each("n").alias("j"), F.lit(2).alias("side"), "node", "c")
         whole = more.select("g", each("apart").alias("i"), salt("n").alias("j"), F.lit(3).alias("side"), "node", "c")
         rows = one.union(apart).union(whole).join(sketch.select("node", "n", "bits"), "node")
-        found = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_cells, "a long, b long")
+        found = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_cells(few), "a long, b long")
         return verified(found.distinct())
 
     star = stars(groups)
@@ -545,8 +635,12 @@ def _joined(docs: DataFrame, told: DataFrame, nodes: DataFrame, scratch: Scratch
         links.append(first_links(stars(again)))
         labels, star = labelled(links), stars(groups)
         m, of = mixed(star, labels)
-    links.append(inside(m, of))
-    return labelled(links)
+    for few in (FEW, None):  # one link joins two components; all pairs of those that stay apart are looked at after that
+        links.append(inside(m, of, few))
+        labels = labelled(links)
+        if few:
+            m, of = mixed(star, labels)
+    return labels
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

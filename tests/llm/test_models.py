@@ -366,6 +366,46 @@ def test_signatures_are_subsets_of_partitions():
     assert len(np.intersect1d(whole, one)) == len(whole) - 2 and need <= blocks
 
 
+def test_sets_of_many_texts_cost_little_more_than_their_words():
+    """Sets, bitmaps and signatures of texts, as tasks make them: the same as of each text by itself, in a bounded multiple of
+    the CPU time that splitting them takes (about 10 to 15; 40 to 49 when each text went by itself)."""
+    import random
+    import time
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{int(rng.paretovariate(0.3)) % 10**7}" for _ in range(int(rng.paretovariate(1) * 60) % 2000)) for _ in range(1500)]
+    texts[:8] = ["A b\x0bC\u00c9", "a B\tc\u00c9 ", None, " \n", "w" * 70 + " x", "W" * 70 + " X", "a\x00", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([0] * len(texts), pa.int64())], names=["doc_id", "text", "of_text"])
+    words = [(t or "").encode() for t in texts]
+
+    def cost(f):
+        found = []
+        for _ in range(3):
+            began = time.process_time()
+            out = f()
+            found.append(time.process_time() - began)
+        return min(found), out
+
+    split, parts = cost(lambda: [t.lower().split() for t in words])
+    described, told = cost(lambda: pa.Table.from_batches(op9._describe(iter([batch]))).to_pylist())
+    signed, sigs = cost(lambda: pa.Table.from_batches(op9._sign(SimpleNamespace(value=None))(iter([batch]))).to_pylist())
+    plain = [{tuple(p[k : k + 5]) for k in range(max(1, len(p) - 4))} if p else set() for p in parts]
+    assert [r["n"] for r in told] == [len(p) for p in plain]
+    first = {}
+    assert [first.setdefault(r["node"], r["doc_id"]) for r in told] == [plain.index(p) for p in plain]
+    of = {r["node"]: sorted(r["sigs"]) for r in sigs}
+    assert of.keys() == {r["node"] for r in told if r["n"]}
+    for r in told[:200]:
+        (one,) = pa.Table.from_batches(op9._describe(iter([batch.slice(r["doc_id"], 1)]))).to_pylist()
+        assert (one["n"], one["node"]) == (r["n"], r["node"])
+        for alone in op9._sign(SimpleNamespace(value=None))(iter([batch.slice(r["doc_id"], 1)])):
+            assert sorted(alone.column("sigs")[0].as_py()) == of[r["node"]]
+    assert described + signed < 25 * split
+
+
 def test_groups_of_any_size():
     """The rows of a group that goes on after its first part are members of the same group with the same pivot, however few."""
     import pyarrow as pa
@@ -395,6 +435,23 @@ def test_cells_admit_every_linked_pair():
         assert {p for p in linked if meet(*p)} <= found and all(meet(*p) for p in found)
 
 
+def test_cells_give_few_pairs_of_two_components_at_first():
+    """Crowds of near copies: the closest pairs of each two components, not all that the bound admits; two linked sets among them."""
+    rng = np.random.default_rng(6)
+    base, sets = rng.integers(0, 2**64, 300, dtype=np.uint64), []
+    for k in range(120):
+        gone = 15 if k % 3 else 60
+        sets.append(np.unique(np.concatenate([base[rng.permutation(300)[gone:]], rng.integers(0, 2**64, gone // 5, dtype=np.uint64)])))
+    node, n, c, bits = np.arange(120), np.array([len(u) for u in sets]), np.arange(120) % 4, [op9.bitmap(u) for u in sets]
+    side = np.where(c, 0, 1)
+    every = {p for a, b in op9._similar(side, node, c, n, bits) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    some = [p for a, b in op9._similar(side, node, c, n, bits, 2) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    of = {}
+    for i, j in some:
+        of.setdefault(frozenset((int(c[i]), int(c[j]))), []).append(100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])))
+    assert len(every) > 1000 and set(some) <= every and len(of) == 6 and all(len(x) <= 2 and any(x) for x in of.values())
+
+
 def test_bands_cover_neighbours():
     for (low, high), (nxt, _) in zip(op9.BANDS, op9.BANDS[1:], strict=False):
         assert nxt == high + 1
