@@ -8,7 +8,7 @@ import threading
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,7 +19,7 @@ from ..sources.config import ErrorResponse, SourceConfig
 from . import jobs, sinks
 from .metrics import Metrics
 from .ordered import BLOCK
-from .processor import OUTPUT, Finalizer, Handler, HandlerTable, Interjection, PartitionProcessor
+from .processor import KEY, OUTPUT, Finalizer, Handler, HandlerTable, Interjection, PartitionProcessor, as_records, shard
 
 log = logging.getLogger(__name__)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -33,7 +33,7 @@ class EventSource:
     """Handlers by record type over an envelope stream, with a store for each partition, or for each key.
 
     State by partition lets a handler see every key of its partition, as one thread would; state by key spreads a
-    partition's keys over tasks. Exactly once: the checkpoint holds offsets and state of a batch, the sink takes
+    partition's keys over tasks, in shards of keys. Exactly once: the checkpoint holds offsets and state of a batch, the sink takes
     each batch once. The shuffle partitions of the first run hold for the life of a checkpoint.
     """
 
@@ -71,7 +71,7 @@ class EventSource:
     def ordered_state(self) -> DataFrame:
         """(partition or key, item_key, value): all ordered state as of the last committed batch."""
         raw = self.spark.read.format("statestore").option("stateVarName", "blocks").load(self.checkpoint)
-        return raw.select(F.col("key.*"), F.explode(F.arrays_zip("user_map_value.keys", "user_map_value.vals")).alias("e")).select("*", F.col("e.keys").alias("item_key"), F.col("e.vals").alias("value")).drop("e")
+        return raw.select(self._of(), F.explode(F.arrays_zip("user_map_value.keys", "user_map_value.vals")).alias("e")).select("*", F.col("e.keys").alias("item_key"), F.col("e.vals").alias("value")).drop("e")
 
     def register_async(self, stage: str, work: jobs.Work, finalizer: Finalizer | None = None, config: SchedulerConfig = SchedulerConfig()) -> EventSource:
         """Work outside the store, in order for each key and parallel across keys, for records that a handler leaves with
@@ -119,13 +119,16 @@ class EventSource:
     def _run(self, available_now: bool, then: Callable[[DataFrame, int], None] | None) -> None:
         self._how = available_now, then
         self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        rows, initial = self.rows, None
+        rows, initial, group = self.rows, None, "partition" if self.by == "partition" else "shard"
         if self.stages:
             rows = rows.select(*envelope.COLUMNS).unionByName(jobs.returned(self.spark, self.root))
         if self.initial is not None:
-            initial = (self.initial if self.by == "partition" else self.initial.withColumnRenamed("home", "key")).groupBy(self.by)
+            # As strings, for numbers with nulls come as floats.
+            initial = self.initial.withColumns({c: F.col(c).cast("string") for c in ("seq", "next_offset")})
+            initial = (initial if self.by == "partition" else initial.withColumn("shard", shard("home"))).groupBy(group)
         mode = "ProcessingTime" if self.timers else "None"
-        done = rows.groupBy(self.by).transformWithState(PartitionProcessor(self.table, self.config.changelog, self.timers, self.by, self.block), OUTPUT, "Append", mode, initialState=initial)
+        records = as_records(rows) if self.by == "partition" else as_records(rows, shard("key").alias("shard"))
+        done = records.groupBy(group).transformWithStateInPandas(PartitionProcessor(self.table, self.config.changelog, self.timers, self.by, self.block), OUTPUT, "Append", mode, initialState=initial)
         writer = done.writeStream.foreachBatch(sinks.once(self.root, self._after(then))).option("checkpointLocation", self.checkpoint).outputMode("append").queryName(f"{self.config.group_id}_{self.config.topic}")
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{max(self.config.eos.batch_delay_ms, 1)} milliseconds")
         self.query = writer.start()
@@ -222,7 +225,13 @@ class EventSource:
     def store(self) -> DataFrame:
         """(group, key, value, record_type): every store as of the last committed batch, read beside the running query."""
         raw = self.spark.read.format("statestore").option("stateVarName", "items").load(self.checkpoint)
-        return raw.select(F.col("key.*"), F.col("user_map_key.key").alias("item_key"), F.col("user_map_value.*")) if "user_map_key" in raw.columns else raw
+        return raw.select(self._of(), F.col("user_map_key.key").alias("item_key"), F.col("user_map_value.*")) if "user_map_key" in raw.columns else raw
+
+    def _of(self) -> Column:
+        """Whose an entry of a state is: its partition, or its key."""
+        if self.by == "partition":
+            return F.col("key.partition")
+        return F.when(F.expr("substring(user_map_key.home, 1, 1)") == F.lit(KEY), F.expr("substring(user_map_key.home, 2)")).alias("key")
 
     def interject(self, partition: int, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """ask about one partition's store."""

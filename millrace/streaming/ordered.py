@@ -8,7 +8,7 @@ from typing import Any
 
 #: Keys of a block, at most.
 BLOCK = 128
-BLOCKS, INDEX, PLACES = ("block bigint", "keys array<binary>, vals array<binary>"), "lows array<binary>, ids array<bigint>, fresh bigint, n bigint", ("id binary", "at binary")
+BLOCKS, INDEX = ("block bigint", "keys array<binary>, vals array<binary>"), "lows array<binary>, ids array<bigint>, fresh bigint, n bigint"
 
 
 def sortable(x: int) -> bytes:
@@ -36,6 +36,8 @@ class Sorted:
 
     def _load(self, i: int) -> tuple[list[bytes], list[bytes]]:
         keys, values = self._blocks.getValue((self._ids[i],))
+        if isinstance(keys, list) and isinstance(keys[0], bytes) and isinstance(values[0], bytes):
+            return keys, values  # as they were saved: what changes them saves them again
         return [bytes(x) for x in keys], [bytes(x) for x in values]
 
     def _save(self, i: int, keys: list[bytes], values: list[bytes]) -> None:
@@ -145,6 +147,27 @@ class Sorted:
                 yield keys[k], values[k]
 
 
+class Places:
+    """A sorted map as the map state that a queue finds its items by: whether an item is there is seen in its block, which is held with those of
+    other items, and asks nothing of the state for an item that is new."""
+
+    def __init__(self, own: Sorted):
+        self._own = own
+
+    def containsKey(self, key: tuple) -> bool:
+        return self._own.get(key[0]) is not None
+
+    def getValue(self, key: tuple) -> tuple | None:
+        found = self._own.get(key[0])
+        return None if found is None else (found,)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._own.put(key[0], value[0])
+
+    def removeKey(self, key: tuple) -> None:
+        self._own.delete(key[0])
+
+
 class Queue:
     """A queue with two ends: items with a priority each, least and greatest first; of equal ones, by their ids."""
 

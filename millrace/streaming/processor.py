@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+from base64 import b64decode
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from datetime import UTC, datetime, timedelta
+from typing import Any, NamedTuple
 
-from pyspark.sql import Row
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.timers import NO_OFFSET, next_due
 from ..sources.config import ExecutionState
-from . import ordered
+from . import frames, held, ordered
 
 #: Every output row: out tells forwarded records, change-log entries, dead letters, jobs and commits apart; a null value deletes; seq
 #: counts a group's rows for good; home is the key of a group that is a key, and null where groups are partitions.
@@ -21,6 +25,63 @@ DONE, OF_TOPIC, OF_KEY, ERROR = "millrace.done", "millrace.topic", "millrace.key
 #: Types of commit rows: a mark before which all is done, and one that a held record stops.
 REACHED, HELD = "reached", "held"
 STATE_KEY, STATE_VALUE = "key binary", "value binary, record_type string"
+#: Groups where state is by key: keys are dealt to so many by a hash, for good.
+SHARDS = 512
+#: What names whose state it is: a partition's or a shard's own, that of records without a key, or, with the key behind it, that of a key.
+WHOLE, NO_KEY, KEY = b"", b"\0", b"\1"
+#: Columns of an initial state (sinks.bootstrap).
+INITIAL = ["home", "partition", "item_key", "value", "record_type", "seq", "topic", "next_offset"]
+
+
+def shard(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")
+
+
+class Record(NamedTuple):
+    """A record as its handler gets it. What few handlers look at is told apart when it is asked for."""
+
+    topic: str
+    partition: int
+    offset: int
+    key: bytes | None
+    value: bytes | None
+    record_type: str
+    rest: str
+
+    @property
+    def headers(self) -> list[dict[str, Any]]:
+        found = json.loads(self.rest).get("headers") or []
+        return [{"key": h.get("key"), "value": None if h.get("value") is None else b64decode(h["value"])} for h in found]
+
+    @property
+    def timestamp(self) -> datetime | None:
+        micros = json.loads(self.rest).get("timestamp")
+        return None if micros is None else datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=micros)
+
+    @property
+    def leader_epoch(self) -> int | None:
+        return json.loads(self.rest).get("leader_epoch")
+
+
+def as_records(rows: DataFrame, *more: Column) -> DataFrame:
+    """Envelope rows with the columns of a Record."""
+    rest = F.to_json(F.struct("leader_epoch", F.unix_micros("timestamp").alias("timestamp"), "headers"))
+    return rows.select(*more, *Record._fields[:-1], rest.alias("rest"))
+
+
+class Output(NamedTuple):
+    """A row of OUTPUT."""
+
+    out: str
+    topic: str
+    partition: int
+    offset: int
+    key: bytes | None
+    value: bytes | None
+    record_type: str
+    seq: int
+    home: bytes | None
+    source: str
 
 
 @dataclass
@@ -31,11 +92,11 @@ class Context:
     """
 
     partition: int
-    input: Row | None
+    input: Record | None
     _state: Any
     topic: str = ""
     seq: int = 0
-    rows: list[Row] = field(default_factory=list)
+    rows: list[Output] = field(default_factory=list)
     home: bytes | None = None
     #: Of a record that a job came back for: its own topic and offset.
     of: tuple[str, int] | None = None
@@ -58,7 +119,7 @@ class Context:
         return self.input is None
 
     def _out(self, out: str, topic: str, key: bytes, value: bytes | None, kind: str) -> None:
-        self.rows.append(Row(out=out, topic=topic, partition=self.partition, offset=self.offset, key=key, value=value or None, record_type=kind, seq=self.seq, home=self.home, source=self.source))
+        self.rows.append(Output(out, topic, self.partition, self.offset, key, value or None, kind, self.seq, self.home, self.source))
         self.seq += 1
 
     def schedule(self, stage: str, key: bytes, value: bytes) -> ExecutionState:
@@ -148,13 +209,77 @@ class HandlerTable:
         return self._checked(handler(ctx, event), ctx)
 
 
+def _order(t: tuple) -> tuple:
+    """What came back from jobs is first, then records by offset."""
+    return t[0] != DONE, t[2], t[0], t[1]
+
+
+class Call:
+    """The state of a group while its rows are handled, and the outputs so far."""
+
+    def __init__(self, states: PartitionProcessor):
+        self._states = states
+        self.items, self.due, self.at, self._saved = held.Held(states.items), held.Held(states.due, flat=True), held.Held(states.at, flat=True), held.Held(states.heads, flat=True)
+        self.pending = held.Pending(states.pending)
+        self._all = [self.items, self.due, self.at, self._saved, self.pending]
+        if states.block is not None:
+            self.maps = [(held.Held(blocks, sure=True), held.Held(index, flat=True)) for blocks, index in states.maps]
+            self._all += [x for pair in self.maps for x in pair]
+        self._heads: dict[bytes, Head] = {}
+        self._ordered: dict[bytes, dict] = {}
+
+    def head(self, home: bytes) -> Head:
+        if home not in self._heads:
+            found = self._saved.getValue((home,))
+            self._heads[home] = Head() if found is None else Head(found[0], found[1], dict(zip(zip(found[2], found[3], strict=True), found[4], strict=True)), False)
+        return self._heads[home]
+
+    def store(self, home: bytes) -> held.Held | held.Part:
+        return self.items if self._states.by == "partition" else held.Part(self.items, (home,), self._heads[home].new)
+
+    def ordered(self, home: bytes) -> dict:
+        """Ordered state and queue, for contexts: the index is read once."""
+        if self._states.block is None:
+            return {}
+        if home not in self._ordered:
+            first, new = () if self._states.by == "partition" else (home,), self._heads[home].new
+            own, places = (ordered.Sorted(held.Part(blocks, first), held.Value(index, (home,), new), self._states.block) for blocks, index in self.maps)
+            self._ordered[home] = {"ordered": own, "queue": ordered.Queue(own, ordered.Places(places))}
+        return self._ordered[home]
+
+    @property
+    def size(self) -> int:
+        return sum(x.size for x in self._all)
+
+    def drop(self) -> None:
+        """All that has changed goes to the state; nothing is held."""
+        for home, h in self._heads.items():
+            self._saved.updateValue((home,), (h.seq, h.last, [t for t, _ in h.marks], [p for _, p in h.marks], list(h.marks.values())))
+        for x in self._all:
+            x.drop()
+        self._heads.clear()
+        self._ordered.clear()
+
+
+@dataclass
+class Head:
+    """How far a partition, or a key, is: the number of its next output, the partition of its last record, to which a timer's outputs go, and
+    its next offset of each topic and partition, of which the records of a key may come from several."""
+
+    seq: int = 0
+    last: int | None = None
+    marks: dict[tuple[str, int], int] = field(default_factory=dict)
+    #: Nothing of it is in the state yet.
+    new: bool = True
+
+
 class PartitionProcessor(StatefulProcessor):
-    """One instance of state for each group (a partition, or a key), a map from record key to value.
+    """State of each group (a partition, or a shard of keys) as maps: from record key to value, in a shard from key and record key.
 
     Rows of a batch come in no order: jobs that came back are first, then records by offset; those below the next offset of their
     topic and partition are stale and dropped. Records that a stage has are pending; the commit rows of a batch say, for each topic
     and partition of the group, how far all is done: a pending record stops the mark. Timers are of processing time and set again when their interjection has
-    run. Outputs leave as they are made.
+    run. Outputs leave as they are made, some thousand at a time. What handlers read and write is held while the rows of a batch go through, and written once.
     """
 
     def __init__(self, table: HandlerTable, topic: str, timers: list[tuple[int, int, Interjection]] | None = None, by: str = "partition", block: int | None = None):
@@ -162,102 +287,119 @@ class PartitionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", STATE_KEY, STATE_VALUE)
-        #: Offsets belong to partitions of topics, of which the records of a key may come from several.
-        self.next = handle.getMapState("next", "topic string, partition int", "offset bigint")
-        self.pending = handle.getMapState("pending", "topic string, partition int, offset bigint", "stage string")
-        self.due = handle.getMapState("due", "timer int", "at bigint")
-        self.count = handle.getValueState("count", "seq bigint")
-        #: The partition of the group's last record, to which a timer's outputs go.
-        self.last = handle.getValueState("last", "partition int")
+        first = "" if self.by == "partition" else "home binary, "
+        self.items = handle.getMapState("items", first + STATE_KEY, STATE_VALUE)
+        self.heads = handle.getMapState("heads", "home binary", "seq bigint, last int, topics array<string>, partitions array<int>, offsets array<bigint>")
+        self.pending = handle.getMapState("pending", *held.PENDING)
+        self.due = handle.getMapState("due", "home binary, timer int", "at bigint")
+        #: Whose timers are due at a time.
+        self.at = handle.getMapState("at", "at bigint", "homes array<binary>, timers array<int>")
         if self.block is not None:
-            self.blocks = handle.getMapState("blocks", *ordered.BLOCKS)
-            self.index = handle.getValueState("index", ordered.INDEX)
-            self.places = handle.getMapState("places", *ordered.PLACES)
-
-    def _ordered(self) -> dict:
-        """Ordered state and queue, for the contexts of one call: the index is read once."""
-        if self.block is None:
-            return {}
-        own = ordered.Sorted(self.blocks, self.index, self.block)
-        return {"ordered": own, "queue": ordered.Queue(own, self.places)}
+            # The map in order, and that from a queue's items to their places in it.
+            self.maps = [(handle.getMapState(blocks, first + ordered.BLOCKS[0], ordered.BLOCKS[1]), handle.getMapState(index, "home binary", ordered.INDEX)) for blocks, index in (("blocks", "index"), ("places", "places_index"))]
 
     def handleInitialState(self, key, initialState, timerValues):
-        """One entry of a bootstrap (sinks.bootstrap): an item of the store, or, without a key, where the group goes on."""
-        r = initialState
-        if r.item_key is not None:
-            self.items.updateValue((bytes(r.item_key),), (bytes(r.value), r.record_type))
-        elif r.seq is not None:
-            self.count.update((r.seq,))
-            self.last.update((r.partition,))
-        if r.item_key is None and r.next_offset is not None:
-            self.next.updateValue((r.topic, r.partition), (r.next_offset,))
-
-    def _seq(self) -> int:
-        return self.count.get()[0] if self.count.exists() else 0
-
-    def _home(self, key) -> bytes | None:
-        return bytes(key[0]) if self.by == "key" and key[0] is not None else None
+        """Entries of a bootstrap (sinks.bootstrap): items of the store, or, without a key, where a group goes on."""
+        call = Call(self)
+        for home, part, item, value, kind, seq, topic, offset in zip(*(initialState[c].tolist() for c in INITIAL), strict=True):
+            name = self._name(home)
+            head = call.head(name)
+            if item is not None:
+                call.store(name).updateValue((bytes(item),), (bytes(value), kind))
+                continue
+            if seq is not None:
+                head.seq, head.last = int(seq), int(part)
+            if offset is not None:
+                head.marks[topic, int(part)] = int(offset)
+        call.drop()
+
+    def _name(self, key: bytes | None) -> bytes:
+        return WHOLE if self.by == "partition" else NO_KEY if key is None else KEY + bytes(key)
 
     def handleInputRows(self, key, rows, timerValues):
-        seq, home, marks, held, more = self._seq(), self._home(key), {}, False, self._ordered()
-        for r in sorted(rows, key=lambda r: (r.topic != DONE, r.offset, r.topic, r.partition)):
-            heads = {h["key"]: h["value"] for h in r.headers or []} if r.topic == DONE else {}
+        yield from frames.in_frames(self._handled(key, rows, timerValues), Output._fields)
+
+    def _handled(self, key, rows, timerValues) -> Iterator[Output]:
+        call, seen, some = Call(self), {}, False
+        for n, t in enumerate(frames.in_order(rows, Record._fields, _order)):
+            r = Record._make(t)
+            heads = {h["key"]: h["value"] for h in r.headers} if r.topic == DONE else {}
             at = (bytes(heads[OF_TOPIC]).decode() if heads else r.topic, r.partition)
-            if at not in marks:
-                marks[at] = self.next.getValue(at)[0] if self.next.containsKey(at) else 0
-            ctx = Context(r.partition, r, self.items, self.topic, seq, home=home, of=(at[0], r.offset) if heads else None, **more)
+            home = None if self.by == "partition" or r.key is None else r.key
+            name = self._name(home)
+            head = call.head(name)
+            mark = head.marks.setdefault(at, 0)
+            seen[at] = max(seen.get(at, 0), mark)
+            if not heads and r.offset < mark:
+                continue
+            # Once for each stage: what came back before, or is of another run of a batch, finds nothing pending.
+            if heads and call.pending.get(at, r.offset) != r.record_type:
+                continue
+            ctx = Context(r.partition, r, call.store(name), self.topic, head.seq, home=home, of=(at[0], r.offset) if heads else None, **call.ordered(name))
             if heads:
-                # Once for each stage: what came back before, or is of another run of a batch, finds nothing pending.
-                if not self.pending.containsKey((*at, r.offset)) or self.pending.getValue((*at, r.offset))[0] != r.record_type:
-                    continue
-                self.pending.removeKey((*at, r.offset))
+                call.pending.remove(at, r.offset)
                 error = heads.get(ERROR)
                 self.table.finalize(ctx, r.record_type, bytes(heads[OF_KEY]), None if error is None else bytes(error).decode())
-            elif r.offset < marks[at]:
-                continue
             else:
                 self.table.handle(ctx)
-                marks[at] = r.offset + 1
+                head.marks[at] = r.offset + 1
+                seen[at] = max(seen[at], r.offset + 1)
             if ctx.scheduled is not None:
-                self.pending.updateValue((*at, r.offset), (ctx.scheduled,))
-                held = True
+                call.pending.put(at, r.offset, ctx.scheduled)
+                some = True
             yield from ctx.rows
-            seq = ctx.seq
-            self.last.update((r.partition,))
-        for at, mark in marks.items():
-            self.next.updateValue(at, (mark,))
-        low: dict[tuple[str, int], int] = {}
-        if self.table.finalizers or held:
-            for topic, part, offset in self.pending.keys():
-                low[topic, part] = min(offset, low.get((topic, part), offset))
-        for (topic, part), mark in sorted(marks.items()):
-            stop = low.get((topic, part))
-            yield Row(out="commit", topic=topic, partition=part, offset=mark if stop is None else stop, key=None, value=None, record_type=REACHED if stop is None else HELD, seq=seq, home=home, source=topic)
-            seq += 1
-        self.count.update((seq,))
-        if self.timers:
-            now = timerValues.getCurrentProcessingTimeInMs()
-            for i in range(len(self.timers)):
-                if not self.due.containsKey((i,)):
-                    self._arm(i, now)
-
-    def _arm(self, i: int, now: int) -> None:
+            head.seq, head.last = ctx.seq, r.partition
+            if self.timers:
+                self._set(call, name, timerValues)
+            if n % held.EVERY == 0 and call.size > held.MOST:
+                call.drop()
+        yield from self._commits(call, key, seen, call.pending.lows() if self.table.finalizers or some else {})
+        call.drop()
+
+    def _commits(self, call: Call, key: tuple, seen: dict[tuple[str, int], int], lows: dict[tuple[str, int], int]) -> Iterator[Output]:
+        """How far the group is. The keys of a shard tell it together, under a name of their shard."""
+        home = None if self.by == "partition" else f"shard {key[0]}".encode()
+        head = call.head(WHOLE)
+        for (topic, part), mark in sorted(seen.items()):
+            mark = head.marks[topic, part] = max(mark, head.marks.get((topic, part), 0))
+            stop = lows.get((topic, part))
+            yield Output("commit", topic, part, mark if stop is None else stop, None, None, REACHED if stop is None else HELD, head.seq, home, topic)
+            head.seq += 1
+
+    def _set(self, call: Call, name: bytes, timerValues) -> None:
+        for i in range(len(self.timers)):
+            if not call.due.containsKey((name, i)):
+                self._arm(call, name, i, timerValues.getCurrentProcessingTimeInMs())
+
+    def _arm(self, call: Call, name: bytes, i: int, now: int) -> None:
         at = next_due(now, *self.timers[i][:2])
-        self.due.updateValue((i,), (at,))
-        self.handle.registerTimer(at)
+        call.due.updateValue((name, i), (at,))
+        names, timers = call.at.getValue((at,)) or ([], [])
+        if not names:
+            self.handle.registerTimer(at)
+        names.append(name)
+        timers.append(i)
+        call.at.updateValue((at,), (names, timers))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        fired, seq = expiredTimerInfo.getExpiryTimeInMs(), self._seq()
-        part = self.last.get()[0] if self.last.exists() else key[0]
-        for i, (_, _, run) in enumerate(self.timers):
-            if self.due.containsKey((i,)) and self.due.getValue((i,))[0] == fired:
-                ctx = Context(part, None, self.items, self.topic, seq, home=self._home(key), **self._ordered())
-                run(ctx)
-                yield from ctx.rows
-                seq = ctx.seq
-                self._arm(i, timerValues.getCurrentProcessingTimeInMs())
-        self.count.update((seq,))
+        yield from frames.in_frames(self._expired(key, timerValues, expiredTimerInfo.getExpiryTimeInMs()), Output._fields)
+
+    def _expired(self, key, timerValues, fired: int) -> Iterator[Output]:
+        call = Call(self)
+        names, timers = call.at.getValue((fired,)) or ([], [])
+        call.at.removeKey((fired,))
+        for name, i in zip([bytes(x) for x in names], timers, strict=True):
+            if call.due.getValue((name, i)) is None or call.due.getValue((name, i))[0] != fired:
+                continue
+            head, home = call.head(name), name[1:] if name.startswith(KEY) else None
+            ctx = Context(key[0] if head.last is None else head.last, None, call.store(name), self.topic, head.seq, home=home, **call.ordered(name))
+            self.timers[i][2](ctx)
+            yield from ctx.rows
+            head.seq = ctx.seq
+            self._arm(call, name, i, timerValues.getCurrentProcessingTimeInMs())
+            if call.size > held.MOST:
+                call.drop()
+        call.drop()
 
     def close(self) -> None:
         pass
