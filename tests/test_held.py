@@ -1,6 +1,7 @@
 """What is held of a group's state while its rows go through: few calls to the state, bounded memory, the same results."""
 
 import base64
+import heapq
 import random
 
 import pytest
@@ -96,6 +97,23 @@ def test_ordered_state_is_read_and_written_once_a_batch():
     assert calls < 400  # there are some 40 blocks; each record's own calls were 4000 and more
 
 
+def push(ctx, raw):
+    ctx.queue.push(raw, int(ctx.input.key))
+    if len(ctx.queue) > 20:
+        ctx.queue.pop_least()
+
+
+def test_a_queue_asks_nothing_for_items_that_come_and_go():
+    rows = events(4000, 1000)
+    source, calls = Source(processor.HandlerTable(default=push), block=8), 0
+    for a in (0, 2000):
+        source.run(rows[a : a + 2000])
+        calls += State.calls
+    left = [k for v in source.handle.maps["blocks"].items.values() for k in v[0]]
+    assert sorted((unsorted(k), k[9:]) for k in left) == sorted(heapq.nlargest(20, [(int(r[3]), r[4]) for r in rows]))
+    assert sum(len(v[0]) for v in source.handle.maps["places"].items.values()) == 20 and calls < 200
+
+
 def staged():
     """Two stages, whose results this test gives back itself."""
 
