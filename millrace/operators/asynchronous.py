@@ -66,6 +66,12 @@ def keyed(rows: DataFrame, key: str, order: str | list[str], work: Callable[[pd.
     return rows.repartition(key).sortWithinPartitions(key, *orders).mapInPandas(run, schema)
 
 
+def in_turn(rows: DataFrame, key: str, order: str | list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """keyed() for work on single rows, one at a time: frames are of several keys, each key's rows in order."""
+    orders = [order] if isinstance(order, str) else order
+    return rows.repartition(key).sortWithinPartitions(key, *orders).mapInPandas(lambda frames: map(work, frames), schema)
+
+
 def numbered(rows: DataFrame, key: str, order: str, name: str = "seq") -> DataFrame:
     """The place of each row in its key's order, from 1, by an integer column; a hot key is numbered in blocks. A null key is a key."""
     return dense_offsets(rows.withColumn("_key", F.struct(key)), "_key", order, name).withColumn(name, F.col(name) + 1).drop("_key")

@@ -58,7 +58,9 @@ def run(written: DataFrame, stages: dict[str, Stage], root: str, batch: int, by:
     done = []
     for name in sorted(names):
         own = jobs.where(F.col("topic") == name).select("source", "partition", "offset", "key", "value", "home", "seq")
-        worked = asynchronous.keyed(own, "key", ["partition", "seq"], _worked(stages[name].work), WORKED, stages[name].config)
+        work, config = _worked(stages[name].work), stages[name].config
+        # A frame for each key costs more than most work, and is needed only where keys run side by side.
+        worked = asynchronous.in_turn(own, "key", ["partition", "seq"], work, WORKED) if config.concurrency == 1 else asynchronous.keyed(own, "key", ["partition", "seq"], work, WORKED, config)
         done.append(worked.withColumn("stage", F.lit(name)))
     rows = reduce(DataFrame.unionByName, done)
     said = F.array(header(OF_TOPIC, F.col("source")), F.struct(F.lit(OF_KEY).alias("key"), F.col("key").alias("value")))

@@ -4,8 +4,10 @@ import base64
 import heapq
 import random
 
+import pandas as pd
 import pytest
 
+from millrace.operators import asynchronous
 from millrace.streaming import frames, held, mocks, processor
 from millrace.streaming.ordered import sortable, unsorted
 
@@ -194,3 +196,16 @@ def test_records_tell_what_few_look_at():
     r = processor.Record("t", 0, 1, None, None, "x", '{"leader_epoch":3,"timestamp":1700000000123456,"headers":[{"key":"h","value":"AAE="},{"key":"n"}]}')
     assert r.headers == [{"key": "h", "value": b"\0\1"}, {"key": "n", "value": None}] and r.leader_epoch == 3 and r.timestamp.isoformat() == "2023-11-14T22:13:20.123456+00:00"
     assert processor.Record("t", 0, 1, None, None, "x", "{}").headers == []
+
+
+def test_work_in_turn_takes_frames_of_several_keys(spark):
+    """Each key's rows are in order; there is no frame for each key."""
+    rows = spark.range(6000).selectExpr("id % 1000 AS key", "-id AS at")
+
+    def work(p):
+        return pd.DataFrame({"key": p["key"], "at": p["at"], "place": range(len(p)), "keys": p["key"].nunique(), "rows": len(p)})
+
+    done = asynchronous.in_turn(rows.repartition(3), "key", "at", work, "key long, at long, place long, keys long, rows long").toPandas()
+    assert len(done) == 6000 and done["keys"].min() > 100
+    for _, own in done.sort_values(["key", "at"]).groupby("key"):
+        assert list(own["at"]) == sorted(own["at"]) and list(own["place"]) == sorted(own["place"])
