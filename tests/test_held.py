@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from millrace.operators import asynchronous
-from millrace.streaming import frames, held, mocks, processor
+from millrace.streaming import batching, frames, held, mocks, processor
 from millrace.streaming.ordered import sortable, unsorted
 
 
@@ -192,6 +192,36 @@ def test_order_on_disk():
         assert list(frames.in_order(iter(parts), ["a", "b", "c"], lambda t: (t[0], t[1]), most)) == sorted(rows, key=lambda t: (t[0], t[1]))
 
 
+def test_batches_leave_as_they_are_filled(monkeypatch):
+    """A lane's rows of one batch of the stream are never all in memory: neither those that come, nor results, nor a call for each batch."""
+    monkeypatch.setattr(frames, "RUN", 1_000)
+    monkeypatch.setattr(frames, "RETURNED", 100)
+    calls = []
+
+    class Once(mocks.MemoryValue):
+        def update(self, value):
+            calls.append(value)
+            super().update(value)
+
+    class Open(Once):
+        put, clear = mocks.MemoryValue.update, lambda self: setattr(self, "value", None)
+
+    class States(Handle):
+        getListState, getValueState = (lambda self, *a: Open()), lambda self, *a: Once()
+
+    executed = []
+    lane = batching.Batcher(lambda items: executed.append(len(items)) or [v for _, v in items], 10, 5)
+    lane.init(States())
+    rows = [(p, k, str(2**60 + k), str(0), str(1), b"k", b"%d" % k) for p in (1, 0) for k in range(2504)]
+    parts = (pd.DataFrame(rows[k : k + 400], columns=["partition", "offset", *batching._FIELDS]) for k in range(0, len(rows), 400))
+    out = lane.handleInputRows((3,), parts, Now(0))
+    first = next(out)
+    assert len(first) == 100 and len(executed) <= 11
+    got = [tuple(r) for f in (first, *out) for r in f[["event", "item_ix", "value", "result", "lane", "batch", "place"]].itertuples(index=False)]
+    assert got == [(2**60 + k % 2504, 0, b"%d" % (k % 2504), b"%d" % (k % 2504), 3, k // 10, k % 10) for k in range(5000)]
+    assert calls == [(500,), (5,)] and len(lane.open.get()) == 8
+
+
 def test_records_tell_what_few_look_at():
     r = processor.Record("t", 0, 1, None, None, "x", '{"leader_epoch":3,"timestamp":1700000000123456,"headers":[{"key":"h","value":"AAE="},{"key":"n"}]}')
     assert r.headers == [{"key": "h", "value": b"\0\1"}, {"key": "n", "value": None}] and r.leader_epoch == 3 and r.timestamp.isoformat() == "2023-11-14T22:13:20.123456+00:00"
